@@ -1,0 +1,5 @@
+"""Streaming: intentionally empty.
+
+The workload this package rebuilds is batch only (no streams, watermarks or state), so no
+streaming operators are provided; every job is a batch DataFrame plan.
+"""
