@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from trolley.operators.dictionary import encode_items, fit_dict
-from trolley.operators.features import Encoders, fit_encoders
+from trolley.operators.features import (Encoders, basket_item_pairs, fit_encoders, instance_features,
+                                       label_baskets, positive_baskets)
+from trolley.operators.negatives import sample_negatives
+from trolley.operators.split import split_instances
 from trolley.plans.oracle import HISTORY_BEFORE, VOCAB_SIZE
 from trolley.session import materialize
-from trolley.sources.baskets import stand_in_history_items, stand_in_items
+from trolley.sources.baskets import stand_in_history_items, stand_in_items, table
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,3 +37,19 @@ def encoded(spark: SparkSession, sf_dir: str, enc: Encoders | None = None) -> Da
     else:
         d, n = enc.item_dict, enc.n_items
     return encode_items(items(spark, sf_dir), d, n)
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+def labelled(spark: SparkSession, sf_dir: str, enc: Encoders | None = None,
+             test_share: float = 0.01, seed: int = 1):
+    """Step 2a on the stand-in: encoders, instances ``(instance_id, pid, label, pname, split)``,
+    their long features and the surviving negative tries."""
+    enc = enc or encoders(spark, sf_dir)
+    e = encoded(spark, sf_dir, enc)
+    neg_inst, neg_pairs = sample_negatives(e, enc.n_items)
+    inst = split_instances(label_baskets(positive_baskets(e), neg_inst), test_share, seed)
+    feats = instance_features(inst, basket_item_pairs(e), neg_pairs, enc)
+    return enc, inst, feats

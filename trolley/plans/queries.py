@@ -15,9 +15,17 @@ from pyspark.sql import functions as F
 
 from trolley.operators.baskets import ITEM_COLUMNS, basket_items, explode_baskets, item_text
 from trolley.operators.dictionary import encode_items, fit_dict
-from trolley.operators.features import group_baskets, positive_baskets
+from trolley.functions.text import drop_stop_words, tokenize
+from trolley.functions.text import sql_drop_stop_words, sql_tokenize
+from trolley.operators.features import (basket_features, check_feature_range, group_baskets, libsvm_lines,
+                                       name_features, positive_baskets)
+from trolley.operators.negatives import (attach_makers, attach_names, drop_seen_items, drop_seen_makers,
+                                        drop_seen_names, group_negatives, sample_pairs)
+from trolley.operators.split import split_instances
+from trolley.operators.vocab import fit_vocab
 from trolley.plans import context as ctx
-from trolley.plans.oracle import HISTORY_BEFORE, Sql, arr_text, dict_sql, items_sql
+from trolley.functions.hashing import sql_uniform
+from trolley.plans.oracle import HISTORY_BEFORE, VOCAB_SIZE, Sql, arr_text, dict_sql, items_sql
 from trolley.session import ensure_checkpoint_dir
 from trolley.sources.baskets import read_baskets, stand_in_baskets, write_baskets
 
@@ -108,4 +116,192 @@ def q_positives(spark, sf_dir):
 @register("item_text", Sql().item_text().render("SELECT pid, item, names FROM item_text"))
 def q_item_text(spark, sf_dir):
     return item_text(ctx.items(spark, sf_dir))
+
+
+# ---- text ---------------------------------------------------------------------------------
+
+_DOC_TOKENS = f"{sql_tokenize('coalesce(text, \'\')')}"
+
+
+@register("tokens", f"SELECT doc_id, len(t) AS n_tokens, array_to_string(t, ' ') AS tokens "
+                    f"FROM (SELECT doc_id, {_DOC_TOKENS} AS t FROM documents)")
+def q_tokens(spark, sf_dir):
+    """F3 on whole documents: lower-case whitespace tokens."""
+    t = ctx.documents(spark, sf_dir).select("doc_id", tokenize(F.coalesce("text", F.lit(""))).alias("t"))
+    return t.select("doc_id", F.size("t").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
+
+
+@register("stop_words", f"SELECT doc_id, len(t) AS n_kept, array_to_string(t, ' ') AS kept "
+                        f"FROM (SELECT doc_id, {sql_drop_stop_words(_DOC_TOKENS)} AS t FROM documents)")
+def q_stop_words(spark, sf_dir):
+    """F4 on whole documents: tokens with the English stop words removed."""
+    t = ctx.documents(spark, sf_dir).select(
+        "doc_id", drop_stop_words(tokenize(F.coalesce("text", F.lit("")))).alias("t"))
+    return t.select("doc_id", F.size("t").alias("n_kept"), F.array_join("t", " ").alias("kept"))
+
+
+@register("vocab", Sql().vocab().render("SELECT token, token_id, freq FROM vocab"))
+def q_vocab(spark, sf_dir):
+    """A6 on item text (name, item, maker and group names), cap 30,000."""
+    return fit_vocab(item_text(ctx.items(spark, sf_dir)), "names", VOCAB_SIZE)
+
+
+_doc_vocab = Sql()
+_doc_vocab.add("doc_counts", f"""
+    SELECT token, count(*) AS freq
+    FROM (SELECT unnest({sql_drop_stop_words(_DOC_TOKENS)}) AS token FROM documents) GROUP BY token""")
+
+
+@register("doc_vocab", _doc_vocab.render(f"""
+SELECT token, token_id, freq FROM (
+  SELECT token, freq, row_number() OVER (ORDER BY freq DESC, token) - 1 AS token_id FROM doc_counts)
+WHERE token_id < {VOCAB_SIZE}"""))
+def q_doc_vocab(spark, sf_dir):
+    """A6 with stop words removed, on whole multilingual documents (the cap binds here)."""
+    return fit_vocab(ctx.documents(spark, sf_dir), "text", VOCAB_SIZE, stop_words=True)
+
+
+_nf = Sql()
+_nf.items()
+_nf.add("basket_names", "SELECT DISTINCT pid, name FROM items")
+_nf.name_feats("basket_name_feats", "basket_names", "pid", "name")
+
+
+@register("name_features", _nf.render("SELECT pid, feature_id FROM basket_name_feats"))
+def q_name_features(spark, sf_dir):
+    """Basket-name tokens (stop words removed) encoded past the item block."""
+    enc = ctx.encoders(spark, sf_dir)
+    names = ctx.items(spark, sf_dir).select("pid", "name").distinct()
+    return name_features(names, "pid", "name", enc)
+
+
+@register("basket_features", Sql().basket_features().render("SELECT pid, feature_id, value FROM basket_features"))
+def q_basket_features(spark, sf_dir):
+    """Step 3: item block + name-token block of every basket, long form."""
+    enc = ctx.encoders(spark, sf_dir)
+    return basket_features(ctx.items(spark, sf_dir), enc)
+
+
+# ---- negatives ------------------------------------------------------------------------------
+
+@register("random_pairs", Sql().tries().render("SELECT try_id, pid, item_id FROM tries"))
+def q_random_pairs(spark, sf_dir):
+    """S10 + U5: one try per positive basket-item row, md5-uniform basket and item."""
+    e = ctx.encoded(spark, sf_dir)
+    d, n = ctx.item_dict(spark, sf_dir)
+    st = e.agg(F.count(F.lit(1)).alias("n"), F.max("pid").alias("m")).first()
+    return sample_pairs(spark, st["n"], st["m"], n)
+
+
+def _tries(spark, sf_dir):
+    d, n = ctx.item_dict(spark, sf_dir)
+    e = encode_items(ctx.items(spark, sf_dir), d, n)
+    st = e.agg(F.count(F.lit(1)).alias("n"), F.max("pid").alias("m")).first()
+    return e, sample_pairs(spark, st["n"], st["m"], n)
+
+
+@register("drop_seen_items", Sql().after_j1().render("SELECT try_id, pid, item_id FROM after_j1"))
+def q_drop_seen_items(spark, sf_dir):
+    """Tries whose (item, basket) is not a positive."""
+    e, cand = _tries(spark, sf_dir)
+    return drop_seen_items(cand, e)
+
+
+@register("drop_seen_names", Sql().after_j3().render("SELECT try_id, pid, item_id, pname FROM after_j3"))
+def q_drop_seen_names(spark, sf_dir):
+    """... and no basket of the same name holds the item."""
+    e, cand = _tries(spark, sf_dir)
+    return drop_seen_names(attach_names(drop_seen_items(cand, e), e), e)
+
+
+@register("drop_seen_makers", Sql().after_j5().render(
+    "SELECT try_id, pid, item_id, pname, maker FROM after_j5"))
+def q_drop_seen_makers(spark, sf_dir):
+    """... and the (try, maker) row's maker is new to the basket."""
+    e, cand = _tries(spark, sf_dir)
+    c = drop_seen_names(attach_names(drop_seen_items(cand, e), e), e)
+    return drop_seen_makers(attach_makers(c, e), e).select("try_id", "pid", "item_id", "pname", "maker")
+
+
+@register("negatives", Sql().after_j5().render(
+    f"SELECT pid, 0 AS label, min(pname) AS pname, {arr_text('list(item_id)')} AS item_ids "
+    "FROM after_j5 GROUP BY pid"))
+def q_negatives(spark, sf_dir):
+    """U7 + A1: one negative basket per pid that kept at least one try."""
+    e, cand = _tries(spark, sf_dir)
+    c = drop_seen_names(attach_names(drop_seen_items(cand, e), e), e)
+    inst, pairs = group_negatives(drop_seen_makers(attach_makers(c, e), e))
+    lists = pairs.groupBy("pid").agg(F.array_sort(F.collect_list("item_id")).alias("item_ids"))
+    return inst.join(lists, "pid").select("pid", "label", "pname", ids_text("item_ids").alias("item_ids"))
+
+
+# ---- labelled instances ---------------------------------------------------------------------
+
+@register("labelled_instances", Sql().instances().render(f"""
+SELECT i.instance_id, i.pid, i.label, i.pname, count(*) AS n_features,
+       array_to_string(list_sort(list(f.feature_id)), ' ') AS feature_ids
+FROM instances i JOIN instance_features f ON i.instance_id = f.instance_id
+GROUP BY i.instance_id, i.pid, i.label, i.pname"""))
+def q_labelled_instances(spark, sf_dir):
+    """Step 2a: positives and sampled negatives with their item and name features."""
+    enc, inst, feats = ctx.labelled(spark, sf_dir)
+    per = feats.groupBy("instance_id").agg(F.count(F.lit(1)).alias("n_features"),
+                                           F.array_sort(F.collect_list("feature_id")).alias("f"))
+    return inst.join(per, "instance_id").select("instance_id", "pid", "label", "pname", "n_features",
+                                                ids_text("f").alias("feature_ids"))
+
+
+@register("split_instances", Sql().instances().render("SELECT instance_id, label, split FROM instances"))
+def q_split_instances(spark, sf_dir):
+    """1 % test share by md5 uniform of the instance id (seed 1)."""
+    enc, inst, feats = ctx.labelled(spark, sf_dir)
+    return inst.select("instance_id", "label", "split")
+
+
+@register("libsvm_lines", Sql().instances().render("""
+SELECT i.instance_id, i.split,
+       CAST(CAST(i.label AS DOUBLE) AS VARCHAR) || ' ' ||
+       string_agg(CAST(f.feature_id + 1 AS VARCHAR) || ':' || CAST(f.value AS VARCHAR), ' ' ORDER BY f.feature_id)
+         AS line
+FROM instances i JOIN instance_features f ON i.instance_id = f.instance_id
+GROUP BY i.instance_id, i.split, i.label"""))
+def q_libsvm_lines(spark, sf_dir):
+    """libSVM text of every labelled instance, 1-based ascending indices."""
+    enc, inst, feats = ctx.labelled(spark, sf_dir)
+    lines = libsvm_lines(inst, feats)
+    return inst.select("instance_id", "split").join(lines, "instance_id")
+
+
+_fr = Sql().instances()
+_fr.num_features()
+
+
+@register("feature_range", _fr.render("""
+SELECT count(*) AS n_rows, min(feature_id) AS min_feature_id, max(feature_id) AS max_feature_id,
+       (SELECT n FROM num_features) AS num_features,
+       min(feature_id) >= 0 AND max(feature_id) < (SELECT n FROM num_features) AS in_range
+FROM instance_features"""))
+def q_feature_range(spark, sf_dir):
+    """F7 + A9: all instance feature ids fall inside N + 1 + V."""
+    enc, inst, feats = ctx.labelled(spark, sf_dir)
+    return check_feature_range(feats, enc.num_features)
+
+
+_po = Sql().basket_features()
+_po.add("po_lines", f"""
+    SELECT pid, CASE WHEN {sql_uniform('1', 'pid')} < 0.01 THEN 'test' ELSE 'train' END AS split,
+           '1.0 ' || string_agg(CAST(feature_id + 1 AS VARCHAR) || ':' || CAST(value AS VARCHAR), ' '
+                                 ORDER BY feature_id) AS line
+    FROM basket_features GROUP BY pid""")
+
+
+@register("positive_only_instances", _po.render("SELECT pid, split, line FROM po_lines"))
+def q_positive_only_instances(spark, sf_dir):
+    """Step 2b: every basket as a positive (label 1.0) libSVM line, split by basket."""
+    enc = ctx.encoders(spark, sf_dir)
+    feats = basket_features(ctx.items(spark, sf_dir), enc)
+    labels = feats.select("pid").distinct().withColumn("label", F.lit(1.0))
+    lines = libsvm_lines(labels, feats, key="pid")
+    return split_instances(lines, 0.01, 1, split_by="pid").select("pid", "split", "line")
+
 FLAGSHIP = "positives"

@@ -27,6 +27,7 @@ def build_session(master: str | None = None, app: str = "trolley",
         builder = builder.master(master)
     conf = dict(_ADAPTIVE)
     conf["spark.ui.enabled"] = "false"
+    conf["spark.ui.showConsoleProgress"] = "false"
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
