@@ -172,3 +172,101 @@ class Sql:
 
 def gaussian_sql(*parts: str) -> str:
     return sql_gaussian(*parts)
+
+
+class FmSql:
+    """FM steps in SQL over long-form parameters ``p_v(feature_id, f, v)``, ``p_w(feature_id, w)``."""
+
+    def __init__(self, sql: Sql, k: int, std: float, seed: int, step: float, reg: tuple, task: int = 1,
+                 mean: float = 0.0):
+        self.sql, self.k, self.std, self.seed, self.step_size, self.reg, self.task, self.mean = (
+            sql, k, std, seed, step, reg, task, mean)
+        sql.instances()
+        sql.num_features()
+        sql.add("p0_v", f"""
+    SELECT r.range AS feature_id, f.range AS f,
+           {mean!r} + {std!r} * {sql_gaussian(str(seed), "'v'", 'r.range', 'f.range')} AS v
+    FROM range((SELECT n FROM num_features)) r, range({k}) f""")
+        sql.add("p0_w", "SELECT range AS feature_id, 0.0 AS w FROM range((SELECT n FROM num_features))")
+        sql.add("p0_w0", "SELECT 0.0 AS w0")
+        sql.add("train_inst", """
+    SELECT instance_id, CASE WHEN label > 0 THEN 1.0 ELSE -1.0 END AS y FROM instances WHERE split = 'train'""")
+        sql.add("lrange", "SELECT min(label) AS lo, max(label) AS hi FROM instances WHERE split = 'train'")
+        sql.add("train_feats", """
+    SELECT f.instance_id, f.feature_id, f.value FROM instance_features f
+    WHERE f.instance_id IN (SELECT instance_id FROM train_inst)""")
+
+    def margins(self, t: int, inst: str = "train_inst", feats: str = "train_feats", tag: str = "") -> str:
+        """CTE ``st{t}{tag}(instance_id, y, z, m, loss)`` and ``mv{t}{tag}`` factor sums, model after t steps."""
+        sql, sfx = self.sql, f"{t}{tag}"
+        sql.add(f"mv{sfx}", f"""
+    SELECT x.instance_id, p.f, sum(p.v * x.value) AS s, sum(p.v * p.v * x.value * x.value) AS q
+    FROM {feats} x JOIN p{t}_v p ON x.feature_id = p.feature_id GROUP BY x.instance_id, p.f""")
+        sql.add(f"ml{sfx}", f"""
+    SELECT x.instance_id, sum(p.w * x.value) AS lin
+    FROM {feats} x JOIN p{t}_w p ON x.feature_id = p.feature_id GROUP BY x.instance_id""")
+        sql.add(f"mq{sfx}", f"""
+    SELECT instance_id, sum(s * s) AS ss, sum(q) AS q FROM mv{sfx} GROUP BY instance_id""")
+        y = "i.y" if "y" in self._inst_cols(inst) else "NULL"
+        sql.add(f"st{sfx}", f"""
+    SELECT i.instance_id, {y} AS y,
+           (SELECT w0 FROM p{t}_w0) + coalesce(l.lin, 0.0) + 0.5 * coalesce(q.ss - q.q, 0.0) AS z
+    FROM {inst} i LEFT JOIN ml{sfx} l ON i.instance_id = l.instance_id
+    LEFT JOIN mq{sfx} q ON i.instance_id = q.instance_id""")
+        return f"st{sfx}"
+
+    @staticmethod
+    def _inst_cols(inst: str) -> set:
+        return {"y"} if inst == "train_inst" else set()
+
+    def residuals(self, t: int) -> str:
+        st = self.margins(t)
+        if self.task == 1:
+            m = "-y * (1.0 - 1.0 / (1.0 + exp(-y * z)))"
+            loss = "ln(1 + exp(-y * z))"
+        else:
+            zc = "least(greatest(z, (SELECT lo FROM lrange)), (SELECT hi FROM lrange))"
+            m = f"{zc} - y"
+            loss = f"0.5 * ({zc} - y) * ({zc} - y)"
+        self.sql.add(f"rs{t}", f"SELECT instance_id, y, z, {m} AS m, {loss} AS loss FROM {st}")
+        return f"rs{t}"
+
+    def gradient(self, t: int) -> str:
+        rs = self.residuals(t)
+        self.sql.add(f"g{t}", f"""
+    SELECT x.feature_id, sum(r.m * x.value) AS c, sum(r.m * x.value * x.value) AS b
+    FROM train_feats x JOIN {rs} r ON x.instance_id = r.instance_id GROUP BY x.feature_id""")
+        self.sql.add(f"ga{t}", f"""
+    SELECT x.feature_id, v.f, sum(r.m * v.s * x.value) AS a
+    FROM train_feats x JOIN {rs} r ON x.instance_id = r.instance_id
+    JOIN mv{t} v ON v.instance_id = x.instance_id GROUP BY x.feature_id, v.f""")
+        return f"g{t}"
+
+    def step(self, t: int) -> None:
+        """Parameters after step t + 1 from those after step t (T2, full batch)."""
+        import math
+        self.gradient(t)
+        r0, r1, r2 = self.reg
+        eta = self.step_size / math.sqrt(t + 1)
+        n = f"(SELECT count(*) FROM rs{t})"
+        scale = f"(1.0 / {n})"
+        self.sql.add(f"p{t + 1}_w", f"""
+    SELECT p.feature_id,
+           CASE WHEN g.c IS NULL THEN p.w ELSE p.w - {eta!r} * (g.c * {scale} + {r1!r} * p.w) END AS w
+    FROM p{t}_w p LEFT JOIN g{t} g ON p.feature_id = g.feature_id""")
+        self.sql.add(f"p{t + 1}_v", f"""
+    SELECT p.feature_id, p.f,
+           CASE WHEN g.c IS NULL THEN p.v
+                ELSE p.v - {eta!r} * ((a.a - p.v * g.b) * {scale} + {r2!r} * p.v) END AS v
+    FROM p{t}_v p LEFT JOIN g{t} g ON p.feature_id = g.feature_id
+    LEFT JOIN ga{t} a ON a.feature_id = p.feature_id AND a.f = p.f""")
+        self.sql.add(f"p{t + 1}_w0", f"""
+    SELECT w0 - {eta!r} * ((SELECT sum(m) FROM rs{t}) / {n} + {r0!r} * w0) AS w0 FROM p{t}_w0""")
+
+    def params_after(self, t: int) -> str:
+        for i in range(t):
+            if f"p{i + 1}_v" not in self.sql.ctes:
+                self.step(i)
+        return f"""
+SELECT v.feature_id, v.f, round(w.w, 6) AS w, round(v.v, 6) AS v, round((SELECT w0 FROM p{t}_w0), 6) AS w0
+FROM p{t}_v v JOIN p{t}_w w ON v.feature_id = w.feature_id"""

@@ -25,7 +25,9 @@ from trolley.operators.split import split_instances
 from trolley.operators.vocab import fit_vocab
 from trolley.plans import context as ctx
 from trolley.functions.hashing import sql_uniform
-from trolley.plans.oracle import HISTORY_BEFORE, VOCAB_SIZE, Sql, arr_text, dict_sql, items_sql
+from trolley.operators.fm import (FMMeta, FMParams, fm_gradient, fm_init, fm_residuals, fm_score, fm_step,
+                                 label_range)
+from trolley.plans.oracle import FmSql, HISTORY_BEFORE, VOCAB_SIZE, Sql, arr_text, dict_sql, items_sql
 from trolley.session import ensure_checkpoint_dir
 from trolley.sources.baskets import read_baskets, stand_in_baskets, write_baskets
 
@@ -304,4 +306,134 @@ def q_positive_only_instances(spark, sf_dir):
     lines = libsvm_lines(labels, feats, key="pid")
     return split_instances(lines, 0.01, 1, split_by="pid").select("pid", "split", "line")
 
+
+# ---- factorization machine --------------------------------------------------------------------
+# Small, fixed configuration for oracle checks: k = 4 keeps the SQL readable; every
+# regularization term is non-zero so each update path is exercised.
+ORACLE_FM = FMParams(k=4, task=1, iterations=2, step=0.5, reg=(0.01, 0.001, 0.05), init_std=0.1, seed=7)
+
+
+class _FmOracle(Sql):
+    """Renders FM oracle SQL with rounded doubles normalised (-0.0 becomes 0.0, as in Spark)."""
+
+    def render(self, final: str) -> str:
+        return super().render(final.replace(", 6)", ", 6) + 0.0"))
+
+
+def _fm_sql() -> FmSql:
+    hp = ORACLE_FM
+    return FmSql(_FmOracle(), hp.k, hp.init_std, hp.seed, hp.step, hp.reg, hp.task)
+
+
+def _r6(c) -> F.Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+
+
+def _fm_context(spark, sf_dir, task: int = 1):
+    enc, inst, feats = ctx.labelled(spark, sf_dir)
+    train = inst.where(F.col("split") == "train")
+    meta = FMMeta(num_features=enc.num_features, k=ORACLE_FM.k, task=task)
+    if task == 0:
+        lo, hi = label_range(train)
+        meta = FMMeta(num_features=enc.num_features, k=ORACLE_FM.k, task=0, min_label=lo, max_label=hi)
+    params = fm_init(spark, enc.num_features, ORACLE_FM.k, ORACLE_FM.init_std, ORACLE_FM.seed)
+    return enc, inst, feats, train, meta, params
+
+
+def _long_params(params, meta):
+    return params.select("feature_id", "w", F.posexplode("v").alias("f", "v")).select(
+        "feature_id", "f", _r6("w").alias("w"), _r6("v").alias("v"), F.round(F.lit(meta.w0), 6).alias("w0"))
+
+
+_fi = _fm_sql()
+
+
+@register("fm_init", _fi.sql.render(_fi.params_after(0)))
+def q_fm_init(spark, sf_dir):
+    """M2: w = 0, v ~ Normal(0, 0.1) by Box-Muller on md5 uniforms (seed 7), n = N + 1 + V."""
+    enc = ctx.encoders(spark, sf_dir)
+    meta = FMMeta(num_features=enc.num_features, k=ORACLE_FM.k)
+    return _long_params(fm_init(spark, enc.num_features, ORACLE_FM.k, ORACLE_FM.init_std, ORACLE_FM.seed), meta)
+
+
+_fc = _fm_sql()
+_fc_st = _fc.margins(0, inst="instances", feats="instance_features", tag="all")
+
+
+@register("fm_score_class", _fc.sql.render(
+    f"SELECT instance_id, round(z, 6) AS z, round(1.0 / (1.0 + exp(-z)), 6) AS prediction FROM {_fc_st}"))
+def q_fm_score_class(spark, sf_dir):
+    """M1 + F9: probability of every labelled instance under the initial model."""
+    enc, inst, feats, train, meta, params = _fm_context(spark, sf_dir)
+    s = fm_score(inst.select("instance_id"), feats, params, meta)
+    return s.select("instance_id", _r6("z").alias("z"), _r6("prediction").alias("prediction"))
+
+
+_fr2 = _fm_sql()
+_fr2_st = _fr2.margins(0, inst="instances", feats="instance_features", tag="all")
+
+
+@register("fm_score_reg", _fr2.sql.render(f"""
+SELECT instance_id, round(z, 6) AS z,
+       round(least(greatest(z, (SELECT lo FROM lrange)), (SELECT hi FROM lrange)), 6) AS prediction
+FROM {_fr2_st}"""))
+def q_fm_score_reg(spark, sf_dir):
+    """M1 + F10: regression scores clipped to the training label range."""
+    enc, inst, feats, train, meta, params = _fm_context(spark, sf_dir, task=0)
+    s = fm_score(inst.select("instance_id"), feats, params, meta)
+    return s.select("instance_id", _r6("z").alias("z"), _r6("prediction").alias("prediction"))
+
+
+_lr = _fm_sql()
+
+
+@register("label_range", _lr.sql.render("SELECT lo AS min_label, hi AS max_label FROM lrange"))
+def q_label_range(spark, sf_dir):
+    """Label range of the training instances."""
+    enc, inst, feats = ctx.labelled(spark, sf_dir)
+    return inst.where(F.col("split") == "train").agg(F.min("label").alias("min_label"),
+                                                     F.max("label").alias("max_label"))
+
+
+_rs = _fm_sql()
+_rs_name = _rs.residuals(0)
+
+
+@register("fm_residual", _rs.sql.render(
+    f"SELECT instance_id, y, round(z, 6) AS z, round(m, 6) AS m, round(loss, 6) AS loss FROM {_rs_name}"))
+def q_fm_residual(spark, sf_dir):
+    """M3 + F12: logistic residual and loss of every training instance (labels as +1/-1)."""
+    enc, inst, feats, train, meta, params = _fm_context(spark, sf_dir)
+    r = fm_residuals(train, feats, params, meta)
+    return r.select("instance_id", "y", _r6("z").alias("z"), _r6("m").alias("m"), _r6("loss").alias("loss"))
+
+
+_gr = _fm_sql()
+_gr.gradient(0)
+
+
+@register("fm_gradient", _gr.sql.render("""
+SELECT g.feature_id, a.f, round(g.c, 6) AS c, round(g.b, 6) AS b, round(a.a, 6) AS a
+FROM g0 g JOIN ga0 a ON g.feature_id = a.feature_id"""))
+def q_fm_gradient(spark, sf_dir):
+    """M4: per active feature, sum m x, sum m x^2 and sum m s_f x over the training batch."""
+    enc, inst, feats, train, meta, params = _fm_context(spark, sf_dir)
+    tf = feats.join(train.select("instance_id"), "instance_id", "left_semi")
+    g = fm_gradient(tf, fm_residuals(train, tf, params, meta), meta)
+    return g.select("feature_id", _r6("c").alias("c"), _r6("b").alias("b"),
+                    F.posexplode("a").alias("f", "a")).select("feature_id", "f", "c", "b", _r6("a").alias("a"))
+
+
+def _steps(spark, sf_dir, n_steps):
+    enc, inst, feats, train, meta, params = _fm_context(spark, sf_dir)
+    for t in range(1, n_steps + 1):
+        params, meta, _ = fm_step(train, feats, params, meta, t, ORACLE_FM)
+    return _long_params(params, meta)
+
+
+for _t in (1, 2):
+    _st = _fm_sql()
+    register(f"fm_step_{_t}", _st.sql.render(_st.params_after(_t)))(
+        (lambda n: lambda spark, sf_dir: _steps(spark, sf_dir, n))(_t))
+
 FLAGSHIP = "positives"
