@@ -27,6 +27,8 @@ from trolley.plans import context as ctx
 from trolley.functions.hashing import sql_uniform
 from trolley.operators.fm import (FMMeta, FMParams, fm_gradient, fm_init, fm_residuals, fm_score, fm_step,
                                  label_range)
+from trolley.operators.evaluate import curve_areas
+from trolley.operators.recommend import basket_profile, recommend, submission_lines
 from trolley.plans.oracle import FmSql, HISTORY_BEFORE, VOCAB_SIZE, Sql, arr_text, dict_sql, items_sql
 from trolley.session import ensure_checkpoint_dir
 from trolley.sources.baskets import read_baskets, stand_in_baskets, write_baskets
@@ -436,4 +438,147 @@ for _t in (1, 2):
     register(f"fm_step_{_t}", _st.sql.render(_st.params_after(_t)))(
         (lambda n: lambda spark, sf_dir: _steps(spark, sf_dir, n))(_t))
 
-FLAGSHIP = "positives"
+
+# ---- recommendation and evaluation -------------------------------------------------------------
+
+REC_M = 100_000      # candidates: the most frequent items (bounded by N)
+REC_K_REPORT = 10    # ranked rows reported per basket by `recommend`
+REC_K_SUBMIT = 500   # items per submission line
+
+
+def _trained(spark, sf_dir, n_steps):
+    enc, inst, feats, train, meta, params = _fm_context(spark, sf_dir)
+    for t in range(1, n_steps + 1):
+        params, meta, _ = fm_step(train, feats, params, meta, t, ORACLE_FM)
+    return enc, inst, feats, params, meta
+
+
+def _rec_sql(k: int) -> tuple[FmSql, str]:
+    fs = _fm_sql()
+    fs.params_after(1)
+    q = fs.sql
+    q.basket_features()
+    q.add("bk", "SELECT DISTINCT pid AS instance_id FROM basket_features")
+    q.add("bf", "SELECT pid AS instance_id, feature_id, value FROM basket_features")
+    st = fs.margins(1, inst="bk", feats="bf", tag="b")
+    piv_s = ", ".join(f"max(CASE WHEN f = {f} THEN s END) AS s{f}" for f in range(ORACLE_FM.k))
+    piv_v = ", ".join(f"max(CASE WHEN f = {f} THEN v END) AS v{f}" for f in range(ORACLE_FM.k))
+    dot = " + ".join(f"c.v{f} * p.s{f}" for f in range(ORACLE_FM.k))
+    q.add("prof", f"""
+    SELECT t.instance_id AS pid, t.z, {piv_s}
+    FROM {st} t JOIN mv1b m ON t.instance_id = m.instance_id GROUP BY t.instance_id, t.z""")
+    q.add("cand", f"""
+    SELECT w.feature_id AS item_id, w.w, {piv_v}
+    FROM p1_w w JOIN p1_v v ON w.feature_id = v.feature_id
+    WHERE w.feature_id < least({REC_M}, (SELECT n FROM n_items)) GROUP BY w.feature_id, w.w""")
+    q.add("scored", f"""
+    SELECT p.pid, c.item_id, 1.0 / (1.0 + exp(-((p.z + c.w) + ({dot})))) AS score
+    FROM prof p, cand c
+    WHERE NOT EXISTS (SELECT 1 FROM encoded e WHERE e.pid = p.pid AND e.item_id = c.item_id)""")
+    q.add("ranked", f"""
+    SELECT * FROM (SELECT pid, item_id, score,
+                          row_number() OVER (PARTITION BY pid ORDER BY score DESC, item_id) AS rank
+                   FROM scored) WHERE rank <= {k}""")
+    return fs, "ranked"
+
+
+def _rec(spark, sf_dir, k):
+    enc, inst, feats, params, meta = _trained(spark, sf_dir, 1)
+    bf = basket_features(ctx.items(spark, sf_dir), enc)
+    return enc, recommend(bf, params, meta, enc.n_items, k=k, m=REC_M)
+
+
+_bp = _fm_sql()
+_bp.params_after(1)
+_bp.sql.basket_features()
+_bp.sql.add("bk", "SELECT DISTINCT pid AS instance_id FROM basket_features")
+_bp.sql.add("bf", "SELECT pid AS instance_id, feature_id, value FROM basket_features")
+_bp_st = _bp.margins(1, inst="bk", feats="bf", tag="b")
+
+
+@register("basket_profile", _bp.sql.render(f"""
+SELECT t.instance_id AS pid, round(t.z, 6) AS z, m.f, round(m.s, 6) AS s
+FROM {_bp_st} t JOIN mv1b m ON t.instance_id = m.instance_id"""))
+def q_basket_profile(spark, sf_dir):
+    """R2: raw score and factor sums of every basket under the one-step model."""
+    enc, inst, feats, params, meta = _trained(spark, sf_dir, 1)
+    bf = basket_features(ctx.items(spark, sf_dir), enc)
+    p = basket_profile(bf, params, meta)
+    return p.select("pid", _r6("z").alias("z"), F.posexplode("s").alias("f", "s")).select(
+        "pid", "z", "f", _r6("s").alias("s"))
+
+
+_rq, _rq_name = _rec_sql(REC_K_REPORT)
+
+
+@register("recommend", _rq.sql.render(
+    f"SELECT pid, item_id, round(score, 6) AS score, rank FROM {_rq_name}"))
+def q_recommend(spark, sf_dir):
+    """R1 + U3 + P10 + P11: top 10 new popular items per basket, ties to the lower id."""
+    enc, recs = _rec(spark, sf_dir, REC_K_REPORT)
+    return recs.select("pid", "item_id", _r6("score").alias("score"), "rank")
+
+
+_sq, _sq_name = _rec_sql(REC_K_SUBMIT)
+
+
+@register("submission_lines", _sq.sql.render(f"""
+SELECT r.pid, CAST(r.pid AS VARCHAR) || ',' || string_agg(d.item, ',' ORDER BY r.rank) AS line
+FROM {_sq_name} r JOIN item_dict d ON r.item_id = d.item_id GROUP BY r.pid"""))
+def q_submission_lines(spark, sf_dir):
+    """J7 + S6: ``pid,item1,...,item500`` per basket (decoded item strings in rank order)."""
+    enc, recs = _rec(spark, sf_dir, REC_K_SUBMIT)
+    return submission_lines(recs, enc.item_dict)
+
+
+def _auc_sql(threshold: float | None) -> str:
+    fs = _fm_sql()
+    fs.params_after(2)
+    q = fs.sql
+    q.add("test_inst", "SELECT instance_id, label FROM instances WHERE split = 'test'")
+    q.add("test_feats", """
+    SELECT f.instance_id, f.feature_id, f.value FROM instance_features f
+    WHERE f.instance_id IN (SELECT instance_id FROM test_inst)""")
+    st = fs.margins(2, inst="test_inst", feats="test_feats", tag="t")
+    prob = "1.0 / (1.0 + exp(-t.z))"
+    score = prob if threshold is None else f"CASE WHEN {prob} >= {threshold} THEN 1.0 ELSE 0.0 END"
+    q.add("sc", f"SELECT i.label, {score} AS score FROM {st} t JOIN test_inst i ON t.instance_id = i.instance_id")
+    q.add("cnt", """
+    SELECT score, sum(CASE WHEN label > 0.5 THEN 1 ELSE 0 END) AS pos,
+           sum(CASE WHEN label > 0.5 THEN 0 ELSE 1 END) AS neg FROM sc GROUP BY score""")
+    q.add("cum", """
+    SELECT score, pos, neg,
+           sum(pos) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS tp,
+           sum(neg) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS fp FROM cnt""")
+    q.add("pts", """
+    SELECT pos, neg, tp - pos AS tp0, fp - neg AS fp0, tp / (tp + fp) AS prec,
+           CASE WHEN tp - pos + fp - neg = 0 THEN tp / (tp + fp)
+                ELSE (tp - pos) / (tp - pos + fp - neg) END AS prec0 FROM cum""")
+    return q.render("""
+SELECT round(sum(neg * (2.0 * tp0 + pos)) / (2.0 * sum(pos) * sum(neg)), 6) AS area_under_roc,
+       round(sum(pos * (prec + prec0) / 2.0) / sum(pos), 6) AS area_under_pr,
+       sum(pos) AS n_pos, sum(neg) AS n_neg
+FROM pts""")
+
+
+def _auc(spark, sf_dir, threshold):
+    enc, inst, feats, params, meta = _trained(spark, sf_dir, 2)
+    test = inst.where(F.col("split") == "test")
+    scored = fm_score(test.select("instance_id", "label"), feats, params, meta)
+    a = curve_areas(scored, "prediction", "label", threshold)
+    return a.select(_r6("area_under_roc").alias("area_under_roc"), _r6("area_under_pr").alias("area_under_pr"),
+                    "n_pos", "n_neg")
+
+
+@register("auc_threshold", _auc_sql(0.5))
+def q_auc_threshold(spark, sf_dir):
+    """F11 + E1 + E2: areas on 0/1 decisions at 0.5 for the hold-out, two-step model."""
+    return _auc(spark, sf_dir, 0.5)
+
+
+@register("auc_raw", _auc_sql(None))
+def q_auc_raw(spark, sf_dir):
+    """E1 + E2 on raw probabilities of the hold-out."""
+    return _auc(spark, sf_dir, None)
+
+FLAGSHIP = "recommend"
