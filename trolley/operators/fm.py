@@ -344,7 +344,9 @@ def fm_local_sgd_step(rows: DataFrame, touched: DataFrame, params: DataFrame, me
     number), so no task ever holds the whole model. Returns (new params, w0 delta row).
     """
     w0, k = meta.w0, meta.k
-    tp = touched.join(params, "feature_id").select("part", "feature_id", "w", "v")
+    # fresh attributes: both cogroup sides derive from the same rows, which Spark rejects as ambiguous
+    tp = touched.join(params, "feature_id").select((F.col("part") + 0).alias("part"),
+                                                   (F.col("feature_id") + 0).alias("feature_id"), "w", "v")
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty:

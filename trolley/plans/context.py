@@ -48,8 +48,9 @@ def labelled(spark: SparkSession, sf_dir: str, enc: Encoders | None = None,
     """Step 2a on the stand-in: encoders, instances ``(instance_id, pid, label, pname, split)``,
     their long features and the surviving negative tries."""
     enc = enc or encoders(spark, sf_dir)
-    e = encoded(spark, sf_dir, enc)
+    # basket items feed five joins and two groupings: written once, read by all of them
+    e = materialize(encoded(spark, sf_dir, enc))
     neg_inst, neg_pairs = sample_negatives(e, enc.n_items)
-    inst = split_instances(label_baskets(positive_baskets(e), neg_inst), test_share, seed)
-    feats = instance_features(inst, basket_item_pairs(e), neg_pairs, enc)
+    inst = materialize(split_instances(label_baskets(positive_baskets(e), neg_inst), test_share, seed))
+    feats = materialize(instance_features(inst, basket_item_pairs(e), neg_pairs, enc))
     return enc, inst, feats

@@ -30,7 +30,7 @@ from trolley.operators.fm import (FMMeta, FMParams, fm_gradient, fm_init, fm_res
 from trolley.operators.evaluate import curve_areas
 from trolley.operators.recommend import basket_profile, recommend, submission_lines
 from trolley.plans.oracle import FmSql, HISTORY_BEFORE, VOCAB_SIZE, Sql, arr_text, dict_sql, items_sql
-from trolley.session import ensure_checkpoint_dir
+from trolley.session import ensure_checkpoint_dir, materialize
 from trolley.sources.baskets import read_baskets, stand_in_baskets, write_baskets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -430,6 +430,7 @@ def _steps(spark, sf_dir, n_steps):
     enc, inst, feats, train, meta, params = _fm_context(spark, sf_dir)
     for t in range(1, n_steps + 1):
         params, meta, _ = fm_step(train, feats, params, meta, t, ORACLE_FM)
+        params = materialize(params)
     return _long_params(params, meta)
 
 
@@ -450,6 +451,7 @@ def _trained(spark, sf_dir, n_steps):
     enc, inst, feats, train, meta, params = _fm_context(spark, sf_dir)
     for t in range(1, n_steps + 1):
         params, meta, _ = fm_step(train, feats, params, meta, t, ORACLE_FM)
+        params = materialize(params)
     return enc, inst, feats, params, meta
 
 
