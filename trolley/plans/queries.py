@@ -583,4 +583,94 @@ def q_auc_raw(spark, sf_dir):
     """E1 + E2 on raw probabilities of the hold-out."""
     return _auc(spark, sf_dir, None)
 
+
+# ---- round trips, trainers with rows-only checks, evaluation job -----------------------------------
+
+def _scratch(spark, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+_mr = _fm_sql()
+
+
+@register("model_round_trip", _mr.sql.render(_mr.params_after(1)))
+def q_model_round_trip(spark, sf_dir):
+    """S8 + S9: the one-step model saved, reloaded and validated equals the oracle step."""
+    from trolley.sources.model_io import load_fm, save_fm
+    enc, inst, feats, params, meta = _trained(spark, sf_dir, 1)
+    path = _scratch(spark, "model")
+    save_fm(params, meta, path)
+    params2, meta2 = load_fm(spark, path)
+    return _long_params(params2, meta2)
+
+
+@register("dict_round_trip", Sql().items().render(f"SELECT * FROM ({dict_sql('items', 'item', 'item_id')})"))
+def q_dict_round_trip(spark, sf_dir):
+    """Item dictionary saved (overwrite) and loaded back."""
+    from trolley.operators.dictionary import load_dict, save_dict
+    path = _scratch(spark, "item-dict")
+    save_dict(fit_dict(ctx.items(spark, sf_dir), "item", "item_id"), path)
+    save_dict(load_dict(spark, path), path + "-copy")
+    return load_dict(spark, path + "-copy")
+
+
+@register("libsvm_round_trip", Sql().instances().render("""
+SELECT CAST(i.label AS DOUBLE) AS label, count(*) AS n_features,
+       array_to_string(list_sort(list(f.feature_id)), ' ') AS feature_ids
+FROM instances i JOIN instance_features f ON i.instance_id = f.instance_id
+GROUP BY i.instance_id, i.label"""))
+def q_libsvm_round_trip(spark, sf_dir):
+    """S3 + S4: libSVM lines written as text and parsed back into long features."""
+    from trolley.sources.libsvm import read_libsvm, write_libsvm
+    enc, inst, feats = ctx.labelled(spark, sf_dir)
+    path = _scratch(spark, "libsvm")
+    write_libsvm(libsvm_lines(inst, feats), path)
+    inst2, feats2 = read_libsvm(spark, path)
+    per = feats2.groupBy("instance_id").agg(F.count(F.lit(1)).alias("n_features"),
+                                            F.array_sort(F.collect_list("feature_id")).alias("f"))
+    return inst2.join(per, "instance_id").select("label", "n_features", ids_text("f").alias("feature_ids"))
+
+
+@register("evaluate_job", _auc_sql(0.5))
+def q_evaluate_job(spark, sf_dir):
+    """Hold-out libSVM file + saved two-step model -> ROC and PR areas at threshold 0.5."""
+    from trolley.plans.jobs import evaluate_job
+    from trolley.sources.libsvm import write_libsvm
+    from trolley.sources.model_io import save_fm
+    enc, inst, feats, params, meta = _trained(spark, sf_dir, 2)
+    test = inst.where(F.col("split") == "test")
+    lines = libsvm_lines(test, feats.join(test.select("instance_id"), "instance_id", "left_semi"))
+    test_path, model_path = _scratch(spark, "test"), _scratch(spark, "model")
+    write_libsvm(lines, test_path)
+    save_fm(params, meta, model_path)
+    a = evaluate_job(spark, test_path, model_path, 0.5)
+    return a.select(_r6("area_under_roc").alias("area_under_roc"), _r6("area_under_pr").alias("area_under_pr"),
+                    "n_pos", "n_neg")
+
+
+@register("fm_local_sgd")
+def q_fm_local_sgd(spark, sf_dir):
+    """T1 + A10 + T3: two passes of per-part SGD (8 parts) with averaged deltas."""
+    from trolley.operators.fm import fm_fit_local_sgd
+    enc, inst, feats, train, meta, params = _fm_context(spark, sf_dir)
+    hp = FMParams(k=ORACLE_FM.k, task=1, iterations=2, step=0.1, reg=ORACLE_FM.reg,
+                  init_std=ORACLE_FM.init_std, seed=ORACLE_FM.seed)
+    p2, m2, hist = fm_fit_local_sgd(train, feats, enc.num_features, hp, n_parts=8)
+    return _long_params(p2, m2)
+
+
+@register("fm_builtin")
+def q_fm_builtin(spark, sf_dir):
+    """Spark ML's FMClassifier on the same train split (vectors at the edge), hold-out areas."""
+    from pyspark.ml.classification import FMClassifier
+    from trolley.functions.vectors import to_sparse_vectors
+    enc, inst, feats = ctx.labelled(spark, sf_dir)
+    vecs = to_sparse_vectors(feats, "instance_id", enc.num_features)
+    data = inst.join(vecs, "instance_id").withColumn("label", F.col("label").cast("double"))
+    model = FMClassifier(factorSize=ORACLE_FM.k, maxIter=5, stepSize=0.1, initStd=ORACLE_FM.init_std,
+                         seed=ORACLE_FM.seed, solver="gd").fit(data.where(F.col("split") == "train"))
+    pred = model.transform(data.where(F.col("split") == "test"))
+    prob = pred.select("label", F.udf(lambda v: float(v[1]), "double")("probability").alias("score"))
+    return curve_areas(prob, "score", "label")
+
 FLAGSHIP = "recommend"
