@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from trolley.operators.baskets import fill_names
 from trolley.operators.dictionary import encode_items, fit_dict
-from trolley.operators.vocab import DEFAULT_VOCAB_SIZE, encode_tokens, fit_vocab, tokens_of
+from trolley.operators.vocab import DEFAULT_VOCAB_SIZE, encode_token_rows, fit_vocab, token_rows
 from trolley.operators.baskets import item_text
 from trolley.session import materialize
 
@@ -58,8 +58,8 @@ def group_baskets(encoded: DataFrame) -> DataFrame:
 def name_features(names: DataFrame, key: str, name_col: str, enc: Encoders) -> DataFrame:
     """F3-F5 + offset: ``(key, feature_id)`` of the name tokens, stop words removed."""
     filled = fill_names(names.select(key, F.col(name_col).alias("__name")), ["__name"])
-    toks = tokens_of(filled, "__name", "tokens", stop_words=True)
-    coded = encode_tokens(toks, [key], "tokens", enc.vocab, enc.vocab_cap)
+    toks = token_rows(filled, [key], "__name", stop_words=True)
+    coded = encode_token_rows(toks, [key], enc.vocab, enc.vocab_cap)
     return coded.select(key, (F.col("token_id") + F.lit(enc.token_offset)).alias("feature_id"))
 
 

@@ -362,6 +362,8 @@ def fm_local_sgd_step(rows: DataFrame, touched: DataFrame, params: DataFrame, me
         (F.sum("dw") / F.lit(n_parts)).alias("dw"),
         *[(F.sum(F.col("dv").getItem(f)) / F.lit(n_parts)).alias(f"dv{f}") for f in range(k)])
     summed = summed.select("feature_id", "dw", F.array(*[F.col(f"dv{f}") for f in range(k)]).alias("dv"))
+    # one SGD pass per iteration: the averaged deltas are written once and read twice
+    summed = materialize(summed)
     new_params = (params.join(summed.where(F.col("feature_id") >= 0), "feature_id", "left")
                   .select("feature_id",
                           (F.col("w") + F.coalesce("dw", F.lit(0.0))).alias("w"),
@@ -388,10 +390,13 @@ def fm_fit_local_sgd(instances: DataFrame, features: DataFrame, num_features: in
     rows = (features.select(key, "feature_id", "value").join(labels, key)
             .select(F.col(key).alias("key"), "feature_id", "value", "y",
                     F.pmod(F.xxhash64(key), F.lit(n_parts)).alias("part")))
-    rows = materialize(rows.repartition(n_parts, "part"))
+    # written once (short lineage), then laid out by part and cached: every iteration's cogroup
+    # finds the rows already clustered and shuffles only the touched parameters
+    rows = materialize(rows).repartition(n_parts, "part").persist()
     touched = materialize(rows.select("part", "feature_id").distinct())
     history = []
     if rows.isEmpty():
+        rows.unpersist()
         return params, meta, history
     for t in range(1, hp.iterations + 1):
         new_params, w0_row = fm_local_sgd_step(rows, touched, params, meta, hp, t, n_parts)
@@ -400,6 +405,7 @@ def fm_fit_local_sgd(instances: DataFrame, features: DataFrame, num_features: in
         w0 = meta.w0 + (dw0["dw"] if dw0 is not None and meta.intercept else 0.0)
         params, meta = new_params, replace(meta, w0=w0)
         history.append({"t": t, "w0": w0})
+    rows.unpersist()
     return params, meta, history
 
 

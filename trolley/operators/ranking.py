@@ -23,7 +23,8 @@ def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column],
     spark = df.sparkSession
     n_parts = partitions or shuffle_partitions(spark)
     value_cols = {name: f"__rt_v_{name}" for name in sums}
-    base = df.select("*", *[expr.alias(value_cols[name]) for name, expr in sums.items()])
+    # written first: range partitioning samples its input, which would otherwise rerun the upstream plan
+    base = materialize(df.select("*", *[expr.alias(value_cols[name]) for name, expr in sums.items()]))
     ranged = materialize(base.repartitionByRange(n_parts, *order)
                          .withColumn(_PART, F.spark_partition_id()))
 

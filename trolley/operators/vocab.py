@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trolley.functions.text import drop_stop_words, tokenize
+from trolley.functions.text import ENGLISH_STOP_WORDS, TOKEN_GAP, drop_stop_words, tokenize
 from trolley.operators.ranking import dense_ids
 from trolley.session import broadcast_limit
 
@@ -21,6 +21,25 @@ def tokens_of(df: DataFrame, text_col: str, out_col: str = "tokens", stop_words:
     return df.withColumn(out_col, toks)
 
 
+def stop_word_table(spark) -> DataFrame:
+    """The fixed stop-word list as a one-column table (181 rows: a bounded broadcast side)."""
+    return spark.createDataFrame([(w.lower(),) for w in ENGLISH_STOP_WORDS], "token string")
+
+
+def token_rows(df: DataFrame, keys: list[str], text_col: str, stop_words: bool = False) -> DataFrame:
+    """F3 (+F4) in row form: one ``(keys..., token)`` row per token occurrence.
+
+    Same tokens as ``tokenize`` / ``drop_stop_words``, but as a generator plus filter and a
+    broadcast anti-join, which stay inside whole-stage code generation.
+    """
+    toks = (df.select(*keys, F.explode(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), TOKEN_GAP, -1))
+                      .alias("token"))
+            .where(F.length("token") > 0))
+    if stop_words:
+        toks = toks.join(F.broadcast(stop_word_table(df.sparkSession)), "token", "left_anti")
+    return toks
+
+
 def fit_vocab(texts: DataFrame, text_col: str = "names", size: int = DEFAULT_VOCAB_SIZE,
               stop_words: bool = False) -> DataFrame:
     """``(token, token_id, freq)`` for the ``size`` most frequent tokens.
@@ -30,8 +49,7 @@ def fit_vocab(texts: DataFrame, text_col: str = "names", size: int = DEFAULT_VOC
     """
     if size <= 0:
         raise ValueError("vocabulary size must be positive")
-    counts = (tokens_of(texts, text_col, "tokens", stop_words)
-              .select(F.explode("tokens").alias("token"))
+    counts = (token_rows(texts, [], text_col, stop_words)
               .groupBy("token").agg(F.count(F.lit(1)).alias("freq")))
     ranked = dense_ids(counts, [F.col("freq").desc(), F.col("token").asc()], "token_id")
     return ranked.where(F.col("token_id") < F.lit(size)).select("token", "token_id", "freq")
@@ -49,4 +67,10 @@ def encode_tokens(df: DataFrame, keys: list[str], tokens_col: str, vocab: DataFr
                   size_cap: int = DEFAULT_VOCAB_SIZE) -> DataFrame:
     """distinct ``(keys..., token_id)`` of in-vocabulary tokens (binary encoding)."""
     exploded = df.select(*keys, F.explode(tokens_col).alias("token"))
-    return exploded.join(vocab_lookup(vocab, size_cap), "token").select(*keys, "token_id").distinct()
+    return encode_token_rows(exploded, keys, vocab, size_cap)
+
+
+def encode_token_rows(tokens: DataFrame, keys: list[str], vocab: DataFrame,
+                      size_cap: int = DEFAULT_VOCAB_SIZE) -> DataFrame:
+    """F5 on token rows: distinct ``(keys..., token_id)`` of in-vocabulary tokens."""
+    return tokens.join(vocab_lookup(vocab, size_cap), "token").select(*keys, "token_id").distinct()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,12 +58,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: fixes nondeterministic partition layouts and cuts lineage.
+    """Write ``df`` once as a Parquet table in the shared checkpoint folder and read it back.
 
-    Files land in the shared checkpoint folder, so a lost executor does not lose them.
+    Cuts lineage and fixes anything nondeterministic upstream (partition layouts, sampled
+    range bounds). Unlike ``checkpoint()``, which computes the plan once to count and again to
+    write, this computes it once. The folder is the cluster's shared one, so a lost executor
+    never loses the table.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/tables/{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
