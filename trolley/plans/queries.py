@@ -673,4 +673,14 @@ def q_fm_builtin(spark, sf_dir):
     prob = pred.select("label", F.udf(lambda v: float(v[1]), "double")("probability").alias("score"))
     return curve_areas(prob, "score", "label")
 
+
+@register("features_round_trip", Sql().basket_features().render("SELECT pid, feature_id, value FROM basket_features"))
+def q_features_round_trip(spark, sf_dir):
+    """S5 + S2: challenge features written as Parquet and read back."""
+    from trolley.plans.jobs import challenge_features_job, read_features
+    enc = ctx.encoders(spark, sf_dir)
+    path = _scratch(spark, "features")
+    challenge_features_job(ctx.items(spark, sf_dir), enc, path)
+    return read_features(spark, path)
+
 FLAGSHIP = "recommend"
