@@ -27,7 +27,7 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, Stru
 
 from trolley.functions.hashing import gaussian, uniform
 from trolley.functions.links import CLASSIFICATION, REGRESSION, link, recode_label
-from trolley.session import broadcast_limit, materialize, shuffle_partitions
+from trolley.session import broadcast_limit, materialize, release, shuffle_partitions
 
 FORMAT_VERSION = "1.0"
 MODEL_CLASS = "trolley.FactorizationMachine"
@@ -285,6 +285,7 @@ def fm_fit_batch(instances: DataFrame, features: DataFrame, num_features: int, h
             diff = math.sqrt(d["diff"] + (new_meta.w0 - meta.w0) ** 2)
             norm = math.sqrt(d["norm"] + new_meta.w0 ** 2)
             info["diff"] = diff
+        release(params)  # superseded step: only tables this loop wrote are deleted
         params, meta = new_params, new_meta
         history.append(info)
         if hp.tolerance > 0 and diff < hp.tolerance * max(norm, 1.0):
@@ -369,7 +370,9 @@ def fm_local_sgd_step(rows: DataFrame, touched: DataFrame, params: DataFrame, me
                           (F.col("w") + F.coalesce("dw", F.lit(0.0))).alias("w"),
                           F.when(F.col("dv").isNull(), F.col("v"))
                           .otherwise(F.zip_with("v", "dv", lambda a, b: a + b)).alias("v")))
-    return new_params, summed.where(F.col("feature_id") < 0)
+    w0_row = summed.where(F.col("feature_id") < 0)
+    w0_row._trolley_table = getattr(summed, "_trolley_table", None)
+    return new_params, w0_row
 
 
 def fm_fit_local_sgd(instances: DataFrame, features: DataFrame, num_features: int, hp: FMParams,
@@ -403,6 +406,8 @@ def fm_fit_local_sgd(instances: DataFrame, features: DataFrame, num_features: in
         new_params = materialize(new_params)
         dw0 = w0_row.first()
         w0 = meta.w0 + (dw0["dw"] if dw0 is not None and meta.intercept else 0.0)
+        release(w0_row)
+        release(params)
         params, meta = new_params, replace(meta, w0=w0)
         history.append({"t": t, "w0": w0})
     rows.unpersist()

@@ -69,7 +69,24 @@ def materialize(df: DataFrame) -> DataFrame:
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/tables/{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._trolley_table = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete a table written by ``materialize`` once nothing will read it again.
+
+    Loops call this for superseded parameter tables, so a long training run keeps only the
+    latest step on shared storage. DataFrames not created by ``materialize`` are left alone.
+    """
+    path = getattr(df, "_trolley_table", None)
+    if not path:
+        return
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
