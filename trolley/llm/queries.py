@@ -46,3 +46,46 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = line_edit_dedup.dedup_lines(docs)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@_register
+def op1_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trolley.llm import quality_fm
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    model = quality_fm.fit(docs, table(spark, sf_dir, "labels").where(fold != 0))
+    return quality_fm.score(docs, model).select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score",
+                                                (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@_register
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trolley.llm import langid
+    docs = table(spark, sf_dir, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    model = langid.fit(docs.select("doc_id", "text", "lang").where(fold != 1))
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "language.lang_pred", "language.score",
+                        F.size("language.spans").cast("bigint").alias("n_spans"))
+
+
+@_register
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trolley.llm import sentencepiece_backend as sp
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = sp.encode(docs)
+    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), sp.ids_digest(F.col("ids")).alias("ids_sha256"))
+
+
+@_register
+def op7_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trolley.llm import repeated_phrases
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return repeated_phrases.dedup_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@_register
+def op8_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trolley.llm import page_diff
+    found = page_diff.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"), F.col("n_shared").cast("bigint"))
