@@ -89,3 +89,10 @@ def op8_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trolley.llm import page_diff
     found = page_diff.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"), F.col("n_shared").cast("bigint"))
+
+
+@_register
+def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trolley.llm import training_order
+    rows, _ = training_order.write_shards(spark, f"{sf_dir}/documents.parquet")
+    return rows
