@@ -22,7 +22,7 @@ from trolley.operators.negatives import sample_negatives
 from trolley.operators.recommend import recommend, submission_lines, write_submission
 from trolley.operators.split import split_instances
 from trolley.operators.vocab import DEFAULT_VOCAB_SIZE
-from trolley.session import materialize
+from trolley.session import materialize, release
 from trolley.sources.libsvm import read_libsvm, write_libsvm
 from trolley.sources.model_io import load_fm, save_fm
 
@@ -59,9 +59,11 @@ def instances_job(items: DataFrame, enc: Encoders, ratio: float = 1.0, test_shar
     feats = materialize(instance_features(inst, basket_item_pairs(e), neg_pairs, enc))
     assert_feature_range(feats, enc.num_features)
     if out_dir:
-        lines = libsvm_lines(inst, feats).join(inst.select("instance_id", "split"), "instance_id")
+        # one pass over the features for both splits
+        lines = materialize(libsvm_lines(inst, feats).join(inst.select("instance_id", "split"), "instance_id"))
         for part in ("train", "test"):
             write_libsvm(lines.where(F.col("split") == part), f"{out_dir}/{part}")
+        release(lines)
     return Labelled(inst, feats)
 
 
@@ -74,9 +76,11 @@ def positive_instances_job(items: DataFrame, enc: Encoders, test_share: float =
     inst = materialize(inst.withColumnRenamed("pid", "instance_id"))
     feats = feats.withColumnRenamed("pid", "instance_id")
     if out_dir:
-        lines = libsvm_lines(inst, feats).join(inst.select("instance_id", "split"), "instance_id")
+        # one pass over the features for both splits
+        lines = materialize(libsvm_lines(inst, feats).join(inst.select("instance_id", "split"), "instance_id"))
         for part in ("train", "test"):
             write_libsvm(lines.where(F.col("split") == part), f"{out_dir}/{part}")
+        release(lines)
     return Labelled(inst, feats)
 
 
@@ -120,10 +124,12 @@ def evaluate_job(spark: SparkSession, test_path: str, model_path: str, threshold
 
 
 def recommend_job(features: DataFrame, params: DataFrame, meta, enc: Encoders, k: int = 500,
-                  m: int = 100_000, out_path: str | None = None, files: int | None = None) -> DataFrame:
-    """Step 6: top-k lines ``pid,item1,...`` for every basket."""
-    recs = recommend(features, params, meta, enc.n_items, k=k, m=m)
-    lines = submission_lines(recs, enc.item_dict)
+                  m: int | None = None, out_path: str | None = None, files: int | None = None) -> DataFrame:
+    """Step 6: top-k lines ``pid,item1,...`` for every basket; all items are candidates unless ``m`` is given."""
+    recs = recommend(features, params, meta, enc.item_dict, enc.n_items, k=k, m=m)
+    lines = submission_lines(recs, features)
     if out_path:
         write_submission(lines, out_path, files)
+        return lines.sparkSession.read.text(out_path).select(
+            F.substring_index("value", ",", 1).cast("bigint").alias("pid"), F.col("value").alias("line"))
     return lines

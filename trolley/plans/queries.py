@@ -442,9 +442,7 @@ for _t in (1, 2):
 
 # ---- recommendation and evaluation -------------------------------------------------------------
 
-REC_M = 100_000      # candidates: the most frequent items (bounded by N)
-REC_K_REPORT = 10    # ranked rows reported per basket by `recommend`
-REC_K_SUBMIT = 500   # items per submission line
+REC_K = 500   # items per basket, the reference job's report size
 
 
 def _trained(spark, sf_dir, n_steps):
@@ -472,7 +470,7 @@ def _rec_sql(k: int) -> tuple[FmSql, str]:
     q.add("cand", f"""
     SELECT w.feature_id AS item_id, w.w, {piv_v}
     FROM p1_w w JOIN p1_v v ON w.feature_id = v.feature_id
-    WHERE w.feature_id < least({REC_M}, (SELECT n FROM n_items)) GROUP BY w.feature_id, w.w""")
+    WHERE w.feature_id < (SELECT n FROM n_items) GROUP BY w.feature_id, w.w""")
     q.add("scored", f"""
     SELECT p.pid, c.item_id, 1.0 / (1.0 + exp(-((p.z + c.w) + ({dot})))) AS score
     FROM prof p, cand c
@@ -486,8 +484,8 @@ def _rec_sql(k: int) -> tuple[FmSql, str]:
 
 def _rec(spark, sf_dir, k):
     enc, inst, feats, params, meta = _trained(spark, sf_dir, 1)
-    bf = basket_features(ctx.items(spark, sf_dir), enc)
-    return enc, recommend(bf, params, meta, enc.n_items, k=k, m=REC_M)
+    bf = materialize(basket_features(ctx.items(spark, sf_dir), enc))
+    return bf, recommend(bf, params, meta, enc.item_dict, enc.n_items, k=k)
 
 
 _bp = _fm_sql()
@@ -510,27 +508,42 @@ def q_basket_profile(spark, sf_dir):
         "pid", "z", "f", _r6("s").alias("s"))
 
 
-_rq, _rq_name = _rec_sql(REC_K_REPORT)
+_rq, _rq_name = _rec_sql(REC_K)
 
 
-@register("recommend", _rq.sql.render(
-    f"SELECT pid, item_id, round(score, 6) AS score, rank FROM {_rq_name}"))
+@register("recommend", _rq.sql.render(f"""
+SELECT pid, count(*) AS n_items,
+       string_agg(CAST(item_id AS VARCHAR) || ':' || CAST(CAST(round(score * 1000000) AS BIGINT) AS VARCHAR), ' ' ORDER BY rank) AS ranked
+FROM {_rq_name} GROUP BY pid"""))
 def q_recommend(spark, sf_dir):
-    """R1 + U3 + P10 + P11: top 10 new popular items per basket, ties to the lower id."""
-    enc, recs = _rec(spark, sf_dir, REC_K_REPORT)
-    return recs.select("pid", "item_id", _r6("score").alias("score"), "rank")
+    """R1 + U3 + P10: the top 500 of all new items per basket as ``id:score`` (millionths) in rank order."""
+    _, recs = _rec(spark, sf_dir, REC_K)
+    entry = F.concat_ws(":", F.col("item_id").cast("string"), F.round(F.col("score") * 1000000).cast("bigint").cast("string"))
+    per = recs.groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("rank", entry.alias("e")))).alias("r"))
+    return per.select("pid", F.size("r").cast("bigint").alias("n_items"),
+                      F.concat_ws(" ", F.transform("r", lambda x: x["e"])).alias("ranked"))
 
 
-_sq, _sq_name = _rec_sql(REC_K_SUBMIT)
+_sq, _sq_name = _rec_sql(REC_K)
+_SUBMISSION = _sq.sql.render(f"""
+SELECT p.pid, CAST(p.pid AS VARCHAR) || coalesce(',' || string_agg(d.item, ',' ORDER BY r.rank), '') AS line
+FROM prof p LEFT JOIN {_sq_name} r ON p.pid = r.pid LEFT JOIN item_dict d ON r.item_id = d.item_id GROUP BY p.pid""")
 
 
-@register("submission_lines", _sq.sql.render(f"""
-SELECT r.pid, CAST(r.pid AS VARCHAR) || ',' || string_agg(d.item, ',' ORDER BY r.rank) AS line
-FROM {_sq_name} r JOIN item_dict d ON r.item_id = d.item_id GROUP BY r.pid"""))
+@register("submission_lines", _SUBMISSION)
 def q_submission_lines(spark, sf_dir):
-    """J7 + S6: ``pid,item1,...,item500`` per basket (decoded item strings in rank order)."""
-    enc, recs = _rec(spark, sf_dir, REC_K_SUBMIT)
-    return submission_lines(recs, enc.item_dict)
+    """J7 + S6: ``pid,item1,...,item500`` per basket (item strings in rank order)."""
+    bf, recs = _rec(spark, sf_dir, REC_K)
+    return submission_lines(recs, bf)
+
+
+@register("submission_file", _SUBMISSION)
+def q_submission_file(spark, sf_dir):
+    """S6 + P9: the recommendation job's text files, repartitioned, written and read back."""
+    from trolley.plans.jobs import recommend_job
+    enc, inst, feats, params, meta = _trained(spark, sf_dir, 1)
+    bf = materialize(basket_features(ctx.items(spark, sf_dir), enc))
+    return recommend_job(bf, params, meta, enc, k=REC_K, out_path=_scratch(spark, "submission"), files=4)
 
 
 def _auc_sql(threshold: float | None) -> str:
@@ -659,21 +672,6 @@ def q_fm_local_sgd(spark, sf_dir):
     return _long_params(p2, m2)
 
 
-@register("fm_builtin")
-def q_fm_builtin(spark, sf_dir):
-    """Spark ML's FMClassifier on the same train split (vectors at the edge), hold-out areas."""
-    from pyspark.ml.classification import FMClassifier
-    from trolley.functions.vectors import to_sparse_vectors
-    enc, inst, feats = ctx.labelled(spark, sf_dir)
-    vecs = to_sparse_vectors(feats, "instance_id", enc.num_features)
-    data = inst.join(vecs, "instance_id").withColumn("label", F.col("label").cast("double"))
-    model = FMClassifier(factorSize=ORACLE_FM.k, maxIter=5, stepSize=0.1, initStd=ORACLE_FM.init_std,
-                         seed=ORACLE_FM.seed, solver="gd").fit(data.where(F.col("split") == "train"))
-    pred = model.transform(data.where(F.col("split") == "test"))
-    prob = pred.select("label", F.udf(lambda v: float(v[1]), "double")("probability").alias("score"))
-    return curve_areas(prob, "score", "label")
-
-
 @register("features_round_trip", Sql().basket_features().render("SELECT pid, feature_id, value FROM basket_features"))
 def q_features_round_trip(spark, sf_dir):
     """S5 + S2: challenge features written as Parquet and read back."""
