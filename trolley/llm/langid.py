@@ -162,6 +162,8 @@ def word_scores(w: Words, m: Model) -> np.ndarray:
 
 def label(texts: list[str], m: Model) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
     """(language, score, spans of words) of each text."""
+    if not m.langs:
+        return [("und", 0.0, []) for _ in texts]
     score, length, size, at = [], [], np.zeros(len(texts), np.int64), 0
     part, chars = [], 0
 
@@ -181,8 +183,8 @@ def label(texts: list[str], m: Model) -> list[tuple[str, float, list[tuple[int,
         chars += len(t)
     if part:
         flush()
-    if not score or not m.langs:
-        return [("und", 0.0, []) for _ in texts]
+    if not score:
+        return []
     scores, lengths = np.concatenate(score), np.concatenate(length)
     keep = size > 0
     best = viterbi(scores, size[keep], SWITCH, m.prior) if keep.any() else np.zeros(0, np.int8)
@@ -230,8 +232,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     total = np.zeros((len(ORDERS) * BUCKETS + len(SCRIPTS) + 1, len(langs)))
     if langs:
         total[counts.column("bucket").to_numpy(), np.searchsorted(langs, counts.column("lang").to_pylist())] = counts.column("n").to_numpy()
-    grams = total[:len(ORDERS) * BUCKETS].reshape(len(ORDERS), BUCKETS, -1)
-    logp = np.log((grams + 0.1) / (grams.sum(axis=1, keepdims=True) + 0.1 * BUCKETS)).reshape(-1, len(langs))
+    grams = total[:len(ORDERS) * BUCKETS].reshape(len(ORDERS), BUCKETS, len(langs))
+    logp = np.log((grams + 0.1) / (grams.sum(axis=1, keepdims=True) + 0.1 * BUCKETS)).reshape(len(ORDERS) * BUCKETS, len(langs))
     # one scale for all orders: their evidence overlaps
     script = total[len(ORDERS) * BUCKETS:-1]
     allowed = script >= np.maximum(1, MIN_SHARE * script.sum(axis=0))
