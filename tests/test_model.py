@@ -7,10 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from trolley.operators.evaluate import curve_areas
-from trolley.operators.fm import (FMMeta, FMParams, fm_fit_batch, fm_fit_local_sgd, fm_gradient, fm_init,
+from trolley.operators.fm import (FMMeta, FMParams, fm_fit_batch, fm_fit_local_sgd, fm_gradient, fm_init, fm_score,
                                   fm_margin, fm_residuals)
 from trolley.operators.negatives import attach_makers, drop_seen_makers
-from trolley.operators.recommend import _top_rows, recommend
+from trolley.operators.recommend import _top_places, recommend, submission_lines
 
 
 def test_multi_maker_keeps_new_maker_row(spark):
@@ -124,19 +124,17 @@ def test_init_is_seeded_gaussian(spark):
 
 
 def test_top_rows_ties_go_to_lower_id():
-    ids = np.array([5, 3, 9, 1])
-    score = np.array([0.5, 0.7, 0.5, 0.5])
-    top, _ = _top_rows(score, ids, 2)
-    assert list(top) == [3, 1]
-    score[1] = -np.inf
-    top, _ = _top_rows(score, ids, 10)
-    assert list(top) == [1, 5, 9]
+    scores = np.array([[0.5, 0.7, 0.5, 0.5], [0.1, 0.2, 0.3, 0.4], [0.2, 0.2, 0.2, 0.2]])
+    assert _top_places(scores, 2).tolist() == [[1, 0], [3, 2], [0, 1]]
+    assert _top_places(scores, 9).tolist() == [[1, 0, 2, 3], [3, 2, 1, 0], [0, 1, 2, 3]]
 
 
 def test_recommend_equals_naive_rescoring(spark):
     params, feats, meta, w, V, w0, rows = _toy(spark)
     bf = feats.withColumnRenamed("instance_id", "pid").where(F.col("value") == 1.0)
-    recs = recommend(bf, params, meta, n_items=4, k=2, m=4, block_size=3, groups=2).collect()
+    items = spark.createDataFrame([(t, f"item{t}") for t in range(4)], "item_id long, item string")
+    recs = recommend(bf, params, meta, items, n_items=4, k=2, block_size=3, group_size=1).collect()
+    assert all(r["item"] == f"item{r.item_id}" for r in recs)
     got = {}
     for r in recs:
         got.setdefault(r.pid, []).append((r.rank, r.item_id, r.score))
@@ -173,3 +171,75 @@ def test_curve_areas_match_builtin(spark):
     pr = BinaryClassificationEvaluator(metricName="areaUnderPR").evaluate(ev)
     assert a.area_under_roc == pytest.approx(roc, abs=1e-12)
     assert a.area_under_pr == pytest.approx(pr, abs=1e-12)
+
+
+def test_a_basket_with_every_candidate_keeps_its_line(spark):
+    recs = spark.createDataFrame([(1, 7, "seven", 0.9, 1), (1, 3, "three", 0.2, 2)], "pid long, item_id long, item string, score double, rank int")
+    baskets = spark.createDataFrame([(1,), (2,), (2,)], "pid long")
+    assert sorted(r.line for r in submission_lines(recs, baskets).collect()) == ["1,seven,three", "2"]
+
+
+def test_one_class_has_no_roc_area(spark):
+    for label, pr in ((1, 1.0), (0, None)):
+        a = curve_areas(spark.createDataFrame([(label, 0.9), (label, 0.1)], "label int, score double")).first()
+        assert a.area_under_roc is None and a.area_under_pr == pr
+
+
+def test_features_outside_the_model_raise(spark):
+    params, feats, meta, *_ = _toy(spark)
+    keys = spark.createDataFrame([(99,)], "instance_id long")
+    wrong = spark.createDataFrame([(99, 10 ** 9, 1.0)], "instance_id long, feature_id long, value double")
+    with pytest.raises(Exception, match="outside the model"):
+        fm_score(keys, wrong, params, meta).collect()
+
+
+def test_large_uniform_int_is_exact_and_inside(spark):
+    import hashlib
+    from trolley.functions.hashing import uniform_int
+    size = 6_000_000_007
+    for r in spark.range(300).select("id", uniform_int(size, F.col("id")).alias("u")).collect():
+        assert r.u == int(hashlib.md5(str(r.id).encode()).hexdigest()[:14], 16) * size // 2 ** 56
+
+
+@pytest.mark.parametrize("bad", [dict(task=2), dict(k=0), dict(reg=(0, 0)), dict(reg=(-1, 0, 0)), dict(init_std=0), dict(iterations=-1),
+                                 dict(step=0), dict(batch_fraction=0), dict(tolerance=2), dict(parts=0)])
+def test_hyper_parameters_are_validated(bad):
+    with pytest.raises(ValueError):
+        FMParams(**bad)
+
+
+def test_regression_switches_and_stopping(spark):
+    from trolley.operators.fm import fm_fit_local_sgd, fm_train, fm_train_short
+    params, feats, meta, w, V, w0, rows = _toy(spark)
+    inst = spark.createDataFrame([(0, 2.5), (1, -1.0), (2, 0.5)], "instance_id long, label double")
+    p, m, hist = fm_train(inst, feats, 4, task=0, iterations=3, step=0.1, dim=(True, True, 2), method="batch")
+    assert (m.task, m.min_label, m.max_label) == (0, -1.0, 2.5) and hist[-1]["loss"] < hist[0]["loss"]
+    p, m, _ = fm_train(inst, feats, 4, task=0, iterations=2, step=0.1, dim=(False, False, 2), method="batch")
+    assert m.w0 == 0.0 and all(r.w == 0.0 for r in p.collect())
+    _, _, hist = fm_train(inst, feats, 4, task=0, iterations=9, step=1e-9, dim=(True, True, 2), method="batch", tolerance=0.5)
+    assert len(hist) == 1
+    _, _, hist = fm_train(inst, feats, 4, task=0, iterations=4, step=0.1, dim=(True, True, 2), method="batch", batch_fraction=0.4)
+    assert len(hist) == 4 and min(h["n"] for h in hist) < 3
+    _, m, _ = fm_train_short(inst, feats, 4, task=0, iterations=1)
+    assert m.k == 8
+    with pytest.raises(ValueError):
+        fm_fit_local_sgd(inst, feats, 4, FMParams(k=2, batch_fraction=0.5))
+    none = inst.where("false")
+    assert fm_train(none, feats.where("false"), 4, task=1, iterations=2, method="batch")[2] == []
+    assert fm_train(none, feats.where("false"), 4, task=1, iterations=2)[2] == []
+
+
+def test_local_sgd_does_not_depend_on_session_settings_and_survives_extreme_margins(spark):
+    from trolley.operators.fm import fm_fit_local_sgd
+    params, feats, meta, w, V, w0, rows = _toy(spark)
+    inst = spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "instance_id long, label int")
+    hp = FMParams(k=2, iterations=2, step=0.1, init_std=0.1, parts=3)
+    out = []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for n in ("2", "5"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        out.append(fm_fit_local_sgd(inst, feats, 4, hp)[1].w0)
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert out[0] == out[1]
+    _, m, _ = fm_fit_local_sgd(inst, feats, 4, FMParams(k=2, iterations=3, step=1e6, init_std=5.0, parts=1))
+    assert not math.isnan(m.w0)

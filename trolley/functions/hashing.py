@@ -31,10 +31,17 @@ def uniform(*parts, offset: int = 1) -> Column:
 
 
 def uniform_int(range_size: int, *parts) -> Column:
-    """Uniform integer in [0, range_size) by integer arithmetic: h * range div 2**32."""
-    if not 0 < range_size < 2 ** 31:
-        raise ValueError(f"range_size must be in (0, 2^31), got {range_size}")
-    return F.shiftright(hash32(*parts) * F.lit(int(range_size)), 32)
+    """Uniform integer in [0, range_size) by integer arithmetic: h * range div 2**32.
+
+    From 2**31 on, h has 56 bits (14 hex digits) and the product is an exact decimal.
+    """
+    if not 0 < range_size < 2 ** 63:
+        raise ValueError(f"range_size must be in (0, 2^63), got {range_size}")
+    if range_size < 2 ** 31:
+        return F.shiftright(hash32(*parts) * F.lit(int(range_size)), 32)
+    h56 = F.conv(F.substring(_key(*parts), 1, 14), 16, 10).cast("decimal(17,0)")
+    product = h56 * F.lit(int(range_size)).cast("decimal(19,0)")
+    return F.call_function("div", product, F.lit(2 ** 56).cast("decimal(18,0)"))
 
 
 def gaussian(*parts) -> Column:

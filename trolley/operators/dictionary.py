@@ -1,4 +1,4 @@
-"""String dictionaries: frequency-ordered dense ids, encoding with an unknown bucket, decoding.
+"""String dictionaries: frequency-ordered dense ids, encoding with an unknown bucket.
 
 Ids follow descending frequency with ties broken by the string itself. Null and unseen
 strings encode to N, the number of known strings, so an id block needs N + 1 slots.
@@ -40,12 +40,6 @@ def encode_items(items: DataFrame, item_dict: DataFrame, size: int) -> DataFrame
     return encode(items, item_dict, "item", size, "item_id")
 
 
-def decode(df: DataFrame, dictionary: DataFrame, col: str, id_col: str | None = None) -> DataFrame:
-    """Id back to string; ids without a string (the unknown bucket) are dropped."""
-    id_col = id_col or f"{col}_id"
-    return df.join(dictionary.select(col, id_col), id_col)
-
-
 def save_dict(dictionary: DataFrame, path: str) -> None:
     """Persist a fitted dictionary (overwrite)."""
     dictionary.write.mode("overwrite").parquet(path)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from trolley.operators.baskets import fill_names
 from trolley.operators.dictionary import encode_items, fit_dict
-from trolley.operators.vocab import DEFAULT_VOCAB_SIZE, encode_token_rows, fit_vocab, token_rows
+from trolley.operators.vocab import encode_token_rows, fit_vocab, token_rows
 from trolley.operators.baskets import item_text
 from trolley.session import materialize
 
@@ -26,7 +26,6 @@ class Encoders:
     n_items: int           # N: known items; N is also the unknown-item id
     vocab: DataFrame       # (token, token_id, freq)
     n_tokens: int          # vocabulary rows actually kept
-    vocab_cap: int = DEFAULT_VOCAB_SIZE
 
     @property
     def token_offset(self) -> int:
@@ -37,11 +36,11 @@ class Encoders:
         return self.n_items + 1 + self.n_tokens
 
 
-def fit_encoders(items: DataFrame, vocab_size: int = DEFAULT_VOCAB_SIZE, stop_words: bool = False) -> Encoders:
+def fit_encoders(items: DataFrame, vocab_size: int | None = None, stop_words: bool = False) -> Encoders:
     """Step 1: item dictionary and vocabulary fitted on basket-item rows (materialized once)."""
     item_dict = materialize(fit_dict(items, "item", "item_id"))
     vocab = materialize(fit_vocab(item_text(items), "names", vocab_size, stop_words))
-    return Encoders(item_dict, item_dict.count(), vocab, vocab.count(), vocab_size)
+    return Encoders(item_dict, item_dict.count(), vocab, vocab.count())
 
 
 def basket_item_pairs(encoded: DataFrame, key: str = "pid") -> DataFrame:
@@ -59,7 +58,7 @@ def name_features(names: DataFrame, key: str, name_col: str, enc: Encoders) -> D
     """F3-F5 + offset: ``(key, feature_id)`` of the name tokens, stop words removed."""
     filled = fill_names(names.select(key, F.col(name_col).alias("__name")), ["__name"])
     toks = token_rows(filled, [key], "__name", stop_words=True)
-    coded = encode_token_rows(toks, [key], enc.vocab, enc.vocab_cap)
+    coded = encode_token_rows(toks, [key], enc.vocab)
     return coded.select(key, (F.col("token_id") + F.lit(enc.token_offset)).alias("feature_id"))
 
 

@@ -27,7 +27,7 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, Stru
 
 from trolley.functions.hashing import gaussian, uniform
 from trolley.functions.links import CLASSIFICATION, REGRESSION, link, recode_label
-from trolley.session import broadcast_limit, materialize, release, shuffle_partitions
+from trolley.session import materialize, release, shuffle_partitions
 
 FORMAT_VERSION = "1.0"
 MODEL_CLASS = "trolley.FactorizationMachine"
@@ -78,8 +78,11 @@ class FMParams:
     seed: int = 0
     batch_fraction: float = 1.0
     tolerance: float = 0.0
+    parts: int = 8  # T1 averages this many local passes: part of the model, not of the cluster
 
     def __post_init__(self):
+        if self.parts <= 0:
+            raise ValueError("parts must be positive")
         if self.task not in (REGRESSION, CLASSIFICATION):
             raise ValueError("task must be 0 (regression) or 1 (classification)")
         if self.k <= 0:
@@ -110,14 +113,6 @@ def fm_init(spark: SparkSession, num_features: int, k: int, std: float = 0.01, s
     return ids.select("feature_id", F.lit(0.0).alias("w"), v.alias("v"))
 
 
-def param_side(params: DataFrame, meta: FMMeta) -> DataFrame:
-    """The parameter table as a join side, broadcast only under a size known from n and k."""
-    size = meta.num_features * (meta.k + 2) * 8 + meta.num_features * 32
-    if size <= broadcast_limit(params.sparkSession):
-        return F.broadcast(params)
-    return params
-
-
 def _vf(f: int) -> Column:
     return F.col("v").getItem(f)
 
@@ -128,7 +123,7 @@ def fm_margin(features: DataFrame, params: DataFrame, meta: FMMeta, key: str = "
 
     One join and one aggregation with k + 2 sums, all JVM-side.
     """
-    j = features.select(key, "feature_id", "value").join(param_side(params, meta), "feature_id")
+    j = features.select(key, "feature_id", "value").join(params, "feature_id")
     x = F.col("value")
     sq = sum((_vf(f) * _vf(f) for f in range(1, meta.k)), _vf(0) * _vf(0))
     aggs = [F.sum(F.coalesce(F.col("w"), F.lit(0.0)) * x).alias("lin") if meta.linear else F.lit(0.0).alias("lin"),
@@ -147,9 +142,15 @@ def fm_score(keys: DataFrame, features: DataFrame, params: DataFrame, meta: FMMe
              key: str = "instance_id") -> DataFrame:
     """M1: ``keys`` plus ``z`` and ``prediction`` (clipped value or probability).
 
-    A key without any feature scores ``w0``, as an empty vector does.
+    A key without any feature scores ``w0``, as an empty vector does. Features of other keys
+    are dropped before they meet the parameters. A feature id outside the model raises when
+    the result is computed.
     """
-    margins = fm_margin(features, params, meta, key)
+    wanted = features.join(keys.select(key).distinct(), key, "left_semi")
+    inside = (F.col("feature_id") >= 0) & (F.col("feature_id") < F.lit(meta.num_features))
+    wanted = wanted.withColumn("feature_id", F.when(inside, F.col("feature_id")).otherwise(
+        F.raise_error(F.concat(F.lit("feature id outside the model: "), F.col("feature_id").cast("string"))).cast("bigint")))
+    margins = fm_margin(wanted, params, meta, key)
     w0 = meta.w0 if meta.intercept else 0.0
     scored = keys.join(margins, key, "left").withColumn("z", F.coalesce("z", F.lit(w0)))
     return scored.withColumn("prediction", link(F.col("z"), meta.task, meta.min_label, meta.max_label))
@@ -166,14 +167,14 @@ def residual(z: Column, y: Column, meta: FMMeta) -> Column:
     if meta.task == REGRESSION:
         zc = F.least(F.greatest(z, F.lit(meta.min_label)), F.lit(meta.max_label))
         return zc - y
-    return -y * (F.lit(1.0) - F.lit(1.0) / (F.lit(1.0) + F.exp(-y * z)))
+    return -y * (F.lit(1.0) - F.lit(1.0) / (F.lit(1.0) + F.exp(F.least(-y * z, F.lit(700.0)))))
 
 
 def loss(z: Column, y: Column, meta: FMMeta) -> Column:
     if meta.task == REGRESSION:
         zc = F.least(F.greatest(z, F.lit(meta.min_label)), F.lit(meta.max_label))
         return F.lit(0.5) * (zc - y) * (zc - y)
-    return F.log1p(F.exp(-y * z))
+    return F.greatest(-y * z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(y * z)))
 
 
 def training_labels(instances: DataFrame, meta: FMMeta, key: str = "instance_id") -> DataFrame:
@@ -224,24 +225,28 @@ def apply_gradient(params: DataFrame, grad: DataFrame, meta: FMMeta, eta: float,
 
 def fm_step(instances: DataFrame, features: DataFrame, params: DataFrame, meta: FMMeta,
             t: int, hp: FMParams, key: str = "instance_id"):
-    """T2 step ``t`` (1-based): returns (new params, new meta, stats row of the batch)."""
-    batch = instances
+    """T2 step ``t`` (1-based): returns (new written params, new meta, stats row of the batch).
+
+    ``features`` should hold the training instances only; those of others change nothing, but
+    are aggregated for nothing. The instances' statistics are written once and read twice.
+    """
+    batch, batch_feats = instances, features
     if hp.batch_fraction < 1.0:
-        batch = instances.where(uniform(hp.seed, "batch", t, F.col(key)) < F.lit(hp.batch_fraction))
-    batch_feats = features.join(batch.select(key), key, "left_semi")
-    stats = fm_residuals(batch, batch_feats, params, meta, key).persist()
+        drawn = uniform(hp.seed, "batch", t, F.col(key)) < F.lit(hp.batch_fraction)
+        batch, batch_feats = instances.where(drawn), features.where(drawn)
+    stats = materialize(fm_residuals(batch, batch_feats, params, meta, key))
     agg = stats.agg(F.count(F.lit(1)).alias("n"), F.sum("m").alias("sm"), F.sum("loss").alias("loss")).first()
     n = int(agg["n"] or 0)
     eta = hp.step / math.sqrt(t)
     if n == 0:
-        stats.unpersist()
+        release(stats)
         return params, meta, {"n": 0, "loss": None}
     grad = fm_gradient(batch_feats, stats, meta, key)
-    new_params = apply_gradient(params, grad, meta, eta, n, hp.reg)
+    new_params = materialize(apply_gradient(params, grad, meta, eta, n, hp.reg))
     w0 = meta.w0
     if meta.intercept:
         w0 = w0 - eta * (agg["sm"] / n + hp.reg[0] * w0)
-    stats.unpersist()
+    release(stats)
     return new_params, replace(meta, w0=w0), {"n": n, "loss": agg["loss"] / n}
 
 
@@ -270,10 +275,12 @@ def fm_fit_batch(instances: DataFrame, features: DataFrame, num_features: int, h
     n_rows = instances.count()
     if n_rows == 0:
         return params, meta, history
-    feats = features.select(key, "feature_id", "value").repartition(key).persist()
+    feats = features.select(key, "feature_id", "value").join(instances.select(key), key, "left_semi").repartition(key).persist()
     for t in range(1, hp.iterations + 1):
         new_params, new_meta, info = fm_step(instances, feats, params, meta, t, hp, key)
-        new_params = materialize(new_params)
+        if new_params is params:  # the mini-batch drew no instance
+            history.append(info)
+            continue
         if hp.tolerance > 0:
             d = (new_params.alias("n").join(params.alias("o"), "feature_id")
                  .select(F.pow(F.col("n.w") - F.col("o.w"), 2).alias("dw"),
@@ -324,7 +331,7 @@ def _sgd_part(rows: pd.DataFrame, touched: pd.DataFrame, w0: float, meta: FMMeta
             z = min(max(z, meta.min_label), meta.max_label)
             m = z - y
         else:
-            m = -y * (1.0 - 1.0 / (1.0 + math.exp(-y * z)))
+            m = -y * (1.0 - 1.0 / (1.0 + math.exp(min(-y * z, 700.0))))
         if meta.intercept:
             w0 -= eta * (m + r0 * w0)
         if meta.linear:
@@ -380,11 +387,15 @@ def fm_fit_local_sgd(instances: DataFrame, features: DataFrame, num_features: in
                      params: DataFrame | None = None, meta: FMMeta | None = None):
     """Parallel SGD with model averaging over ``n_parts`` hash parts of the instances.
 
-    Within a part rows are visited in key order, so results do not depend on the physical
-    layout. Returns (params, meta, history).
+    Within a part rows are visited in key order, and the number of parts is ``hp.parts`` unless
+    given, so results do not depend on the physical layout or the session's settings. Every
+    pass visits every row: mini-batches and early stopping belong to the batch trainer.
+    Returns (params, meta, history).
     """
+    if hp.batch_fraction < 1.0 or hp.tolerance > 0.0:
+        raise ValueError("local SGD takes neither batch_fraction nor tolerance")
     spark = instances.sparkSession
-    n_parts = n_parts or shuffle_partitions(spark)
+    n_parts = n_parts or hp.parts
     meta = meta or _prepare(instances, hp, num_features, key)
     if params is None:
         params = fm_init(spark, num_features, hp.k, hp.init_std, hp.seed, hp.init_mean)
@@ -395,11 +406,14 @@ def fm_fit_local_sgd(instances: DataFrame, features: DataFrame, num_features: in
                     F.pmod(F.xxhash64(key), F.lit(n_parts)).alias("part")))
     # written once (short lineage), then laid out by part and cached: every iteration's cogroup
     # finds the rows already clustered and shuffles only the touched parameters
-    rows = materialize(rows).repartition(n_parts, "part").persist()
+    written = materialize(rows)
+    rows = written.repartition(n_parts, "part").persist()
     touched = materialize(rows.select("part", "feature_id").distinct())
     history = []
     if rows.isEmpty():
         rows.unpersist()
+        release(written)
+        release(touched)
         return params, meta, history
     for t in range(1, hp.iterations + 1):
         new_params, w0_row = fm_local_sgd_step(rows, touched, params, meta, hp, t, n_parts)
@@ -411,6 +425,8 @@ def fm_fit_local_sgd(instances: DataFrame, features: DataFrame, num_features: in
         params, meta = new_params, replace(meta, w0=w0)
         history.append({"t": t, "w0": w0})
     rows.unpersist()
+    release(written)
+    release(touched)
     return params, meta, history
 
 

@@ -18,9 +18,3 @@ def split_instances(df: DataFrame, test_share: float = 0.01, seed: int = 1,
         raise ValueError("test_share must be in [0, 1]")
     u = uniform(seed, F.col(split_by))
     return df.withColumn("split", F.when(u < F.lit(test_share), F.lit("test")).otherwise(F.lit("train")))
-
-
-def random_split(df: DataFrame, test_share: float = 0.01, seed: int = 1):
-    """Built-in alternative: Spark's seeded ``randomSplit`` into (train, test)."""
-    train, test = df.randomSplit([1.0 - test_share, test_share], seed)
-    return train, test

@@ -1,24 +1,13 @@
-"""Token vocabulary (top-V by total count) and binary token encoding."""
+"""Token vocabulary (all tokens, or the top V by total count) and binary token encoding."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trolley.functions.text import ENGLISH_STOP_WORDS, TOKEN_GAP, drop_stop_words, tokenize
+from trolley.functions.text import ENGLISH_STOP_WORDS, TOKEN_GAP
 from trolley.operators.ranking import dense_ids
-from trolley.session import broadcast_limit
 
-DEFAULT_VOCAB_SIZE = 30000
-_VOCAB_ROW_BYTES = 64  # generous per-row estimate of (token, token_id)
-
-
-def tokens_of(df: DataFrame, text_col: str, out_col: str = "tokens", stop_words: bool = False) -> DataFrame:
-    """F3 (+F4): token array of a text column; null text counts as empty."""
-    toks = tokenize(F.coalesce(F.col(text_col), F.lit("")))
-    if stop_words:
-        toks = drop_stop_words(toks)
-    return df.withColumn(out_col, toks)
 
 
 def stop_word_table(spark) -> DataFrame:
@@ -40,37 +29,23 @@ def token_rows(df: DataFrame, keys: list[str], text_col: str, stop_words: bool =
     return toks
 
 
-def fit_vocab(texts: DataFrame, text_col: str = "names", size: int = DEFAULT_VOCAB_SIZE,
+def fit_vocab(texts: DataFrame, text_col: str = "names", size: int | None = None,
               stop_words: bool = False) -> DataFrame:
-    """``(token, token_id, freq)`` for the ``size`` most frequent tokens.
+    """``(token, token_id, freq)`` of all tokens, or of the ``size`` most frequent ones.
 
     Frequency is the total number of occurrences; ties go to the smaller token. Ranking is
-    distributed (range sort), the cap is applied after it.
+    distributed (range sort), a cap is applied after it.
     """
-    if size <= 0:
+    if size is not None and size <= 0:
         raise ValueError("vocabulary size must be positive")
     counts = (token_rows(texts, [], text_col, stop_words)
               .groupBy("token").agg(F.count(F.lit(1)).alias("freq")))
     ranked = dense_ids(counts, [F.col("freq").desc(), F.col("token").asc()], "token_id")
-    return ranked.where(F.col("token_id") < F.lit(size)).select("token", "token_id", "freq")
-
-
-def vocab_lookup(vocab: DataFrame, size_cap: int) -> DataFrame:
-    """The vocabulary as a join side: broadcast when its row cap keeps it under the limit."""
-    lookup = vocab.select("token", "token_id")
-    if size_cap * _VOCAB_ROW_BYTES <= broadcast_limit(vocab.sparkSession):
-        return F.broadcast(lookup)
-    return lookup
-
-
-def encode_tokens(df: DataFrame, keys: list[str], tokens_col: str, vocab: DataFrame,
-                  size_cap: int = DEFAULT_VOCAB_SIZE) -> DataFrame:
-    """distinct ``(keys..., token_id)`` of in-vocabulary tokens (binary encoding)."""
-    exploded = df.select(*keys, F.explode(tokens_col).alias("token"))
-    return encode_token_rows(exploded, keys, vocab, size_cap)
+    if size is not None:
+        ranked = ranked.where(F.col("token_id") < F.lit(size))
+    return ranked.select("token", "token_id", "freq")
 
 
-def encode_token_rows(tokens: DataFrame, keys: list[str], vocab: DataFrame,
-                      size_cap: int = DEFAULT_VOCAB_SIZE) -> DataFrame:
+def encode_token_rows(tokens: DataFrame, keys: list[str], vocab: DataFrame) -> DataFrame:
     """F5 on token rows: distinct ``(keys..., token_id)`` of in-vocabulary tokens."""
-    return tokens.join(vocab_lookup(vocab, size_cap), "token").select(*keys, "token_id").distinct()
+    return tokens.join(vocab.select("token", "token_id"), "token").select(*keys, "token_id").distinct()

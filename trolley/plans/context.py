@@ -9,7 +9,7 @@ from trolley.operators.features import (Encoders, basket_item_pairs, fit_encoder
                                        label_baskets, positive_baskets)
 from trolley.operators.negatives import sample_negatives
 from trolley.operators.split import split_instances
-from trolley.plans.oracle import HISTORY_BEFORE, VOCAB_SIZE
+from trolley.plans.oracle import HISTORY_BEFORE
 from trolley.session import materialize
 from trolley.sources.baskets import stand_in_history_items, stand_in_items, table
 
@@ -22,7 +22,7 @@ def history_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stand_in_history_items(spark, sf_dir, HISTORY_BEFORE)
 
 
-def encoders(spark: SparkSession, sf_dir: str, vocab_size: int = VOCAB_SIZE) -> Encoders:
+def encoders(spark: SparkSession, sf_dir: str, vocab_size: int | None = None) -> Encoders:
     return fit_encoders(items(spark, sf_dir), vocab_size)
 
 

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trolley.operators.baskets import by_basket
 from trolley.operators.dictionary import dict_size, encode_items, fit_dict, load_dict, save_dict
 from trolley.operators.evaluate import curve_areas
 from trolley.operators.features import (Encoders, assert_feature_range, basket_features, basket_item_pairs,
@@ -21,13 +22,12 @@ from trolley.operators.fm import FMParams, fm_fit_batch, fm_fit_local_sgd, fm_sc
 from trolley.operators.negatives import sample_negatives
 from trolley.operators.recommend import recommend, submission_lines, write_submission
 from trolley.operators.split import split_instances
-from trolley.operators.vocab import DEFAULT_VOCAB_SIZE
 from trolley.session import materialize, release
 from trolley.sources.libsvm import read_libsvm, write_libsvm
 from trolley.sources.model_io import load_fm, save_fm
 
 
-def preprocess_job(items: DataFrame, out_dir: str, vocab_size: int = DEFAULT_VOCAB_SIZE) -> Encoders:
+def preprocess_job(items: DataFrame, out_dir: str, vocab_size: int | None = None) -> Encoders:
     """Step 1: item dictionary and vocabulary (plus maker and group dictionaries), saved."""
     enc = fit_encoders(items, vocab_size)
     save_dict(enc.item_dict, f"{out_dir}/item_dict")
@@ -37,10 +37,10 @@ def preprocess_job(items: DataFrame, out_dir: str, vocab_size: int = DEFAULT_VOC
     return enc
 
 
-def load_encoders(spark: SparkSession, out_dir: str, vocab_cap: int = DEFAULT_VOCAB_SIZE) -> Encoders:
+def load_encoders(spark: SparkSession, out_dir: str) -> Encoders:
     item_dict = load_dict(spark, f"{out_dir}/item_dict")
     vocab = load_dict(spark, f"{out_dir}/vocab")
-    return Encoders(item_dict, dict_size(item_dict), vocab, dict_size(vocab), vocab_cap)
+    return Encoders(item_dict, dict_size(item_dict), vocab, dict_size(vocab))
 
 
 @dataclass
@@ -84,9 +84,14 @@ def positive_instances_job(items: DataFrame, enc: Encoders, test_share: float =
     return Labelled(inst, feats)
 
 
-def challenge_features_job(items: DataFrame, enc: Encoders, out_path: str | None = None) -> DataFrame:
-    """Step 3: ``(pid, feature_id, value)`` of every basket, written as Parquet."""
+def challenge_features_job(items: DataFrame, enc: Encoders, out_path: str | None = None, partitions: int | None = None) -> DataFrame:
+    """Step 3: ``(pid, feature_id, value)`` of every basket, written as Parquet.
+
+    With ``partitions`` the table is laid out by basket first (P8).
+    """
     feats = basket_features(items, enc)
+    if partitions:
+        feats = by_basket(feats, partitions)
     if out_path:
         feats.write.mode("overwrite").parquet(out_path)
         return feats.sparkSession.read.parquet(out_path)
@@ -117,8 +122,8 @@ TUNED = FMParams(k=20, task=1, iterations=200, step=0.01, reg=(0.0, 0.0, 0.05),
 def evaluate_job(spark: SparkSession, test_path: str, model_path: str, threshold: float | None = 0.5,
                  min_partitions: int | None = None) -> DataFrame:
     """Step 5 (E3): libSVM hold-out + saved model -> one row of ROC and PR areas."""
-    inst, feats = read_libsvm(spark, test_path, min_partitions)
     params, meta = load_fm(spark, model_path)
+    inst, feats = read_libsvm(spark, test_path, min_partitions, meta.num_features)
     scored = fm_score(inst, feats, params, meta)
     return curve_areas(scored, "prediction", "label", threshold)
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from trolley.functions.hashing import sql_gaussian, sql_uniform, sql_uniform_int
 from trolley.functions.text import sql_drop_stop_words, sql_tokenize
 
-VOCAB_SIZE = 30000
+TOP_TOKENS = 30000  # fixed value: vocabulary size of the reference job
 HISTORY_BEFORE = "1996-01-01"
 
 
@@ -44,8 +44,7 @@ def arr_text(expr: str) -> str:
 class Sql:
     """Ordered CTE collection; ``need`` pulls a fragment and its dependencies in."""
 
-    def __init__(self, vocab_size: int = VOCAB_SIZE):
-        self.vocab_size = vocab_size
+    def __init__(self):
         self.ctes: dict[str, str] = {}
 
     def add(self, name: str, body: str) -> "Sql":
@@ -87,8 +86,7 @@ class Sql:
     GROUP BY token""")
         self.add("vocab", f"""
     SELECT token, token_id, freq FROM (
-      SELECT token, freq, row_number() OVER (ORDER BY freq DESC, token) - 1 AS token_id FROM vocab_counts)
-    WHERE token_id < {self.vocab_size}""")
+      SELECT token, freq, row_number() OVER (ORDER BY freq DESC, token) - 1 AS token_id FROM vocab_counts)""")
         return self.add("n_tokens", "SELECT count(*) AS n FROM vocab")
 
     def name_feats(self, cte: str, source: str, key: str, name_col: str):

@@ -29,7 +29,7 @@ from trolley.operators.fm import (FMMeta, FMParams, fm_gradient, fm_init, fm_res
                                  label_range)
 from trolley.operators.evaluate import curve_areas
 from trolley.operators.recommend import basket_profile, recommend, submission_lines
-from trolley.plans.oracle import FmSql, HISTORY_BEFORE, VOCAB_SIZE, Sql, arr_text, dict_sql, items_sql
+from trolley.plans.oracle import FmSql, HISTORY_BEFORE, TOP_TOKENS, Sql, arr_text, dict_sql, items_sql
 from trolley.session import ensure_checkpoint_dir, materialize
 from trolley.sources.baskets import read_baskets, stand_in_baskets, write_baskets
 
@@ -147,7 +147,7 @@ def q_stop_words(spark, sf_dir):
 @register("vocab", Sql().vocab().render("SELECT token, token_id, freq FROM vocab"))
 def q_vocab(spark, sf_dir):
     """A6 on item text (name, item, maker and group names), cap 30,000."""
-    return fit_vocab(item_text(ctx.items(spark, sf_dir)), "names", VOCAB_SIZE)
+    return fit_vocab(item_text(ctx.items(spark, sf_dir)), "names")
 
 
 _doc_vocab = Sql()
@@ -159,10 +159,19 @@ _doc_vocab.add("doc_counts", f"""
 @register("doc_vocab", _doc_vocab.render(f"""
 SELECT token, token_id, freq FROM (
   SELECT token, freq, row_number() OVER (ORDER BY freq DESC, token) - 1 AS token_id FROM doc_counts)
-WHERE token_id < {VOCAB_SIZE}"""))
+"""))
 def q_doc_vocab(spark, sf_dir):
-    """A6 with stop words removed, on whole multilingual documents (the cap binds here)."""
-    return fit_vocab(ctx.documents(spark, sf_dir), "text", VOCAB_SIZE, stop_words=True)
+    """A6 with stop words removed, on whole multilingual documents: every token."""
+    return fit_vocab(ctx.documents(spark, sf_dir), "text", stop_words=True)
+
+
+@register("doc_vocab_top", _doc_vocab.render(f"""
+SELECT token, token_id, freq FROM (
+  SELECT token, freq, row_number() OVER (ORDER BY freq DESC, token) - 1 AS token_id FROM doc_counts)
+WHERE token_id < {TOP_TOKENS}"""))
+def q_doc_vocab_top(spark, sf_dir):
+    """A6 with the reference job's size as an explicit top V (the cap binds here)."""
+    return fit_vocab(ctx.documents(spark, sf_dir), "text", TOP_TOKENS, stop_words=True)
 
 
 _nf = Sql()
@@ -428,9 +437,9 @@ def q_fm_gradient(spark, sf_dir):
 
 def _steps(spark, sf_dir, n_steps):
     enc, inst, feats, train, meta, params = _fm_context(spark, sf_dir)
+    tf = materialize(feats.join(train.select("instance_id"), "instance_id", "left_semi"))
     for t in range(1, n_steps + 1):
-        params, meta, _ = fm_step(train, feats, params, meta, t, ORACLE_FM)
-        params = materialize(params)
+        params, meta, _ = fm_step(train, tf, params, meta, t, ORACLE_FM)
     return _long_params(params, meta)
 
 
@@ -447,9 +456,9 @@ REC_K = 500   # items per basket, the reference job's report size
 
 def _trained(spark, sf_dir, n_steps):
     enc, inst, feats, train, meta, params = _fm_context(spark, sf_dir)
+    tf = materialize(feats.join(train.select("instance_id"), "instance_id", "left_semi"))
     for t in range(1, n_steps + 1):
-        params, meta, _ = fm_step(train, feats, params, meta, t, ORACLE_FM)
-        params = materialize(params)
+        params, meta, _ = fm_step(train, tf, params, meta, t, ORACLE_FM)
     return enc, inst, feats, params, meta
 
 
@@ -546,11 +555,11 @@ def q_submission_file(spark, sf_dir):
     return recommend_job(bf, params, meta, enc, k=REC_K, out_path=_scratch(spark, "submission"), files=4)
 
 
-def _auc_sql(threshold: float | None) -> str:
+def _auc_sql(threshold: float | None, where: str = "") -> str:
     fs = _fm_sql()
     fs.params_after(2)
     q = fs.sql
-    q.add("test_inst", "SELECT instance_id, label FROM instances WHERE split = 'test'")
+    q.add("test_inst", f"SELECT instance_id, label FROM instances WHERE split = 'test' {where}")
     q.add("test_feats", """
     SELECT f.instance_id, f.feature_id, f.value FROM instance_features f
     WHERE f.instance_id IN (SELECT instance_id FROM test_inst)""")
@@ -570,15 +579,15 @@ def _auc_sql(threshold: float | None) -> str:
            CASE WHEN tp - pos + fp - neg = 0 THEN tp / (tp + fp)
                 ELSE (tp - pos) / (tp - pos + fp - neg) END AS prec0 FROM cum""")
     return q.render("""
-SELECT round(sum(neg * (2.0 * tp0 + pos)) / (2.0 * sum(pos) * sum(neg)), 6) AS area_under_roc,
-       round(sum(pos * (prec + prec0) / 2.0) / sum(pos), 6) AS area_under_pr,
+SELECT round(sum(neg * (2.0 * tp0 + pos)) / nullif(2.0 * sum(pos) * sum(neg), 0), 6) AS area_under_roc,
+       round(sum(pos * (prec + prec0) / 2.0) / nullif(sum(pos), 0), 6) AS area_under_pr,
        sum(pos) AS n_pos, sum(neg) AS n_neg
 FROM pts""")
 
 
-def _auc(spark, sf_dir, threshold):
+def _auc(spark, sf_dir, threshold, where="true"):
     enc, inst, feats, params, meta = _trained(spark, sf_dir, 2)
-    test = inst.where(F.col("split") == "test")
+    test = inst.where(F.col("split") == "test").where(where)
     scored = fm_score(test.select("instance_id", "label"), feats, params, meta)
     a = curve_areas(scored, "prediction", "label", threshold)
     return a.select(_r6("area_under_roc").alias("area_under_roc"), _r6("area_under_pr").alias("area_under_pr"),
@@ -597,6 +606,12 @@ def q_auc_raw(spark, sf_dir):
     return _auc(spark, sf_dir, None)
 
 
+@register("auc_positives_only", _auc_sql(0.5, "AND label > 0.5"))
+def q_auc_positives_only(spark, sf_dir):
+    """E1 + E2 on a hold-out of one class, as the positives-only job writes it: the ROC area is null."""
+    return _auc(spark, sf_dir, 0.5, "label > 0.5")
+
+
 # ---- round trips, trainers with rows-only checks, evaluation job -----------------------------------
 
 def _scratch(spark, name: str) -> str:
@@ -661,6 +676,21 @@ def q_evaluate_job(spark, sf_dir):
                     "n_pos", "n_neg")
 
 
+@register("job_round_trip", _auc_sql(0.5))
+def q_job_round_trip(spark, sf_dir):
+    """T8 + S1-S9 in a row: the training job saves its two-step model, the evaluation job loads it."""
+    from trolley.plans.jobs import Labelled, evaluate_job, train_job
+    from trolley.sources.libsvm import write_libsvm
+    enc, inst, feats = ctx.labelled(spark, sf_dir)
+    test = inst.where(F.col("split") == "test")
+    test_path, model_path = _scratch(spark, "test"), _scratch(spark, "model")
+    write_libsvm(libsvm_lines(test, feats.join(test.select("instance_id"), "instance_id", "left_semi")), test_path)
+    train_job(Labelled(inst, feats), enc.num_features, ORACLE_FM, "batch", out_path=model_path)
+    a = evaluate_job(spark, test_path, model_path, 0.5)
+    return a.select(_r6("area_under_roc").alias("area_under_roc"), _r6("area_under_pr").alias("area_under_pr"),
+                    "n_pos", "n_neg")
+
+
 @register("fm_local_sgd")
 def q_fm_local_sgd(spark, sf_dir):
     """T1 + A10 + T3: two passes of per-part SGD (8 parts) with averaged deltas."""
@@ -678,7 +708,7 @@ def q_features_round_trip(spark, sf_dir):
     from trolley.plans.jobs import challenge_features_job, read_features
     enc = ctx.encoders(spark, sf_dir)
     path = _scratch(spark, "features")
-    challenge_features_job(ctx.items(spark, sf_dir), enc, path)
+    challenge_features_job(ctx.items(spark, sf_dir), enc, path, partitions=3)
     return read_features(spark, path)
 
 FLAGSHIP = "recommend"

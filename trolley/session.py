@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -43,8 +44,8 @@ def build_session(master: str | None = None, app: str = "trolley",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder; only when the cluster names none, make one.
 
-    On a cluster ``spark.checkpoint.dir`` points at shared storage and is used as is;
-    the local fallback exists for tests and single-machine runs.
+    On a cluster ``spark.checkpoint.dir`` must point at shared storage and is used as is;
+    without it a cluster job stops. The local fallback is for local masters only.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -52,6 +53,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="trolley-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -91,13 +94,3 @@ def release(df: DataFrame) -> None:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def broadcast_limit(spark: SparkSession) -> int:
-    """Byte limit under which a side of known size may be broadcast."""
-    raw = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
-    try:
-        value = int(str(raw).lower().rstrip("b"))
-    except ValueError:
-        value = 10 * 1024 * 1024
-    return max(value, 0)
