@@ -10,7 +10,7 @@ from trolley.operators.evaluate import curve_areas
 from trolley.operators.fm import (FMMeta, FMParams, fm_fit_batch, fm_fit_local_sgd, fm_gradient, fm_init, fm_score,
                                   fm_margin, fm_residuals)
 from trolley.operators.negatives import attach_makers, drop_seen_makers
-from trolley.operators.recommend import _top_places, recommend, submission_lines
+from trolley.operators.recommend import _top_places, recommend, recommend_lists, submission_lines
 
 
 def test_multi_maker_keeps_new_maker_row(spark):
@@ -174,9 +174,12 @@ def test_curve_areas_match_builtin(spark):
 
 
 def test_a_basket_with_every_candidate_keeps_its_line(spark):
-    recs = spark.createDataFrame([(1, 7, "seven", 0.9, 1), (1, 3, "three", 0.2, 2)], "pid long, item_id long, item string, score double, rank int")
-    baskets = spark.createDataFrame([(1,), (2,), (2,)], "pid long")
-    assert sorted(r.line for r in submission_lines(recs, baskets).collect()) == ["1,seven,three", "2"]
+    params, feats, meta, *_ = _toy(spark)
+    full = spark.createDataFrame([(1, t, 1.0) for t in range(4)] + [(2, 0, 1.0)], "pid long, feature_id long, value double")
+    items = spark.createDataFrame([(t, f"item{t}") for t in range(4)], "item_id long, item string")
+    lines = submission_lines(recommend_lists(full, params, meta, items, n_items=4, k=1, block_size=2)).collect()
+    got = {r.pid: r.line for r in lines}
+    assert got[1] == "1" and got[2].startswith("2,item")
 
 
 def test_one_class_has_no_roc_area(spark):

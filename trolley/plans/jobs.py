@@ -20,7 +20,7 @@ from trolley.operators.features import (Encoders, assert_feature_range, basket_f
                                        positive_baskets)
 from trolley.operators.fm import FMParams, fm_fit_batch, fm_fit_local_sgd, fm_score
 from trolley.operators.negatives import sample_negatives
-from trolley.operators.recommend import recommend, submission_lines, write_submission
+from trolley.operators.recommend import recommend_lists, submission_lines, write_submission
 from trolley.operators.split import split_instances
 from trolley.session import materialize, release
 from trolley.sources.libsvm import read_libsvm, write_libsvm
@@ -131,8 +131,7 @@ def evaluate_job(spark: SparkSession, test_path: str, model_path: str, threshold
 def recommend_job(features: DataFrame, params: DataFrame, meta, enc: Encoders, k: int = 500,
                   m: int | None = None, out_path: str | None = None, files: int | None = None) -> DataFrame:
     """Step 6: top-k lines ``pid,item1,...`` for every basket; all items are candidates unless ``m`` is given."""
-    recs = recommend(features, params, meta, enc.item_dict, enc.n_items, k=k, m=m)
-    lines = submission_lines(recs, features)
+    lines = submission_lines(recommend_lists(features, params, meta, enc.item_dict, enc.n_items, k=k, m=m))
     if out_path:
         write_submission(lines, out_path, files)
         return lines.sparkSession.read.text(out_path).select(

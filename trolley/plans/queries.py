@@ -28,7 +28,7 @@ from trolley.functions.hashing import sql_uniform
 from trolley.operators.fm import (FMMeta, FMParams, fm_gradient, fm_init, fm_residuals, fm_score, fm_step,
                                  label_range)
 from trolley.operators.evaluate import curve_areas
-from trolley.operators.recommend import basket_profile, recommend, submission_lines
+from trolley.operators.recommend import basket_profile, recommend_lists, submission_lines
 from trolley.plans.oracle import FmSql, HISTORY_BEFORE, TOP_TOKENS, Sql, arr_text, dict_sql, items_sql
 from trolley.session import ensure_checkpoint_dir, materialize
 from trolley.sources.baskets import read_baskets, stand_in_baskets, write_baskets
@@ -494,7 +494,7 @@ def _rec_sql(k: int) -> tuple[FmSql, str]:
 def _rec(spark, sf_dir, k):
     enc, inst, feats, params, meta = _trained(spark, sf_dir, 1)
     bf = materialize(basket_features(ctx.items(spark, sf_dir), enc))
-    return bf, recommend(bf, params, meta, enc.item_dict, enc.n_items, k=k)
+    return recommend_lists(bf, params, meta, enc.item_dict, enc.n_items, k=k)
 
 
 _bp = _fm_sql()
@@ -526,11 +526,8 @@ SELECT pid, count(*) AS n_items,
 FROM {_rq_name} GROUP BY pid"""))
 def q_recommend(spark, sf_dir):
     """R1 + U3 + P10: the top 500 of all new items per basket as ``id:score`` (millionths) in rank order."""
-    _, recs = _rec(spark, sf_dir, REC_K)
-    entry = F.concat_ws(":", F.col("item_id").cast("string"), F.round(F.col("score") * 1000000).cast("bigint").cast("string"))
-    per = recs.groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("rank", entry.alias("e")))).alias("r"))
-    return per.select("pid", F.size("r").cast("bigint").alias("n_items"),
-                      F.concat_ws(" ", F.transform("r", lambda x: x["e"])).alias("ranked"))
+    entry = F.transform("top", lambda x: F.concat_ws(":", x["item_id"].cast("string"), F.round(x["score"] * 1000000).cast("bigint").cast("string")))
+    return _rec(spark, sf_dir, REC_K).select("pid", F.size("top").cast("bigint").alias("n_items"), F.concat_ws(" ", entry).alias("ranked"))
 
 
 _sq, _sq_name = _rec_sql(REC_K)
@@ -542,8 +539,7 @@ FROM prof p LEFT JOIN {_sq_name} r ON p.pid = r.pid LEFT JOIN item_dict d ON r.i
 @register("submission_lines", _SUBMISSION)
 def q_submission_lines(spark, sf_dir):
     """J7 + S6: ``pid,item1,...,item500`` per basket (item strings in rank order)."""
-    bf, recs = _rec(spark, sf_dir, REC_K)
-    return submission_lines(recs, bf)
+    return submission_lines(_rec(spark, sf_dir, REC_K))
 
 
 @register("submission_file", _SUBMISSION)
