@@ -14,13 +14,17 @@ TOP_TOKENS = 30000  # fixed value: vocabulary size of the reference job
 HISTORY_BEFORE = "1996-01-01"
 
 
-def items_sql(where: str = "") -> str:
+def items_sql(where: str = "", many_makers: bool = False) -> str:
+    """Basket-item rows; ``many_makers``: an item's suppliers are its makers, and every seventh basket has no name."""
+    name = "concat_ws(' ', c.c_mktsegment, n.n_name, o.o_orderpriority)"
+    if many_makers:
+        name = f"CASE WHEN o.o_orderkey % 7 = 0 THEN NULL ELSE {name} END"
     return f"""
     SELECT o.o_orderkey AS pid,
-           concat_ws(' ', c.c_mktsegment, n.n_name, o.o_orderpriority) AS name,
-           lower(concat_ws(' ', c.c_mktsegment, n.n_name, o.o_orderpriority)) AS pname,
+           {name} AS name,
+           lower({name}) AS pname,
            CAST(l.l_partkey AS VARCHAR) AS item,
-           p.p_brand AS maker, p.p_type AS grp, p.p_name AS item_name,
+           {"CAST(l.l_suppkey AS VARCHAR)" if many_makers else "p.p_brand"} AS maker, p.p_type AS grp, p.p_name AS item_name,
            p.p_brand AS maker_name, p.p_type AS grp_name
     FROM orders o
     LEFT JOIN customer c ON o.o_custkey = c.c_custkey
@@ -44,7 +48,8 @@ def arr_text(expr: str) -> str:
 class Sql:
     """Ordered CTE collection; ``need`` pulls a fragment and its dependencies in."""
 
-    def __init__(self):
+    def __init__(self, items: str | None = None):
+        self.items_body = items or items_sql()
         self.ctes: dict[str, str] = {}
 
     def add(self, name: str, body: str) -> "Sql":
@@ -60,7 +65,7 @@ class Sql:
 
     # ---- baskets and dictionaries -------------------------------------------------
     def items(self):
-        return self.add("items", items_sql())
+        return self.add("items", self.items_body)
 
     def item_dict(self):
         self.items()

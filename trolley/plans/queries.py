@@ -206,9 +206,12 @@ def q_random_pairs(spark, sf_dir):
     return sample_pairs(spark, st["n"], st["m"], n)
 
 
-def _tries(spark, sf_dir):
-    d, n = ctx.item_dict(spark, sf_dir)
-    e = encode_items(ctx.items(spark, sf_dir), d, n)
+def _tries(spark, sf_dir, items=None):
+    items = items or ctx.items(spark, sf_dir)
+    d = materialize(fit_dict(items, "item", "item_id"))
+    n = d.count()
+    # the positives feed five joins: written once
+    e = materialize(encode_items(items, d, n))
     st = e.agg(F.count(F.lit(1)).alias("n"), F.max("pid").alias("m")).first()
     return e, sample_pairs(spark, st["n"], st["m"], n)
 
@@ -248,6 +251,21 @@ def q_negatives(spark, sf_dir):
     return inst.join(lists, "pid").select("pid", "label", "pname", ids_text("item_ids").alias("item_ids"))
 
 
+@register("negatives_many_makers", Sql(items_sql(many_makers=True)).after_j5().render(
+    f"SELECT pid, 0 AS label, min(pname) AS pname, {arr_text('list(item_id)')} AS item_ids, count(*) AS n_rows "
+    "FROM after_j5 GROUP BY pid"))
+def q_negatives_many_makers(spark, sf_dir):
+    """J1-J5 + A1 where items have many makers and some baskets no name: row semantics of J4 and J5."""
+    from trolley.sources.baskets import stand_in_items
+    e, cand = _tries(spark, sf_dir, stand_in_items(spark, sf_dir, many_makers=True))
+    c = drop_seen_names(attach_names(drop_seen_items(cand, e), e), e)
+    rows = materialize(drop_seen_makers(attach_makers(c, e), e))
+    inst, pairs = group_negatives(rows)
+    lists = pairs.groupBy("pid").agg(F.array_sort(F.collect_list("item_id")).alias("item_ids"))
+    sizes = rows.groupBy("pid").agg(F.count(F.lit(1)).alias("n_rows"))
+    return inst.join(lists, "pid").join(sizes, "pid").select("pid", "label", "pname", ids_text("item_ids").alias("item_ids"), "n_rows")
+
+
 # ---- labelled instances ---------------------------------------------------------------------
 
 @register("labelled_instances", Sql().instances().render(f"""

@@ -50,12 +50,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def stand_in_items(spark: SparkSession, sf_dir: str, orders_where=None) -> DataFrame:
+def stand_in_items(spark: SparkSession, sf_dir: str, orders_where=None, many_makers: bool = False) -> DataFrame:
     """Basket-item rows from the TPC-H-style tables, one row per order line.
 
     order -> basket (pid), part -> item, brand -> maker, type -> group,
     segment + nation + priority -> basket name. Orders without lines keep one row with
-    null item, exactly as ``explode_outer`` of an empty track list does.
+    null item, exactly as ``explode_outer`` of an empty track list does. With ``many_makers``
+    an item's suppliers are its makers, and every seventh basket has no name.
     """
     orders = table(spark, sf_dir, "orders")
     if orders_where is not None:
@@ -63,13 +64,15 @@ def stand_in_items(spark: SparkSession, sf_dir: str, orders_where=None) -> DataF
     orders = orders.select(F.col("o_orderkey").alias("pid"), "o_custkey", "o_orderpriority")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
 
     named = (orders
              .join(customer, orders.o_custkey == customer.c_custkey, "left")
              .join(nation, F.col("c_nationkey") == nation.n_nationkey, "left")
              .select("pid", F.concat_ws(" ", "c_mktsegment", "n_name", "o_orderpriority").alias("name")))
+    if many_makers:
+        named = named.withColumn("name", F.when(F.col("pid") % 7 != 0, F.col("name")))
     with_lines = named.join(lines, named.pid == lines.l_orderkey, "left")
     with_parts = with_lines.join(part, with_lines.l_partkey == part.p_partkey, "left")
     return with_parts.select(
@@ -77,7 +80,7 @@ def stand_in_items(spark: SparkSession, sf_dir: str, orders_where=None) -> DataF
         "name",
         F.lower("name").alias("pname"),
         F.col("l_partkey").cast("string").alias("item"),
-        F.col("p_brand").alias("maker"),
+        (F.col("l_suppkey").cast("string") if many_makers else F.col("p_brand")).alias("maker"),
         F.col("p_type").alias("grp"),
         F.col("p_name").alias("item_name"),
         F.col("p_brand").alias("maker_name"),
