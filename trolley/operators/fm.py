@@ -384,12 +384,13 @@ def fm_local_sgd_step(rows: DataFrame, touched: DataFrame, params: DataFrame, me
 
 def fm_fit_local_sgd(instances: DataFrame, features: DataFrame, num_features: int, hp: FMParams,
                      n_parts: int | None = None, key: str = "instance_id",
-                     params: DataFrame | None = None, meta: FMMeta | None = None):
+                     params: DataFrame | None = None, meta: FMMeta | None = None, part: Column | None = None):
     """Parallel SGD with model averaging over ``n_parts`` hash parts of the instances.
 
     Within a part rows are visited in key order, and the number of parts is ``hp.parts`` unless
     given, so results do not depend on the physical layout or the session's settings. Every
     pass visits every row: mini-batches and early stopping belong to the batch trainer.
+    ``part`` may name each instance's part; ``n_parts`` is then the number of its values.
     Returns (params, meta, history).
     """
     if hp.batch_fraction < 1.0 or hp.tolerance > 0.0:
@@ -403,11 +404,11 @@ def fm_fit_local_sgd(instances: DataFrame, features: DataFrame, num_features: in
     labels = training_labels(instances, meta, key)
     rows = (features.select(key, "feature_id", "value").join(labels, key)
             .select(F.col(key).alias("key"), "feature_id", "value", "y",
-                    F.pmod(F.xxhash64(key), F.lit(n_parts)).alias("part")))
+                    (F.pmod(F.xxhash64(key), F.lit(n_parts)) if part is None else part).cast("bigint").alias("part")))
     # written once (short lineage), then laid out by part and cached: every iteration's cogroup
     # finds the rows already clustered and shuffles only the touched parameters
     written = materialize(rows)
-    rows = written.repartition(n_parts, "part").persist()
+    rows = written.repartition(min(n_parts, shuffle_partitions(spark)), "part").persist()
     touched = materialize(rows.select("part", "feature_id").distinct())
     history = []
     if rows.isEmpty():

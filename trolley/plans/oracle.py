@@ -181,9 +181,10 @@ class FmSql:
     """FM steps in SQL over long-form parameters ``p_v(feature_id, f, v)``, ``p_w(feature_id, w)``."""
 
     def __init__(self, sql: Sql, k: int, std: float, seed: int, step: float, reg: tuple, task: int = 1,
-                 mean: float = 0.0):
-        self.sql, self.k, self.std, self.seed, self.step_size, self.reg, self.task, self.mean = (
-            sql, k, std, seed, step, reg, task, mean)
+                 mean: float = 0.0, local: bool = False):
+        """``local``: steps of local SGD with one instance per part (T1) instead of batch steps."""
+        self.sql, self.k, self.std, self.seed, self.step_size, self.reg, self.task, self.mean, self.local = (
+            sql, k, std, seed, step, reg, task, mean, local)
         sql.instances()
         sql.num_features()
         sql.add("p0_v", f"""
@@ -237,7 +238,7 @@ class FmSql:
     def gradient(self, t: int) -> str:
         rs = self.residuals(t)
         self.sql.add(f"g{t}", f"""
-    SELECT x.feature_id, sum(r.m * x.value) AS c, sum(r.m * x.value * x.value) AS b
+    SELECT x.feature_id, sum(r.m * x.value) AS c, sum(r.m * x.value * x.value) AS b, count(*) AS k
     FROM train_feats x JOIN {rs} r ON x.instance_id = r.instance_id GROUP BY x.feature_id""")
         self.sql.add(f"ga{t}", f"""
     SELECT x.feature_id, v.f, sum(r.m * v.s * x.value) AS a
@@ -246,21 +247,27 @@ class FmSql:
         return f"g{t}"
 
     def step(self, t: int) -> None:
-        """Parameters after step t + 1 from those after step t (T2, full batch)."""
+        """Parameters after step t + 1 from those after step t (T2, full batch).
+
+        A part of one instance moves from the common model by its own gradient and its own
+        regularization term, so averaging over the n parts differs from the batch step only in
+        that a feature is regularized k / n times, k being the instances that have it.
+        """
         import math
         self.gradient(t)
         r0, r1, r2 = self.reg
         eta = self.step_size / math.sqrt(t + 1)
         n = f"(SELECT count(*) FROM rs{t})"
         scale = f"(1.0 / {n})"
+        share = f"(g.k * {scale})" if self.local else "1.0"
         self.sql.add(f"p{t + 1}_w", f"""
     SELECT p.feature_id,
-           CASE WHEN g.c IS NULL THEN p.w ELSE p.w - {eta!r} * (g.c * {scale} + {r1!r} * p.w) END AS w
+           CASE WHEN g.c IS NULL THEN p.w ELSE p.w - {eta!r} * (g.c * {scale} + {r1!r} * {share} * p.w) END AS w
     FROM p{t}_w p LEFT JOIN g{t} g ON p.feature_id = g.feature_id""")
         self.sql.add(f"p{t + 1}_v", f"""
     SELECT p.feature_id, p.f,
            CASE WHEN g.c IS NULL THEN p.v
-                ELSE p.v - {eta!r} * ((a.a - p.v * g.b) * {scale} + {r2!r} * p.v) END AS v
+                ELSE p.v - {eta!r} * ((a.a - p.v * g.b) * {scale} + {r2!r} * {share} * p.v) END AS v
     FROM p{t}_v p LEFT JOIN g{t} g ON p.feature_id = g.feature_id
     LEFT JOIN ga{t} a ON a.feature_id = p.feature_id AND a.f = p.f""")
         self.sql.add(f"p{t + 1}_w0", f"""

@@ -349,9 +349,9 @@ class _FmOracle(Sql):
         return super().render(final.replace(", 6)", ", 6) + 0.0"))
 
 
-def _fm_sql() -> FmSql:
+def _fm_sql(local: bool = False) -> FmSql:
     hp = ORACLE_FM
-    return FmSql(_FmOracle(), hp.k, hp.init_std, hp.seed, hp.step, hp.reg, hp.task)
+    return FmSql(_FmOracle(), hp.k, hp.init_std, hp.seed, hp.step, hp.reg, hp.task, local=local)
 
 
 def _r6(c) -> F.Column:
@@ -716,6 +716,18 @@ def q_fm_local_sgd(spark, sf_dir):
     return _long_params(p2, m2)
 
 
+_ls = _fm_sql(local=True)
+
+
+@register("fm_local_sgd_single", _ls.sql.render(_ls.params_after(2)))
+def q_fm_local_sgd_single(spark, sf_dir):
+    """T1 + A10 + T3: two passes with one part per instance, where the averaged model has a closed form."""
+    from trolley.operators.fm import fm_fit_local_sgd
+    enc, inst, feats, train, meta, params = _fm_context(spark, sf_dir)
+    p2, m2, _ = fm_fit_local_sgd(train, feats, enc.num_features, ORACLE_FM, n_parts=train.count(), part=F.col("instance_id"))
+    return _long_params(p2, m2)
+
+
 @register("features_round_trip", Sql().basket_features().render("SELECT pid, feature_id, value FROM basket_features"))
 def q_features_round_trip(spark, sf_dir):
     """S5 + S2: challenge features written as Parquet and read back."""
