@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trolley.llm.common import WS_CHARS, WS_CLASS, store, text_key
+from trolley.operators.ranking import dense_ids
 from trolley.session import release
 
 MIN_WORDS = 5
@@ -37,23 +38,22 @@ MIN_WORDS = 5
 _HASHES = ((2147483647, 1000003), (2147483629, 998244353))
 
 
-def norm_line(line: Column) -> Column:
-    trimmed = F.lower(F.btrim(line, F.lit(WS_CHARS)))
-    return F.when(trimmed.rlike(r"[\x09-\x0D]|  "), F.regexp_replace(trimmed, WS_CLASS + "+", " ")).otherwise(trimmed)
+def norm_lines(text: Column) -> Column:
+    """Normalised lines of a text; one step after the other, so that no step is computed twice."""
+    trimmed = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.lower(F.btrim(x, F.lit(WS_CHARS))))
+    return F.transform(trimmed, lambda x: F.when(x.rlike(r"[\x09-\x0D]|  "), F.regexp_replace(x, WS_CLASS + "+", " ")).otherwise(x))
 
 
 def _n_words(norm: Column) -> Column:
-    """Words of a normalised line; 0 for the empty line."""
-    return F.when(F.length(norm) == 0, F.lit(0)).otherwise(F.length(norm) - F.length(F.replace(norm, F.lit(" "), F.lit(""))) + 1)
+    """Words of a normalised line that is not empty."""
+    return F.length(norm) - F.length(F.replace(norm, F.lit(" "), F.lit(""))) + 1
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (ord, norm, m): every line that is judged."""
+    """Rows (doc, tkey, place, norm, m): every line that is judged."""
     parts = docs.select(F.col(id_col).alias("doc"), text_key(F.col(text_col)).alias("tkey"),
-                        F.posexplode_outer(F.split(F.col(text_col), "\n")).alias("place", "line"))
-    norm = parts.select("doc", "tkey", "place", norm_line(F.col("line")).alias("norm"))
-    return norm.select(F.struct("doc", "tkey", "place").alias("ord"), "norm", _n_words(F.col("norm")).alias("m")) \
-        .where(F.col("m") >= MIN_WORDS)
+                        F.posexplode_outer(norm_lines(F.col(text_col))).alias("place", "norm"))
+    return parts.withColumn("m", _n_words(F.col("norm"))).where(F.col("m") >= MIN_WORDS)
 
 
 def _ids(norm: Column) -> list[Column]:
@@ -104,49 +104,52 @@ def _close(a: Column, b: Column) -> Column:
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc, tkey, places): the places of the lines that go, for each distinct text of an id that loses any."""
-    lines = _lines(docs, id_col, text_col)
-    seen = store(lines.select(*_ids(F.col("norm")), "m", "ord", _half_keys(F.col("norm"), F.col("m")).alias("halves")))
-    distinct = store(seen.groupBy("h1", "h2", "m").agg(F.min("ord").alias("first"), F.first("halves").alias("halves")))
+    place = F.struct("doc", "tkey", "place")
+    seen = store(_lines(docs, id_col, text_col).select(*_ids(F.col("norm")), "doc", "tkey", "place", _half_keys(F.col("norm"), F.col("m")).alias("halves")))
+    distinct = store(seen.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.first("halves").alias("halves")))
 
-    halves = distinct.select("first", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.min("first").alias("x"), F.max("first").alias("y")).where("x != y").select("half")
-    near = halves.join(shared, "half").select("first").distinct()
+    halves = distinct.select("h1", "h2", F.explode("halves").alias("half"))
+    shared = halves.groupBy("half").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x != y").select("half")
+    near = halves.join(shared, "half").select("h1", "h2").distinct().join(distinct.select("h1", "h2", "first"), ["h1", "h2"])
+    # the earliest places in order, as single numbers: light keys for all that follows
+    numbered = store(dense_ids(near.select("h1", "h2", "first.*"), [F.col(c) for c in ("doc", "tkey", "place")], "no"))
 
-    places = store(near.groupBy("first.doc", "first.tkey").agg(F.collect_set("first.place").alias("at")))
+    chosen = numbered.groupBy("doc", "tkey").agg(F.collect_list(F.struct("place", "no")).alias("at"))
     texts = docs.select(F.col(id_col).alias("d"), text_key(F.col(text_col)).alias("k"), F.col(text_col).alias("t"))
-    same = F.col("d").eqNullSafe(F.col("doc")) & (F.col("k") == F.col("tkey"))
-    chosen = texts.join(places, same).dropDuplicates(["d", "k"]) \
-        .select("doc", "tkey", F.explode_outer(F.transform("at", lambda i: F.struct(i.alias("place"), F.get(F.split("t", "\n"), i).alias("line")))).alias("c"))
-    worded = store(chosen.select(F.struct("doc", "tkey", "c.place").alias("first"), F.split(norm_line(F.col("c.line")), " ").alias("words")))
+    met = texts.join(chosen, F.col("d").eqNullSafe(F.col("doc")) & (F.col("k") == F.col("tkey"))).select("at", norm_lines(F.col("t")).alias("lines"))
+    worded = store(met.select(F.explode_outer(F.transform("at", lambda x: F.struct(x["no"].alias("no"), F.get("lines", x["place"]).alias("line")))).alias("c"))
+                   .select("c.no", F.split("c.line", " ").alias("words")))
 
     (p1, b1), (p2, b2) = _HASHES
-    hashed = worded.select("first", F.size("words").alias("m"), _deletions(F.col("words"), p1, b1).alias("x"),
-                           _deletions(F.col("words"), p2, b2).alias("y"))
-    whole = F.array(F.struct(F.col("m").alias("len"), F.lit(-1).alias("gap"), _pack(F.col("x.whole"), F.col("y.whole")).alias("key")))
-    gone = F.transform(F.col("x.rest"), lambda h, i: F.struct((F.col("m") - 1).alias("len"), i.alias("gap"), _pack(h, F.get(F.col("y.rest"), i)).alias("key")))
+    hashed = worded.select("no", F.size("words").alias("m"), _deletions(F.col("words"), p1, b1).alias("x"), _deletions(F.col("words"), p2, b2).alias("y"))
+    whole = F.array(F.struct(F.lit(-1).alias("gap"), F.xxhash64("m", _pack(F.col("x.whole"), F.col("y.whole"))).alias("key")))
+    gone = F.transform(F.col("x.rest"), lambda h, i: F.struct(i.alias("gap"), F.xxhash64(F.col("m") - 1, _pack(h, F.get(F.col("y.rest"), i))).alias("key")))
     # one word twice in a row makes the same variant twice, at two gaps: both stand, as each is a place of its own
-    variants = store(hashed.select("first", F.explode_outer(F.concat(whole, gone)).alias("v")).select("first", "v.len", "v.gap", "v.key"))
+    variants = store(hashed.select("no", F.explode_outer(F.concat(whole, gone)).alias("v")).select("no", "v.gap", "v.key"))
+    several = variants.groupBy("key").agg(F.min("no").alias("x"), F.max("no").alias("y")).where("x < y").select("key")
+    common = store(variants.join(several, "key"))
+    release(variants)
 
     # earliest line of each key: as a whole line, with a deletion anywhere, and with a deletion at one place
-    at_gap = variants.groupBy("len", "key", "gap").agg(F.min("first").alias("best"))
-    kinds = at_gap.groupBy("len", "key").agg(F.min(F.when(F.col("gap") < 0, F.col("best"))).alias("as_whole"),
-                                             F.min(F.when(F.col("gap") >= 0, F.col("best"))).alias("as_rest"))
-    replaced = variants.where("gap >= 0").join(at_gap, ["len", "key", "gap"]).select("first", "best")
+    at_gap = common.groupBy("key", "gap").agg(F.min("no").alias("best"))
+    kinds = at_gap.groupBy("key").agg(F.min(F.when(F.col("gap") < 0, F.col("best"))).alias("as_whole"),
+                                      F.min(F.when(F.col("gap") >= 0, F.col("best"))).alias("as_rest"))
+    replaced = common.where("gap >= 0").join(at_gap, ["key", "gap"]).select("no", "best")
     other = F.when(F.col("gap") < 0, F.col("as_rest")).otherwise(F.col("as_whole"))
-    resized = variants.join(kinds, ["len", "key"]).select("first", other.alias("best"))
-    partner = replaced.unionByName(resized).where("best < first").groupBy("first").agg(F.min("best").alias("best"))
-    partner = store(partner)
-
-    mine = worded.select(F.col("first").alias("f"), F.col("words").alias("w"))
-    theirs = worded.select(F.col("first").alias("g"), F.col("words").alias("u"))
-    checked = partner.join(mine, F.col("first") == F.col("f")).join(theirs, F.col("best") == F.col("g")) \
-        .where(_close(F.col("w"), F.col("u"))).select(F.col("f").alias("first"), F.col("best"))
-
-    earliest = distinct.select("h1", "h2", "m", "first").join(checked, "first", "left") \
-        .select("h1", "h2", "m", F.least("first", F.coalesce("best", "first")).alias("earliest"))
-    gone_rows = seen.select("h1", "h2", "m", "ord").join(earliest, ["h1", "h2", "m"]).where("earliest < ord")
-    out = store(gone_rows.groupBy("ord.doc", "ord.tkey").agg(F.collect_set("ord.place").alias("places")))
-    for t in (seen, distinct, places, worded, variants, partner):
+    resized = common.join(kinds, "key").select("no", other.alias("best"))
+    partner = replaced.unionByName(resized).where("best < no").groupBy("no").agg(F.min("best").alias("best"))
+
+    mine = worded.select(F.col("no").alias("f"), F.col("words").alias("w"))
+    theirs = worded.select(F.col("no").alias("g"), F.col("words").alias("u"))
+    checked = partner.join(mine, F.col("no") == F.col("f")).join(theirs, F.col("best") == F.col("g")).where(_close(F.col("w"), F.col("u"))) \
+        .groupBy("no").agg(F.min("best").alias("best"))
+
+    where = numbered.select(F.col("no").alias("best"), place.alias("early"))
+    sooner = numbered.select("no", "h1", "h2").join(checked, "no").join(where, "best").select("h1", "h2", "early")
+    earliest = distinct.select("h1", "h2", "first").join(sooner, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("early", "first").alias("earliest"))
+    gone_rows = seen.select("h1", "h2", "doc", "tkey", "place").join(earliest, ["h1", "h2"]).where(F.col("earliest") < place)
+    out = store(gone_rows.groupBy("doc", "tkey").agg(F.collect_set("place").alias("places")))
+    for t in (seen, distinct, numbered, worded, common):
         release(t)
     return out
 
