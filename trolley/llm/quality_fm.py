@@ -24,6 +24,7 @@ from dataclasses import astuple, dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -176,8 +177,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     got = sample.mapInArrow(run, "bucket array<int>, value array<double>, stats array<double>, label double, place bigint, tie bigint").toArrow()
     got = got.sort_by([("place", "ascending"), ("tie", "ascending")])
-    return train([(np.array(b, np.int64), np.array(v), np.array(s), y) for b, v, s, y in
-                  zip(*(got.column(c).to_pylist() for c in ("bucket", "value", "stats", "label")))])
+    lists = {}
+    for c in ("bucket", "value", "stats"):  # views of the flat values, no Python objects
+        column = got.column(c).combine_chunks()
+        lists[c] = np.split(column.flatten().to_numpy(), np.cumsum(pc.list_value_length(column).to_numpy())[:-1]) if len(column) else []
+    return train(list(zip(lists["bucket"], lists["value"], lists["stats"], got.column("label").to_pylist())))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", chars_col: str | None = "n_chars", score_col: str = "score") -> DataFrame:

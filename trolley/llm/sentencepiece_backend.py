@@ -20,16 +20,18 @@ encoded whole; the model's bytes travel with the job, the file is read by the dr
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
+SLICE_CHARS = 1 << 17
 #: Piece types of the model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -162,51 +164,67 @@ def verify(model: bytes, texts: list[str]) -> None:
             raise ValueError(f"ids differ from sentencepiece for {text[:60]!r}")
 
 
-def _tokenizer(model: bytes, threads: bool):
-    os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads else "false"
+def _tokenizer(model: bytes, threads: int):
+    """The rebuilt tokenizer; its pool has ``threads`` threads in each worker."""
+    os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = ("true" if threads > 1 else "false"), str(threads)
     return build(model)
 
 
+def _slices(sizes: Iterable[int], limit: int) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of consecutive slices of about ``limit`` in size; a larger row is a slice of its own."""
+    first, n, total = 0, 0, 0
+    for size in sizes:
+        if n and total + size > limit:
+            yield first, n
+            first, n, total = first + n, 0, 0
+        n, total = n + 1, total + size
+    if n:
+        yield first, n
+
+
 def encode(docs: DataFrame, text_col: str = "text", model_path: str = MODEL, ids_col: str = "ids", check: bool = True,
-           probe: int = 200, threads: bool = True, batch: int = 256) -> DataFrame:
+           probe: int = 200, threads: int = 2, slice_chars: int = SLICE_CHARS) -> DataFrame:
     """``docs`` with an array column of piece ids.
 
     With ``check``, parity is verified on ``PROBE`` and the first ``probe`` texts that Spark finds.
+    Texts are encoded and passed on in slices of about ``slice_chars`` characters, as the
+    library's results take some hundred bytes a piece.
     """
     with open(model_path, "rb") as f:
         model = f.read()
     if check:
         verify(model, [*PROBE, *(r[0] for r in docs.select(text_col).where(F.col(text_col).isNotNull()).limit(probe).collect())])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # the model file's bytes
+    names, at = [*docs.columns, ids_col], docs.columns.index(text_col)
 
-    @F.pandas_udf("array<int>")
-    def encoder(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _tokenizer(shared.value, threads)
-        for texts in batches:
-            out = []
-            for k in range(0, len(texts), batch):
-                part = [x if isinstance(x, str) else "" for x in texts.iloc[k:k + batch]]
-                out += [np.array(e.ids, np.int32) for e in t.encode_batch(part, add_special_tokens=False)]
-            yield pd.Series(out, index=texts.index, dtype=object)
+        for batch in batches:
+            texts = batch.column(at)
+            for first, n in _slices((len(x.as_py() or "") for x in texts), slice_chars):
+                part = [x.as_py() or "" for x in texts.slice(first, n)]
+                ids = [np.array(e.ids, np.int32) for e in t.encode_batch_fast(part, add_special_tokens=False)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, n).columns, pa.array(ids, pa.list_(pa.int32()))], names)
 
-    return docs.withColumn(ids_col, encoder(F.col(text_col)))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(ids_col, ArrayType(IntegerType()))]))
 
 
-def decode(rows: DataFrame, ids_col: str = "ids", model_path: str = MODEL, text_col: str = "decoded", threads: bool = True, batch: int = 256) -> DataFrame:
+def decode(rows: DataFrame, ids_col: str = "ids", model_path: str = MODEL, text_col: str = "decoded", threads: int = 2,
+           slice_chars: int = SLICE_CHARS) -> DataFrame:
     """``rows`` with the text of an id column."""
     with open(model_path, "rb") as f:
         shared = rows.sparkSession.sparkContext.broadcast(f.read())
+    names, at = [*rows.columns, text_col], rows.columns.index(ids_col)
 
-    @F.pandas_udf("string")
-    def decoder(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _tokenizer(shared.value, threads)
-        for ids in batches:
-            out = []
-            for k in range(0, len(ids), batch):
-                out += t.decode_batch([[] if x is None else [int(i) for i in x] for x in ids.iloc[k:k + batch]], skip_special_tokens=False)
-            yield pd.Series(out, index=ids.index, dtype=object)
+        for batch in batches:
+            ids = batch.column(at)
+            for first, n in _slices((4 * len(x) if x.is_valid else 0 for x in ids), slice_chars):
+                texts = t.decode_batch([x or [] for x in ids.slice(first, n).to_pylist()], skip_special_tokens=False)
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, n).columns, pa.array(texts, pa.string())], names)
 
-    return rows.withColumn(text_col, decoder(F.col(ids_col)))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(text_col, StringType())]))
 
 
 def ids_digest(ids: Column) -> Column:
