@@ -12,7 +12,7 @@ text, 254 pads) or an array column of integers with given end and pad ids.
 Plan. A light first scan (ids counted in the JVM) yields one row per input split; their sums
 give each split its place in the stream. The second scan cuts the pieces, computes their
 slots, and shuffles them once, straight to the range of shards that each partition writes
-(``repartitionById``). Inside a partition the sort spills, and rows are streamed to the file.
+(``repartitionById``); pieces travel compressed, as shuffle and shards share the disk. Inside a partition the sort spills, and rows are streamed to the file.
 The input is a Parquet table: its splits are pinned for both scans by a fixed minimum number
 of partitions, and a split that has moved stops the job. Every shard is verified while it is
 written: each slot must come exactly once and be full. A task writes to a name of its own and
@@ -33,13 +33,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trolley.llm.common import store
 from trolley.session import ensure_checkpoint_dir, shuffle_partitions
 
-LENGTH, PER_SHARD, KEY, ROUNDS = 2048, 1 << 14, 0x5EED, 6
+LENGTH, PER_SHARD, KEY, ROUNDS, SQUEEZE = 2048, 1 << 14, 0x5EED, 6, 3
 BYTE_END, BYTE_PAD = 255, 254
 _MIN_PARTS = "spark.sql.files.minPartitionNum"
 
@@ -111,7 +112,7 @@ def write_shards(spark: SparkSession, table_path: str, out_dir: str | None = Non
         shared = spark.sparkContext.broadcast(base)
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            place = None
+            place, squeeze = None, zstandard.ZstdCompressor(level=SQUEEZE, write_checksum=False).compress
             for batch in batches:
                 if place is None and batch.num_rows:
                     place = shared.value.get((batch.column(0)[0].as_py(), batch.column(1)[0].as_py()))
@@ -126,7 +127,7 @@ def write_shards(spark: SparkSession, table_path: str, out_dir: str | None = Non
                         to = min(stop, (at // length + 1) * length)
                         seq.append(at // length)
                         start.append(at % length)
-                        data.append(bytes(payload[(at - place) * width:(to - place) * width]))
+                        data.append(squeeze(payload[(at - place) * width:(to - place) * width]))
                         doc.append(ids[i])
                         held += to - at
                         at = to
@@ -174,6 +175,7 @@ def write_shards(spark: SparkSession, table_path: str, out_dir: str | None = Non
                 out.append((seq, slot, shard, (slot % per_shard) * stride, got, docs_of, zlib.crc32(block)))
 
             now, seq_now, parts_of, docs_of, next_start = -1, -1, [], [], 0
+            expand = zstandard.ZstdDecompressor().decompress
             for batch in batches:
                 for slot, seq, start, doc, data in zip(*(batch.column(k).to_pylist() for k in range(5))):
                     if slot != now:
@@ -182,8 +184,8 @@ def write_shards(spark: SparkSession, table_path: str, out_dir: str | None = Non
                         now, seq_now, parts_of, docs_of, next_start = slot, seq, [], [], 0
                     if start != next_start:
                         raise RuntimeError(f"slot {slot} has a gap")
-                    parts_of.append(data)
-                    next_start = start + len(data) // width
+                    parts_of.append(expand(data))
+                    next_start = start + len(parts_of[-1]) // width
                     if doc is not None and (not docs_of or docs_of[-1] != doc):
                         docs_of.append(doc)
                 if len(out) > 10_000:
