@@ -52,3 +52,11 @@ def test_the_nearest_path_is_the_partner_and_articles_keep_shared_lines(spark):
 def test_empty_table(spark):
     table = spark.createDataFrame([], "page_id bigint, url string, html string")
     assert P.main_text(table).count() == 0
+
+
+def test_lines_of_every_zone_are_differenced(spark):
+    page = "<main><p>Share this</p><article><h1>{0}</h1><p>Read more below</p><p>{0} text</p></article><div class=content><p>Top tips</p></div><p>only {0}</p></main>"
+    rows = [(k, f"http://a.com/n/{k}", page.format(w)) for k, w in enumerate(("one", "two", "three", "four"))]
+    rows += [(k, f"http://b.com/{k}", f"<main><p>Latest</p><p>{w}</p></main>") for k, w in ((8, "eight"), (9, "nine"))]
+    got = {r["page_id"]: r["text"] for r in P.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {**{k: f"{w} {w} text only {w}" for k, w in enumerate(("one", "two", "three", "four"))}, 8: "eight", 9: "nine"}

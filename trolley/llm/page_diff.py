@@ -2,13 +2,14 @@
 
 1. One scan reads each page's text lines (blocks between block-level tags) with the zone each
    stands in: structural boilerplate (menus, footers, adverts, forms, comments ...), open page,
-   or inside the page's article element.
-2. Pages are ordered by host and URL path with a distributed dense rank, so a host with a
-   third of all pages is spread over many tasks. A page's partner is the neighbour of the
-   same host whose path shares the longer prefix (the earlier one on a tie).
+   or inside an article element.
+2. Pages are ordered by host and URL path with a distributed dense rank, so a host with a third
+   of all pages is spread over many tasks. A page's partner is the neighbour of the same host whose path shares
+   the longer prefix (the earlier one on a tie); its witness is the neighbour on the other side,
+   or at the end of a host the next one but one.
 3. The line hashes of each pair are aligned by longest common subsequence; shared lines are
-   deleted. Lines inside an article element are the exception: what two articles of a host have in
-   common (a quoted passage, a copy of the article) is content and stays.
+   deleted, whatever zone they stand in. A line inside an article that only the pair shares is a
+   quotation and stays; it goes if the witness holds it as well.
 4. A second scan rebuilds the texts without the deleted lines and the structural boilerplate.
 
 Only line hashes travel to the pairs; pages travel once, to meet their deletions.
@@ -143,9 +144,8 @@ def text_lines(page: str | None) -> list[tuple[str, int]]:
 
 
 def split_zones(lines: list[tuple[str, int]]) -> tuple[list[bool], list[bool]]:
-    """Per line: whether it can be main text, and whether it is protected as part of the article."""
-    best = max((z for _, z in lines), default=OPEN)
-    return [z != DROPPED and (best == OPEN or z == best) for _, z in lines], [best != OPEN and z == best for _, z in lines]
+    """Per line: whether it can be main text, and whether it stands in an article, where a quotation is protected."""
+    return [z != DROPPED for _, z in lines], [z == ARTICLE for _, z in lines]
 
 
 def shared_lines(mine: list[int], theirs: list[int]) -> list[int]:
@@ -171,62 +171,75 @@ def shared_lines(mine: list[int], theirs: list[int]) -> list[int]:
     return out[::-1]
 
 
+def judge(mine: list[int], zones: list[int], partner: list[int], witness: list[int] | None) -> tuple[int, list[int]]:
+    """(lines shared with the partner, places of the lines that go) of a page."""
+    pair, common = shared_lines(mine, partner), set(shared_lines(mine, witness or []))
+    return len(pair), [i for i in pair if zones[i] != DROPPED and (zones[i] != ARTICLE or i in common)]
+
+
 def _page_key(url_col: str, html_col: str):
     return F.xxhash64(F.coalesce(F.col(url_col), F.lit("\x00")), F.coalesce(F.col(html_col), F.lit("\x00")))
 
 
 def page_lines(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Rows (page, pkey, host, path, hashes of the lines, open: the places of lines that differencing may delete)."""
+    """Rows (page, pkey, host, path, and of the lines their hashes and zones)."""
     rows = pages.select(F.col(id_col).alias("page"), _page_key(url_col, html_col).alias("pkey"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     kind = rows.schema["page"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, opens = [], []
+            hashes, zones = [], []
             for page in batch.column(3):
                 lines = text_lines(page.as_py())
-                can, safe = split_zones(lines)
                 hashes.append(np.array([xxhash.xxh64_intdigest(t) for t, _ in lines], "<u8").view("<i8"))
-                opens.append([i for i in range(len(lines)) if can[i] and not safe[i]])
+                zones.append([z for _, z in lines])
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(hashes, pa.list_(pa.int64())),
-                                              pa.array(opens, pa.list_(pa.int32()))], ["page", "pkey", "url", "hashes", "open"])
+                                              pa.array(zones, pa.list_(pa.int8()))],
+                                             ["page", "pkey", "url", "hashes", "zones"])
 
-    got = rows.mapInArrow(run, f"page {kind}, pkey bigint, url string, hashes array<bigint>, open array<int>")
+    got = rows.mapInArrow(run, f"page {kind}, pkey bigint, url string, hashes array<bigint>, zones array<tinyint>")
     rest = F.regexp_replace(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
     host, path = F.lower(F.regexp_extract(rest, r"^[^/?#]*", 0)), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
-    return got.select("page", "pkey", host.alias("host"), F.regexp_replace(path, "/+$", "").alias("path"), "hashes", "open")
+    return got.select("page", "pkey", host.alias("host"), F.regexp_replace(path, "/+$", "").alias("path"), "hashes", "zones")
 
 
 def deletions(lines: DataFrame) -> DataFrame:
     """Rows (page, pkey, n_shared, deleted places) of the pages that share lines with their partner."""
     order = [F.col(c) for c in ("host", "path", "page", "pkey")]
-    distinct = lines.dropDuplicates(["page", "pkey"])
-    ranked = store(dense_ids(distinct, order, "place"))
-    light = ranked.select("place", "host", "path")
-    near = ranked.select("place", "host", "path")
-    for name, step in (("before", -1), ("after", 1)):
-        side = light.select((F.col("place") - step).alias("place"), F.col("host").alias(f"{name}_host"), F.col("path").alias(f"{name}_path"))
-        near = near.join(side, "place", "left")
+    ranked = store(dense_ids(lines.dropDuplicates(["page", "pkey"]), order, "place"))
+    seen = ranked.select(F.explode(F.array(*[F.lit(k) for k in (-2, -1, 1, 2)])).alias("step"), "place", "host", "path")
+    sides = {"before2": -2, "before": -1, "after": 1, "after2": 2}
+    around = seen.groupBy((F.col("place") - F.col("step")).alias("place")).agg(
+        *[F.max(F.when(F.col("step") == k, F.struct("host", "path"))).alias(name) for name, k in sides.items()])
+    near = ranked.select("place", "host", "path").join(around, "place")
 
     def likeness(name: str):
         """Leading characters that the paths share; -1 without such a neighbour."""
-        short = F.least(F.length("path"), F.length(f"{name}_path"))
+        short = F.least(F.length("path"), F.length(f"{name}.path"))
         chars = F.filter(F.sequence(F.lit(1), F.greatest(short, F.lit(1))),
-                         lambda i: F.substring(F.col("path"), i, F.lit(1)) != F.substring(F.col(f"{name}_path"), i, F.lit(1)))
-        return F.when(F.col(f"{name}_host") == F.col("host"), F.coalesce(F.get(chars, F.lit(0)) - 1, short)).otherwise(-1)
+                         lambda i: F.substring(F.col("path"), i, F.lit(1)) != F.substring(F.col(f"{name}.path"), i, F.lit(1)))
+        return F.when(F.col(f"{name}.host") == F.col("host"), F.coalesce(F.get(chars, F.lit(0)) - 1, short)).otherwise(-1)
 
-    before, after = likeness("before"), likeness("after")
-    partner = near.select("place", F.when((before >= after) & (before >= 0), F.col("place") - 1).when(after >= 0, F.col("place") + 1).alias("partner")) \
+    def there(name: str):
+        """Place of a neighbour of the same host, or null."""
+        return F.when(F.col(f"{name}.host") == F.col("host"), F.col("place") + sides[name])
+
+    first = likeness("before") >= likeness("after")
+    partner = near.select("place", F.when(first, there("before")).otherwise(there("after")).alias("partner"),
+                          F.when(first, F.coalesce(there("after"), there("before2"))).otherwise(F.coalesce(there("before"), there("after2"))).alias("witness")) \
         .where("partner is not null")
     theirs = ranked.select(F.col("place").alias("partner"), F.col("hashes").alias("theirs"))
+    others = ranked.select(F.col("place").alias("witness"), F.col("hashes").alias("others"))
 
-    @F.pandas_udf("array<int>")
-    def shared(mine: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for a, b in mine:
-            yield pd.Series([shared_lines(list(x), list(y)) for x, y in zip(a, b)], index=a.index, dtype=object)
+    @F.pandas_udf("n_shared int, deleted array<int>")
+    def judged(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [judge(*(None if x is None else x.tolist() for x in row)) for row in zip(*batch)]
+            yield pd.DataFrame({"n_shared": [n for n, _ in rows], "deleted": [at for _, at in rows]})
 
-    both = ranked.join(partner, "place").join(theirs, "partner").select("page", "pkey", "open", shared(F.col("hashes"), F.col("theirs")).alias("shared"))
-    return both.where(F.size("shared") > 0).select("page", "pkey", F.size("shared").alias("n_shared"), F.array_intersect("shared", "open").alias("deleted"))
+    found = ranked.join(partner, "place").join(theirs, "partner").join(others, "witness", "left") \
+        .select("page", "pkey", judged("hashes", "zones", "theirs", "others").alias("found"))
+    return found.where("found.n_shared > 0").select("page", "pkey", "found.*")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
