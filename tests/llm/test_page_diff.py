@@ -60,3 +60,14 @@ def test_lines_of_every_zone_are_differenced(spark):
     rows += [(k, f"http://b.com/{k}", f"<main><p>Latest</p><p>{w}</p></main>") for k, w in ((8, "eight"), (9, "nine"))]
     got = {r["page_id"]: r["text"] for r in P.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
     assert got == {**{k: f"{w} {w} text only {w}" for k, w in enumerate(("one", "two", "three", "four"))}, 8: "eight", 9: "nine"}
+
+
+def test_copies_do_not_delete_each_other(spark):
+    page = "<div>Home of things</div><p>{}</p><div>All rights kept</div>"
+    story = "A long story that is told here in many words " * 9
+    rows = [(1, "http://a.com/s/1", page.format(story)), (2, "http://a.com/s/1-print", page.format(story)), (3, "http://a.com/s/1?x", page.format(story) + "<p>v2"),
+            (4, "http://a.com/s/2", page.format("Second story")), (5, "http://c.com/1", page.format(story)), (6, "http://c.com/2", page.format(story))]
+    got = {r["page_id"]: r["text"] for r in P.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    whole = " ".join(["Home of things", story.strip(), "All rights kept"])
+    assert got[4] == "Second story" and got[5] == got[6] == whole
+    assert got[1] == got[2] == story.strip() and got[3] == story.strip() + " v2"

@@ -3,19 +3,21 @@
 1. One scan reads each page's text lines (blocks between block-level tags) with the zone each
    stands in: structural boilerplate (menus, footers, adverts, forms, comments ...), open page,
    or inside an article element.
-2. Pages are ordered by host and URL path with a distributed dense rank, so a host with a third
-   of all pages is spread over many tasks. A page's partner is the neighbour of the same host whose path shares
+2. Pages of a host with the same lines in the same zones collapse to one. These are ordered by
+   host and URL path with a distributed dense rank, so a host with a third of all pages is
+   spread over many tasks. A page's partner is the neighbour of the same host whose path shares
    the longer prefix (the earlier one on a tie); its witness is the neighbour on the other side,
    or at the end of a host the next one but one.
 3. The line hashes of each pair are aligned by longest common subsequence; shared lines are
    deleted, whatever zone they stand in. A line inside an article that only the pair shares is a
-   quotation and stays; it goes if the witness holds it as well.
+   quotation and stays; it goes if the witness holds it as well. A pair that shares nearly all
+   of the page's text is a copy: it tells nothing, and the witness takes the partner's place.
 4. A second scan rebuilds the texts without the deleted lines and the structural boilerplate.
 
 Only line hashes travel to the pairs; pages travel once, to meet their deletions.
 
 Defined cases: null or empty html has no text; an unclosed tag ends with its container; a page
-that is alone in its host has no partner; a null or odd URL counts by its string, null ones
+that is alone in its host, or has only copies there, loses no line; a null or odd URL counts by its string, null ones
 form a host of their own; repeated ids are told apart by URL and html, exactly repeated rows
 are paired and extracted alike; an empty table gives an empty result.
 """
@@ -60,6 +62,8 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"""([a-z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _NAME = re.compile(r"[A-Za-z]+")
 DROPPED, OPEN, WEAK, MAIN, ARTICLE = range(5)
+#: A page and its partner are copies if less than one part in so many of the page's characters is its own.
+COPY_PARTS = 20
 
 
 def _judge(tag: str, attrs: str, in_article: bool) -> tuple[bool, int]:
@@ -171,9 +175,19 @@ def shared_lines(mine: list[int], theirs: list[int]) -> list[int]:
     return out[::-1]
 
 
-def judge(mine: list[int], zones: list[int], partner: list[int], witness: list[int] | None) -> tuple[int, list[int]]:
-    """(lines shared with the partner, places of the lines that go) of a page."""
-    pair, common = shared_lines(mine, partner), set(shared_lines(mine, witness or []))
+def judge(mine: list[int], sizes: list[int], zones: list[int], partner: list[int], witness: list[int] | None) -> tuple[int, list[int]]:
+    """(lines shared with the partner, places of the lines that go) of a page; the witness stands in for a partner that is a copy."""
+    total = sum(n for n, z in zip(sizes, zones) if z != DROPPED)
+
+    def aligned(theirs: list[int] | None) -> tuple[list[int], bool]:
+        at = shared_lines(mine, theirs) if theirs is not None else []
+        own = total - sum(sizes[i] for i in at if zones[i] != DROPPED)
+        return at, theirs is not None and own * COPY_PARTS >= total
+
+    (pair, differs), (third, tells) = aligned(partner), aligned(witness)
+    if not differs:
+        return (len(third), [i for i in third if zones[i] not in (DROPPED, ARTICLE)]) if tells else (len(pair), [])
+    common = set(third if tells else ())
     return len(pair), [i for i in pair if zones[i] != DROPPED and (zones[i] != ARTICLE or i in common)]
 
 
@@ -182,31 +196,34 @@ def _page_key(url_col: str, html_col: str):
 
 
 def page_lines(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Rows (page, pkey, host, path, and of the lines their hashes and zones)."""
+    """Rows (page, pkey, host, path, and of the lines their hashes, sizes in characters and zones)."""
     rows = pages.select(F.col(id_col).alias("page"), _page_key(url_col, html_col).alias("pkey"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     kind = rows.schema["page"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, zones = [], []
+            hashes, sizes, zones = [], [], []
             for page in batch.column(3):
                 lines = text_lines(page.as_py())
                 hashes.append(np.array([xxhash.xxh64_intdigest(t) for t, _ in lines], "<u8").view("<i8"))
+                sizes.append([len(t) for t, _ in lines])
                 zones.append([z for _, z in lines])
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(hashes, pa.list_(pa.int64())),
-                                              pa.array(zones, pa.list_(pa.int8()))],
-                                             ["page", "pkey", "url", "hashes", "zones"])
+                                              pa.array(sizes, pa.list_(pa.int32())), pa.array(zones, pa.list_(pa.int8()))],
+                                             ["page", "pkey", "url", "hashes", "sizes", "zones"])
 
-    got = rows.mapInArrow(run, f"page {kind}, pkey bigint, url string, hashes array<bigint>, zones array<tinyint>")
+    got = rows.mapInArrow(run, f"page {kind}, pkey bigint, url string, hashes array<bigint>, sizes array<int>, zones array<tinyint>")
     rest = F.regexp_replace(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
     host, path = F.lower(F.regexp_extract(rest, r"^[^/?#]*", 0)), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
-    return got.select("page", "pkey", host.alias("host"), F.regexp_replace(path, "/+$", "").alias("path"), "hashes", "zones")
+    return got.select("page", "pkey", host.alias("host"), F.regexp_replace(path, "/+$", "").alias("path"), "hashes", "sizes", "zones")
 
 
 def deletions(lines: DataFrame) -> DataFrame:
     """Rows (page, pkey, n_shared, deleted places) of the pages that share lines with their partner."""
-    order = [F.col(c) for c in ("host", "path", "page", "pkey")]
-    ranked = store(dense_ids(lines.dropDuplicates(["page", "pkey"]), order, "place"))
+    same = ["host", "h1", "h2"]  # 96 bits that identify a page's lines within its host
+    distinct = lines.dropDuplicates(["page", "pkey"]).withColumns({"h1": F.xxhash64("hashes", "zones"), "h2": F.hash("hashes", "zones")})
+    heads = distinct.groupBy(*same).agg(F.min(F.struct("path", "page", "pkey", "hashes", "sizes", "zones")).alias("head")).select(*same, "head.*")
+    ranked = store(dense_ids(heads, [F.col(c) for c in ("host", "path", "page", "pkey")], "place"))
     seen = ranked.select(F.explode(F.array(*[F.lit(k) for k in (-2, -1, 1, 2)])).alias("step"), "place", "host", "path")
     sides = {"before2": -2, "before": -1, "after": 1, "after2": 2}
     around = seen.groupBy((F.col("place") - F.col("step")).alias("place")).agg(
@@ -238,8 +255,8 @@ def deletions(lines: DataFrame) -> DataFrame:
             yield pd.DataFrame({"n_shared": [n for n, _ in rows], "deleted": [at for _, at in rows]})
 
     found = ranked.join(partner, "place").join(theirs, "partner").join(others, "witness", "left") \
-        .select("page", "pkey", judged("hashes", "zones", "theirs", "others").alias("found"))
-    return found.where("found.n_shared > 0").select("page", "pkey", "found.*")
+        .select(*same, judged("hashes", "sizes", "zones", "theirs", "others").alias("found")).where("found.n_shared > 0").select(*same, "found.*")
+    return distinct.select("page", "pkey", *same).join(found, same).select("page", "pkey", "n_shared", "deleted")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
