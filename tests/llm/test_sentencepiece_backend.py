@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 import sentencepiece
 from helpers import docs, prose
@@ -65,3 +67,20 @@ def test_encode_and_decode_tables(spark, model):
     assert [r["ids"] for r in rows] == [sp.encode(t or "") for t in texts]
     assert [r["decoded"] for r in rows] == [(t or "").replace("▁", " ") for t in texts]
     assert B.encode(table.where("false")).count() == 0
+
+
+def test_the_query_decodes_every_row(spark, model, tmp_path):
+    from trolley.llm.queries import QUERIES
+    texts = [None, "", "  plain  words ", "tab\tand\nline", "日本語 \U0001F600", " ".join(prose(400, 3)), "<s> ▁ </s> <0x0A>", "\x00 ﬁ"]
+    docs(spark, texts).select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["decoded_sha256"], r["round_trip"]) for r in QUERIES["op6_sentencepiece"](spark, str(tmp_path)).collect()}
+    sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+    assert got == {k: (hashlib.sha256(sp.decode(sp.encode(t or "")).encode()).hexdigest(), True) for k, t in enumerate(texts)}
+
+
+def test_normalised_text_is_what_a_trimming_model_reads():
+    data = unigram_model()
+    tok, spec = B.build(data), B.parse(data)
+    for text in ("", "the", "  there   the ", "thé"):
+        ids = tok.encode(text, add_special_tokens=False).ids
+        assert tok.decode(ids, skip_special_tokens=False) == B.normalised(tok, spec, text)

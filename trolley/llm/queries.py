@@ -73,8 +73,8 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trolley.llm import sentencepiece_backend as sp
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = sp.encode(docs)
-    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), sp.ids_digest(F.col("ids")).alias("ids_sha256"))
+    coded = sp.encode(docs, back=True)
+    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), sp.ids_digest(F.col("ids")).alias("ids_sha256"), "decoded_sha256", "round_trip")
 
 
 @_register

@@ -19,15 +19,16 @@ encoded whole; the model's bytes travel with the job, the file is read by the dr
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
@@ -182,10 +183,20 @@ def _slices(sizes: Iterable[int], limit: int) -> Iterator[tuple[int, int]]:
         yield first, n
 
 
+def normalised(t, spec: Spec, text: str) -> str:
+    """The text as the tokenizer ``t`` reads it, with spaces for markers and without the prefixed one."""
+    if not spec.charsmap and not spec.trim_spaces:  # only the marking of spaces and the prefix are left of the normaliser
+        return text.replace(MARKER, " ")
+    read = t.normalizer.normalize_str(text).replace(MARKER, " ")
+    return read[1:] if spec.dummy_prefix else read
+
+
 def encode(docs: DataFrame, text_col: str = "text", model_path: str = MODEL, ids_col: str = "ids", check: bool = True,
-           probe: int = 200, threads: int = 2, slice_chars: int = SLICE_CHARS) -> DataFrame:
+           probe: int = 200, threads: int = 2, slice_chars: int = SLICE_CHARS, back: bool = False) -> DataFrame:
     """``docs`` with an array column of piece ids.
 
+    With ``back``, the ids of every row are decoded as well: ``decoded_sha256`` of the decoded text, and ``round_trip``,
+    whether it equals the normalised text.
     With ``check``, parity is verified on ``PROBE`` and the first ``probe`` texts that Spark finds.
     Texts are encoded and passed on in slices of about ``slice_chars`` characters, as the
     library's results take some hundred bytes a piece.
@@ -195,7 +206,10 @@ def encode(docs: DataFrame, text_col: str = "text", model_path: str = MODEL, ids
     if check:
         verify(model, [*PROBE, *(r[0] for r in docs.select(text_col).where(F.col(text_col).isNotNull()).limit(probe).collect())])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # the model file's bytes
-    names, at = [*docs.columns, ids_col], docs.columns.index(text_col)
+    made = [StructField(ids_col, ArrayType(IntegerType())),
+            *([StructField("decoded_sha256", StringType()), StructField("round_trip", BooleanType())] if back else [])]
+    names, at = [*docs.columns, *(f.name for f in made)], docs.columns.index(text_col)
+    spec = replace(parse(model), pieces=[])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _tokenizer(shared.value, threads)
@@ -203,10 +217,16 @@ def encode(docs: DataFrame, text_col: str = "text", model_path: str = MODEL, ids
             texts = batch.column(at)
             for first, n in _slices((len(x.as_py() or "") for x in texts), slice_chars):
                 part = [x.as_py() or "" for x in texts.slice(first, n)]
-                ids = [np.array(e.ids, np.int32) for e in t.encode_batch_fast(part, add_special_tokens=False)]
-                yield pa.RecordBatch.from_arrays([*batch.slice(first, n).columns, pa.array(ids, pa.list_(pa.int32()))], names)
-
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(ids_col, ArrayType(IntegerType()))]))
+                ids = [e.ids for e in t.encode_batch_fast(part, add_special_tokens=False)]
+                more = []
+                if back:
+                    decoded = t.decode_batch(ids, skip_special_tokens=False)
+                    more = [pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded], pa.string()),
+                            pa.array([x == normalised(t, spec, y) for x, y in zip(decoded, part)], pa.bool_())]
+                arrays = pa.array([np.array(x, np.int32) for x in ids], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, n).columns, arrays, *more], names)
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *made]))
 
 
 def decode(rows: DataFrame, ids_col: str = "ids", model_path: str = MODEL, text_col: str = "decoded", threads: int = 2,
