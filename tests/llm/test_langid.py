@@ -56,3 +56,15 @@ def test_without_training_rows_and_empty_table(spark):
 def test_script_ranges_ascend():
     first = [a for a, _ in L.SCRIPT_RANGES]
     assert first == sorted(set(first))
+
+
+def test_more_languages_than_a_byte_numbers():
+    for n in (129, 200, 300):
+        score = np.full((3, n), -50.0)
+        score[:, n - 1] = 0
+        assert L.viterbi(score, np.array([2, 1]), 1.5, np.zeros(n)).tolist() == [n - 1] * 3
+    langs = [f"l{k:03}" for k in range(300)]
+    logp = np.zeros((len(L.ORDERS) * L.BUCKETS, 300), np.float32)
+    logp[:, 299] = 1
+    m = L.Model(langs, logp, np.ones((len(L.SCRIPTS), 300), bool), np.zeros(300))
+    assert L.label(["one two", "three"], m) == [("l299", 1.0, [(0, 2, "l299")]), ("l299", 1.0, [(0, 1, "l299")])]

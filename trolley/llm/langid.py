@@ -121,9 +121,10 @@ def viterbi(score: np.ndarray, size: np.ndarray, penalty: float, prior: np.ndarr
     first = (np.cumsum(size) - size)[order]
     steps = int(size_sorted[0]) if len(size) else 0
     active = np.searchsorted(-size_sorted, -np.arange(steps), side="left") if steps else np.zeros(0, int)
-    out = np.zeros(len(score), np.int8)
-    from_lang = np.zeros(score.shape, np.int8)
-    own = np.arange(score.shape[1], dtype=np.int8)
+    kind = np.min_scalar_type(score.shape[1])  # holds every language's index
+    out = np.zeros(len(score), kind)
+    from_lang = np.zeros(score.shape, kind)
+    own = np.arange(score.shape[1], dtype=kind)
     best = np.zeros((0, score.shape[1]))
     for t in range(steps):
         a = active[t]
@@ -135,7 +136,7 @@ def viterbi(score: np.ndarray, size: np.ndarray, penalty: float, prior: np.ndarr
         jump = best[np.arange(a), top] - penalty
         leave = jump[:, None] > best
         at = first[:a] + t
-        from_lang[at] = np.where(leave, top[:, None].astype(np.int8), own)
+        from_lang[at] = np.where(leave, top[:, None].astype(kind), own)
         stay = np.where(leave, jump[:, None], best) + score[at]
         if t + 1 < steps and active[t + 1] < a:  # texts that end here
             done = slice(active[t + 1], a)
