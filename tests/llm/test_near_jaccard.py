@@ -1,0 +1,44 @@
+import random
+
+import corpus_pipeline
+import numpy as np
+from helpers import docs, prose
+
+from trolley.llm import near_jaccard as J
+from trolley.llm import simhash_blocks as S
+
+
+def brute(a, b):
+    a, b = ({tuple(t.lower().split()[i:i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def edited(k, changes, n=200):
+    rng, w = random.Random(k), prose(n, k, 5000)
+    for i in rng.sample(range(n), changes):
+        w[i] = f"new{k}x{i}"
+    return " ".join(w)
+
+
+def test_similarity_equals_brute_force():
+    for a, b in (("one", "One"), ("a b c d e f", "a b c d e g"), (edited(1, 0), edited(1, 3)), ("x y", "x y z")):
+        assert J.similarity(J.shingles(a), J.shingles(b)) == brute(a, b)
+    assert J.bands(np.zeros(0, np.uint64)) == [] and len(J.shingles(None)) == 0
+
+
+def test_the_stage_removes_near_copies_that_simhash_misses(spark):
+    texts = [edited(k, c) for k in range(12) for c in (0, 4)] + [edited(40, 0), edited(40, 20), None, "", "few words"]
+    near = {2 * k + 1 for k in range(12) if brute(texts[2 * k], texts[2 * k + 1]) >= 0.8}
+    far = [k for k in near if (S.fingerprint(texts[k]) ^ S.fingerprint(texts[k - 1])).bit_count() > 2]
+    assert len(near) > 8 and far and brute(texts[24], texts[25]) < 0.8
+    table = docs(spark, texts)
+    left = corpus_pipeline.near_dedup(spark, table, "")
+    assert left.columns == table.columns
+    # two texts without a word have one fingerprint
+    assert {r["doc_id"] for r in left.collect()} == set(range(len(texts))) - near - {27}
+    assert J.keep_one(table.where("false")).count() == 0
+
+
+def test_large_groups_are_linked_through_pivots(spark):
+    texts = [edited(7, 0) + f" tail{k}" for k in range(80)]
+    assert [r["doc_id"] for r in J.keep_one(docs(spark, texts)).collect()] == [0]
