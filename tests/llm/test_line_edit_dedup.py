@@ -57,3 +57,13 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     got = sorted((r["doc_id"] or -1, r["text"]) for r in line_edit_dedup.dedup_lines(table).collect())
     assert got == [(-1, line), (4, ""), (4, ""), (4, "else")]  # the null id comes first
     assert line_edit_dedup.dedup_lines(table.where("false")).count() == 0
+
+
+def test_short_lines_are_judged_by_equality_in_the_pipeline(spark):
+    import corpus_pipeline
+    long = " ".join(prose(12, 1))
+    texts = [f"Home\n\n{long}", f"{long} tail\n  HOME\nRead more now\n\nkept here", "read  more now\nread more then\nHome page\n日本語日本語日本語。", "日本語日本語日本語。\nalso mine", "home"]
+    want = [texts[0], "Read more now\n\nkept here", "read more then\nHome page\n日本語日本語日本語。", "also mine"]
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs(spark, texts), "").collect()} == dict(enumerate(want))
+    got = {r["doc_id"]: r["text"] for r in line_edit_dedup.dedup_lines(docs(spark, texts)).collect()}
+    assert got == dict(enumerate(brute(texts)))  # the query's SQL leaves them

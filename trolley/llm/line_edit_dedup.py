@@ -3,7 +3,8 @@
 Native: DataFrame functions only. A line is a ``\\n``-separated part of a text, lower-cased,
 trimmed, white space as one space. Two lines are close if one becomes the other by at most
 one word inserted, deleted or replaced; with at least ``min_words`` (5) words that is a
-similarity of 0.8 or more. Shorter lines are never judged. A line goes if an earlier line of
+similarity of 0.8 or more (longer lines that are so similar by more edits are not close). Shorter
+lines are judged only with ``short``, and then by equality. A line goes if an earlier line of
 the input (by document id, then place) is close to it, whether or not that one goes as well.
 
 Plan.
@@ -18,8 +19,8 @@ Plan.
 4. The edit distance to the winning earlier line is verified on the words themselves.
 5. Every place with an earlier close line is removed and the texts are rebuilt.
 
-Defined cases: null texts have no lines and stay null; empty lines and lines under
-``min_words`` stay; rows that share a doc_id are ordered by a hash of their text, exactly
+Defined cases: null texts have no lines and stay null; empty lines stay, and without ``short``
+lines under ``min_words``; rows that share a doc_id are ordered by a hash of their text, exactly
 repeated rows are one document and treated alike; null ids come first; an empty table gives
 an empty result. Columns other than id and text are passed through whatever their names.
 """
@@ -49,11 +50,11 @@ def _n_words(norm: Column) -> Column:
     return F.length(norm) - F.length(F.replace(norm, F.lit(" "), F.lit(""))) + 1
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _lines(docs: DataFrame, id_col: str, text_col: str, short: bool) -> DataFrame:
     """Rows (doc, tkey, place, norm, m): every line that is judged."""
     parts = docs.select(F.col(id_col).alias("doc"), text_key(F.col(text_col)).alias("tkey"),
                         F.posexplode_outer(norm_lines(F.col(text_col))).alias("place", "norm"))
-    return parts.withColumn("m", _n_words(F.col("norm"))).where(F.col("m") >= MIN_WORDS)
+    return parts.withColumn("m", _n_words(F.col("norm"))).where((F.col("norm") != "") & (F.col("m") >= (1 if short else MIN_WORDS)))
 
 
 def _ids(norm: Column) -> list[Column]:
@@ -62,13 +63,13 @@ def _ids(norm: Column) -> list[Column]:
 
 
 def _half_keys(norm: Column, m: Column) -> Column:
-    """Hashes of the leading and trailing halves, for itself as the shorter or the longer line of a pair."""
+    """Hashes of the leading and trailing halves, for itself as the shorter or the longer line of a pair; none of a short line."""
     p, q = F.floor(m / 2).cast("int"), F.floor((m - 1) / 2).cast("int")
 
     def ends(n: Column) -> list[Column]:
         return [F.xxhash64(F.lit(side), n, F.call_function("substring_index", norm, F.lit(" "), n * side)) for side in (1, -1)]
 
-    return F.when(p == q, F.array(*ends(p))).otherwise(F.array(*ends(p), *ends(q)))
+    return F.when(m < MIN_WORDS, F.array().cast("array<bigint>")).when(p == q, F.array(*ends(p))).otherwise(F.array(*ends(p), *ends(q)))
 
 
 def _deletions(words: Column, prime: int, base: int) -> Column:
@@ -102,10 +103,10 @@ def _close(a: Column, b: Column) -> Column:
     return (F.abs(m - n) <= 1) & (lead + trail >= F.greatest(m, n) - 1)
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """Rows (doc, tkey, places): the places of the lines that go, for each distinct text of an id that loses any."""
     place = F.struct("doc", "tkey", "place")
-    seen = store(_lines(docs, id_col, text_col).select(*_ids(F.col("norm")), "doc", "tkey", "place", _half_keys(F.col("norm"), F.col("m")).alias("halves")))
+    seen = store(_lines(docs, id_col, text_col, short).select(*_ids(F.col("norm")), "doc", "tkey", "place", _half_keys(F.col("norm"), F.col("m")).alias("halves")))
     distinct = store(seen.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.first("halves").alias("halves")))
 
     halves = distinct.select("h1", "h2", F.explode("halves").alias("half"))
@@ -154,9 +155,9 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """``docs`` with the removed lines taken out of the texts, and the columns ``n_lines`` and ``n_removed``."""
-    gone = removed_lines(docs, id_col, text_col).select(F.col("doc").alias("__doc"), F.col("tkey").alias("__tkey"), F.col("places").alias("__places"))
+    gone = removed_lines(docs, id_col, text_col, short).select(F.col("doc").alias("__doc"), F.col("tkey").alias("__tkey"), F.col("places").alias("__places"))
     parts = F.split(F.col(text_col), "\n")
     left = F.filter(parts, lambda s, i: ~F.array_contains("__places", i))
     cleaned = F.when(F.col("__places").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
