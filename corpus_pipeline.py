@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trolley.llm import decontam, line_edit_dedup, near_jaccard, quality_fm, sentencepiece_backend, simhash_blocks
+from trolley.llm import decontam, line_edit_dedup, quality_fm, sentencepiece_backend, simhash_blocks
 from trolley.llm.common import store, table
 
 
@@ -29,8 +29,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document stays, the one with the smallest id, of each SimHash component and then of texts that share 0.8 of their five-word shingles."""
-    return near_jaccard.keep_one(store(simhash_blocks.keep_one(docs)))
+    """Of each SimHash component (three-word shingles, two bits) one document stays: the one with the smallest id."""
+    return simhash_blocks.keep_one(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
