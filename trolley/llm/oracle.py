@@ -71,3 +71,44 @@ kept AS (SELECT doc_id, count(*) AS n_lines, count(gone.place) AS n_removed, str
 SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM documents LEFT JOIN kept USING (doc_id)
 """
+
+ORACLE["op13_hard_negatives"] = r"""
+WITH clean AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+one AS (SELECT * FROM clean QUALIFY row_number() OVER (PARTITION BY id ORDER BY label, q) = 1),
+scored AS (SELECT a.id AS anchor_id, a.label = b.label AS same, b.id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM one a JOIN one b ON a.id <> b.id WHERE a.id % 100 = 0),
+positive AS (SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+band AS (SELECT p.anchor_id, p.id AS positive_id, p.score AS positive_score, n.id AS negative_id, n.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id) AS r
+  FROM positive p JOIN scored n ON p.anchor_id = n.anchor_id WHERE NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score)
+SELECT anchor_id, positive_id, CAST(r AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM band WHERE r <= 5
+"""
+
+ORACLE["op12_spelling_variants"] = r"""
+WITH RECURSIVE crc AS (SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(0, 8)), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c
+    FROM (SELECT unnest(range(0, 256)) AS i))),
+run AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc, run, count(*) AS times FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run
+    FROM documents) WHERE length(run) >= 5 GROUP BY ALL),
+coded AS (SELECT run, times, flatten(list_transform(string_split(doc || ':' || run, ''),
+    lambda s: CASE WHEN unicode(s) < 128 THEN [CAST(unicode(s) AS BIGINT)] ELSE [CAST(192 + (unicode(s) >> 6) AS BIGINT), CAST(128 + (unicode(s) & 63) AS BIGINT)] END)) AS b FROM run),
+hashed AS (SELECT run, times, xor(list_reduce(list_prepend(4294967295, b), lambda a, x: xor(a >> 8, crc.t[(xor(a, x) & 255) + 1])), 4294967295) AS h FROM coded, crc),
+slip AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word, times FROM hashed),
+vocab AS (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM slip WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3),
+gone AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS v FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM vocab)),
+near AS (
+  SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS other_n FROM gone a JOIN gone b ON a.v = b.v AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM gone a JOIN vocab b ON a.v = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM gone a JOIN vocab b ON a.v = b.word),
+best AS (SELECT word, n, other, other_n, count(*) OVER (PARTITION BY word) AS n_near FROM near
+  QUALIFY row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) = 1),
+judged AS (SELECT vocab.word, vocab.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * vocab.n THEN other END AS form,
+    CASE WHEN other_n >= 2 * vocab.n THEN other_n END AS form_n FROM vocab LEFT JOIN best ON vocab.word = best.word),
+path AS (SELECT word, word AS at, form AS further FROM judged
+  UNION ALL SELECT path.word, judged.word, judged.form FROM path JOIN judged ON path.further = judged.word)
+SELECT judged.word, judged.form, path.at AS root, judged.n, judged.n_near, judged.form_n
+FROM judged JOIN path ON judged.word = path.word AND path.further IS NULL
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trolley.llm.common import table
@@ -96,3 +96,33 @@ def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trolley.llm import training_order
     rows, _ = training_order.write_shards(spark, f"{sf_dir}/documents.parquet")
     return rows
+
+
+@_register
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trolley.llm import hard_negatives
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return hard_negatives.mine(rows, F.col("id") % 100 == 0)
+
+
+@_register
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trolley.llm import spelling_variants as sv
+    runs = sv.runs(table(spark, sf_dir, "documents").select("doc_id", "text")).where(F.length("run") >= 5)
+    h, n = F.crc32(F.concat("doc", F.lit(":"), "run").cast("binary")), F.length("run")
+    place = (h % n).cast("int")
+    slip = F.concat(F.substr("run", F.lit(1), place), F.substr("run", place + 2))
+    return sv.variants(runs.select(F.when(h % 97 == 0, slip).otherwise(F.col("run")).alias("word")))
+
+
+@_register
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trolley.llm import pii_tagger as pii
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.fit(docs))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    counts = [count(k) for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
