@@ -1,4 +1,5 @@
 import random
+import time
 
 from trolley.llm import page_diff as P
 
@@ -71,3 +72,66 @@ def test_copies_do_not_delete_each_other(spark):
     whole = " ".join(["Home of things", story.strip(), "All rights kept"])
     assert got[4] == "Second story" and got[5] == got[6] == whole
     assert got[1] == got[2] == story.strip() and got[3] == story.strip() + " v2"
+
+
+def test_both_ways_of_alignment_agree():
+    rng = random.Random(5)
+    for _ in range(150):
+        a, b = ([rng.randrange(3) for _ in range(rng.randrange(30))] for _ in range(2))
+        for at in (P._many_matches(a, b), P.shared_lines(a, b)):
+            picked, rest = [a[i] for i in at], iter(b)
+            assert at == sorted(set(at)) and len(at) == lcs(a, b) and all(x in rest for x in picked)
+
+
+def test_long_pages_are_read_and_aligned_in_time():
+    cells = [0] * 20_000
+    began = time.time()
+    assert len(P.shared_lines([1, *cells, 2], [3, *cells, 4])) == 20_000
+    mixed = [k % 7 for k in range(8_000)]
+    assert len(P.shared_lines([9, *mixed, 5], [8, *mixed[1:], 4, 6])) >= 7_999
+    assert len(P.text_lines("<div>" * 20_000 + "x" + "</div>" * 20_000)) == 1
+    assert len(P.text_lines("<table>" + "<tr><td>0" * 20_000)) == 20_000
+    assert time.time() - began < 10
+
+
+def expected(pages):
+    """Pairing and deletion by plain loops over each host's pages (distinct lines, plain URLs)."""
+    out, hosts = {}, {}
+    for page, url, html in pages:
+        host, _, path = url.removeprefix("http://").partition("/")
+        hosts.setdefault(host, []).append(("/" + path, page, P.text_lines(html)))
+    for rows in hosts.values():
+        rows.sort(key=lambda r: r[:2])
+        for k, (path, page, lines) in enumerate(rows):
+            def like(j):
+                if not 0 <= j < len(rows):
+                    return -1
+                return next((n for n, (x, y) in enumerate(zip(path, rows[j][0])) if x != y), min(len(path), len(rows[j][0])))
+
+            first = like(k - 1) >= like(k + 1)
+            order = (k - 1, k + 1, k - 2) if first else (k + 1, k - 1, k + 2)
+            near = [rows[j][2] for j in order if 0 <= j < len(rows)]
+            words = [[t for t, _ in x] for x in near]
+            gone = set()
+            for t, zone in lines:
+                usual = sum(t in [u for u, _ in r[2]] for r in rows)
+                if near and t in words[0] and (zone < P.ARTICLE or (zone == P.ARTICLE and len(words) > 1 and t in words[1] and usual >= 4 and 2 * usual > len(rows))):
+                    gone.add(t)
+            out[page] = " ".join(t for t, zone in lines if zone != P.DROPPED and t not in gone)
+    return out
+
+
+def test_pairing_and_deletion_equal_brute_force(spark):
+    rng, pages = random.Random(11), []
+    bars = [f"bar {k}" for k in range(6)]
+    for k in range(90):
+        host = rng.choice(["a.com", "a.com", "b.com", "c.com"])
+        used = sorted(rng.sample(range(6), 3))
+        body = "".join(f"<p>own {k} {j} with enough words to be no copy of any other page at all</p>" for j in range(4))
+        inside = "".join(f"<p>{x}</p>" for x in (["Share this"] * (host == "a.com" or (host == "c.com" and k % 4 == 0)) + [f"quote {k // 2}"] * (k % 3 == 0)))
+        html = f"<nav>menu</nav><p>top</p>{''.join(f'<div>{bars[i]}</div>' for i in used)}<article><h1>Same title</h1>{body}{inside}</article><p>end</p>"
+        pages.append((k, f"http://{host}/{rng.choice(['news', 'news/x', 'blog'])}/{k}", html))
+    want = expected(pages)
+    table = spark.createDataFrame([(*p, "x", "y") for p in pages], "page_id bigint, url string, html string, page string, hashes string")
+    assert {r["page_id"]: r["text"] for r in P.main_text(table).collect()} == want
+    assert all("Same title" in x for x in want.values()) and any("Share this" in x for x in want.values()) and any("Share this" not in x and "quote" in x for x in want.values())

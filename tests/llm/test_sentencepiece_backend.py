@@ -1,5 +1,7 @@
 import hashlib
+import struct
 
+import numpy as np
 import pytest
 import sentencepiece
 from helpers import docs, prose
@@ -30,16 +32,17 @@ def varint(n):
     return out + bytes([n])
 
 
-def unigram_model():
-    """A small unigram model file: pieces with scores, byte pieces, byte fallback."""
-    import struct
+def message(number, body):
+    return varint(number << 3 | 2) + varint(len(body)) + body
 
-    def message(number, body):
-        return varint(number << 3 | 2) + varint(len(body)) + body
 
-    def piece(text, score, kind):
-        return message(1, message(1, text.encode()) + b"\x15" + struct.pack("<f", score) + b"\x18" + varint(kind))
+def unigram_piece(text, score, kind=1):
+    return message(1, message(1, text.encode()) + b"\x15" + struct.pack("<f", score) + b"\x18" + varint(kind))
 
+
+def unigram_model():
+    """A small unigram model file: pieces with scores, byte pieces, byte fallback."""
+    piece = unigram_piece
     pieces = [piece("<unk>", 0, 2), piece("<s>", 0, 3), piece("</s>", 0, 3)] + [piece("<0x%02X>" % b, 0, 6) for b in range(256)]
     pieces += [piece(t, s, 1) for t, s in (("▁", -2.0), ("▁the", -3.0), ("▁th", -5.0), ("e", -4.0), ("re", -4.5), ("▁there", -6.0), ("a", -4.0),
                                             ("t", -4.2), ("h", -4.4), ("r", -4.6), ("at", -5.5), ("▁a", -3.5))]
@@ -84,3 +87,50 @@ def test_normalised_text_is_what_a_trimming_model_reads():
     for text in ("", "the", "  there   the ", "thé"):
         ids = tok.encode(text, add_special_tokens=False).ids
         assert tok.decode(ids, skip_special_tokens=False) == B.normalised(tok, spec, text)
+
+
+def test_runs_are_coded_as_whole_texts_are(model, monkeypatch):
+    texts = ["", " ", "a", "a ", " a", "▁", "a▁ b", "  two  spaces  ", "end \n", "日本 語 \U0001F600\U0001F600", "\x00 \x01", "x" * 300 + " y", " ".join(prose(2000, 3)), "the the the"]
+    monkeypatch.setattr(B, "CACHE_RUNS", 100)
+    monkeypatch.setattr(B, "PROBE", tuple(t for t in B.PROBE if "<0x" not in t))  # see the module on unigram models
+    for data in (model, unigram_model()):
+        theirs, codec = sentencepiece.SentencePieceProcessor(model_proto=data), B.Codec(data, 1)
+        assert codec.separable
+        # a trimming model takes markers in a text for spaces at its ends, which stops the job
+        given = [t for t in texts if data is model or B.MARKER not in t]
+        for part in (given, given[::-1], *[[t] for t in given]):
+            ids, decoded, read = codec.code(part)
+            assert [np.frombuffer(x, np.int32).tolist() for x in ids] == [theirs.encode(t) for t in part]
+            assert decoded == [theirs.decode(theirs.encode(t)) for t in part] == read
+        assert all(len(run) <= B.CACHE_CHARS for run in codec.ids)
+
+
+def test_a_model_whose_pieces_cross_markers_is_coded_whole(monkeypatch):
+    monkeypatch.setattr(B, "PROBE", tuple(t for t in B.PROBE if "<0x" not in t))
+    data = unigram_model() + unigram_piece("e▁t", -1.0)
+    theirs, codec = sentencepiece.SentencePieceProcessor(model_proto=data), B.Codec(data, 1)
+    texts = ["the the", "there at", "", "a"]
+    ids, decoded, read = codec.code(texts)
+    assert not codec.separable and not codec.ids and decoded == read
+    assert [np.frombuffer(x, np.int32).tolist() for x in ids] == [theirs.encode(t) for t in texts]
+
+
+def test_a_unigram_model_that_reads_piece_names_stops_the_job():
+    with pytest.raises(ValueError):
+        B.Codec(unigram_model(), 1)
+
+
+def test_every_text_is_verified(spark, monkeypatch, model):
+    codec = B.Codec(model, 1)
+    codec.code(["known words"])
+    codec.theirs = type("Other", (), {"encode": lambda self, x: [[-1]] * len(x) if isinstance(x, list) else [-1]})()
+    codec.code(["words known words"[6:]])  # nothing new to verify
+    with pytest.raises(ValueError):
+        codec.code(["known words and new ones"])
+
+
+def test_columns_named_as_the_results(spark):
+    table = docs(spark, ["one two", None]).withColumnRenamed("tkey", "ids").withColumnRenamed("words", "decoded_sha256").withColumnRenamed("doc", "ROUND_TRIP")
+    out = B.encode(table, back=True)
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "ids", "decoded_sha256", "round_trip"]
+    assert [(len(r["ids"]) > 0, r["round_trip"]) for r in out.orderBy("doc_id").collect()] == [(True, True), (False, True)]

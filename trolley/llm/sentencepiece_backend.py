@@ -6,33 +6,41 @@ the normaliser (its precompiled character map, white-space rules, dummy prefix),
 metaspace marker in place of spaces, unigram scores or, for a BPE model, merges in the order
 of the scores, and byte fallback. Encoding runs in batches, multithreaded inside a task.
 
-Parity with the sentencepiece library is verified on a probe before any task runs
-(``verify``); a model that cannot be rebuilt exactly stops the job instead of writing other ids.
+Where no piece holds a marker after another character, a text is cut before each group of
+markers: merges never cross such a cut, so the ids stay the same and runs of text can be cached.
 
-Where no piece holds a marker after another character, a text is cut before each run of
-markers: merges never cross such a cut, so the ids stay the same and words can be cached.
+Parity with the sentencepiece library is verified in every task: on a probe of whole texts, and on each
+run of the data that the worker has not met before. A model that cannot be rebuilt exactly stops
+the job instead of writing other ids; so does a unigram model with byte pieces, whose names the library would
+find in a text. Nothing of it happens on the driver, which only reads the file.
 
 Defined cases: null and empty texts have no ids; the name of a control piece in a text is
 ordinary text; a lone surrogate never occurs (Spark strings are UTF-8); long texts are
-encoded whole; the model's bytes travel with the job, the file is read by the driver only.
+encoded whole; the model's bytes travel with the job, the file is read by the driver only; other columns
+are passed on, but for those that have the name of a new one.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+import re
+import sys
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
-SLICE_CHARS = 1 << 17
+SLICE_CHARS = 1 << 20
+#: Runs that a worker keeps with their ids, and the longest run that is kept.
+CACHE_RUNS, CACHE_CHARS = 1 << 18, 48
 #: Piece types of the model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -142,7 +150,7 @@ def build(model: bytes):
         steps.append(normalizers.Prepend(MARKER))
     steps.append(normalizers.Replace(" ", MARKER))
     t.normalizer = normalizers.Sequence(steps)
-    if not any(MARKER in p[1:] and p.strip(MARKER) and MARKER in p.lstrip(MARKER) for p, _, kind in spec.pieces if kind in (NORMAL, USER_DEFINED, UNUSED)):
+    if any(p == MARKER for p, _, _ in spec.pieces) and not any(MARKER in p[1:] and p.strip(MARKER) and MARKER in p.lstrip(MARKER) for p, _, kind in spec.pieces if kind in (NORMAL, USER_DEFINED, UNUSED)):
         t.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARKER}+[^{MARKER}]*"), "isolated")
     strip = [decoders.Strip(" ", 1, 0)] if spec.dummy_prefix else []
     t.decoder = decoders.Sequence([decoders.Replace(MARKER, " "), *([decoders.ByteFallback()] if spec.byte_fallback else []), decoders.Fuse(), *strip])
@@ -191,42 +199,124 @@ def normalised(t, spec: Spec, text: str) -> str:
     return read[1:] if spec.dummy_prefix else read
 
 
+class Codec:
+    """Encodes and decodes texts run by run, and checks each new run against the sentencepiece library.
+
+    A run is a piece of normalised text from its markers to the next ones. Where the model allows (``separable``)
+    runs are coded on their own, in batches, and kept in a cache of at most ``CACHE_RUNS`` short ones;
+    otherwise a text is one run.
+    """
+
+    def __init__(self, model: bytes, threads: int, check: bool = True):
+        from tokenizers import decoders, normalizers
+        import sentencepiece
+
+        self.t, self.spec = _tokenizer(model, threads), replace(parse(model), pieces=[])
+        self.normalizer = self.t.normalizer
+        self.separable = self.t.pre_tokenizer is not None
+        self.theirs = sentencepiece.SentencePieceProcessor(model_proto=model) if check else None
+        if check:  # whole texts: the normaliser and the cuts
+            for text, mine in zip(PROBE, self.t.encode_batch(list(PROBE), add_special_tokens=False)):
+                self._same(text, mine.ids, self.theirs.encode(text))
+        # from here on texts are normalised and cut before they are encoded, and prefixes taken off after decoding
+        self.t.normalizer = normalizers.Sequence([])
+        self.t.decoder = decoders.Sequence([decoders.Replace(MARKER, " "), *([decoders.ByteFallback()] if self.spec.byte_fallback else []), decoders.Fuse()])
+        self.cut = re.compile(f"{MARKER}+[^{MARKER}]*|[^{MARKER}]+")
+        self.ids: dict[str, bytes] = {}
+        self.odd: dict[str, str] = {}  # decoded text of the runs that do not decode to themselves
+
+    @staticmethod
+    def _same(text: str, ours: list[int], theirs: list[int]) -> None:
+        if ours != theirs:
+            raise ValueError(f"ids differ from sentencepiece for {text[:60]!r}")
+
+    def normal(self, text: str) -> str:
+        if self.spec.charsmap or self.spec.trim_spaces:
+            return self.normalizer.normalize_str(text)
+        return (MARKER if self.spec.dummy_prefix else "") + text.replace(" ", MARKER) if text else ""
+
+    def _learn(self, runs: list[str]) -> tuple[dict[str, bytes], dict[str, str]]:
+        """Ids of new runs, and what those decode to that do not decode to themselves."""
+        ids = [e.ids for e in self.t.encode_batch_fast(runs, add_special_tokens=False)]
+        if self.theirs:
+            # the library puts the first marker back; a run of markers alone needs a word before it
+            bare = [not run.strip(MARKER) for run in runs]
+            lead = 1 if self.spec.dummy_prefix else 0
+            given = ["a" + run if b else run[lead:] for run, b in zip(runs, bare)]
+            before = self.theirs.encode("a")
+            for run, mine, b, ref in zip(runs, ids, bare, self.theirs.encode(given)):
+                self._same(run, before + mine if b else mine, ref)
+        odd = {run: text for run, text in zip(runs, self.t.decode_batch(ids, skip_special_tokens=False)) if text != run.replace(MARKER, " ")}
+        return {run: np.array(x, np.int32).tobytes() for run, x in zip(runs, ids)}, odd
+
+    def code(self, texts: list[str]) -> tuple[list[bytes], list[str], list[str]]:
+        """(ids as 32-bit numbers, decoded text, normalised text) of each text."""
+        normal = [self.normal(x) for x in texts]
+        runs = [self.cut.findall(x) if self.separable else [x] if x else [] for x in normal]
+        if len(self.ids) > CACHE_RUNS:
+            self.ids, self.odd = {}, {}
+        new = {run for row in runs for run in row if run not in self.ids}
+        if new:
+            ids, odd = self._learn(list(new))
+            self.ids.update(ids)
+            self.odd.update(odd)
+        plain, decoded = [x.replace(MARKER, " ") for x in normal], []
+        for row, text in zip(runs, plain):
+            if self.odd and not self.odd.keys().isdisjoint(row):
+                text = "".join(self.odd.get(run, run.replace(MARKER, " ")) for run in row)
+            decoded.append(text[1:] if self.spec.dummy_prefix and text[:1] == " " else text)
+        read = [x[1:] if self.spec.dummy_prefix else x for x in plain]
+        out = [b"".join(map(self.ids.__getitem__, row)) for row in runs]
+        for run in new:
+            if not self.separable or len(run) > CACHE_CHARS:
+                del self.ids[run]
+                self.odd.pop(run, None)
+        return out, decoded, read
+
+
+def _codec(model: bytes, threads: int, check: bool) -> Codec:
+    """The codec of this Python worker, which serves its later tasks as well."""
+    kept = sys.__dict__.setdefault("_sentencepiece_codecs", {})
+    key = (hashlib.sha256(model).digest(), threads, check)
+    if key not in kept:
+        kept.clear()
+        kept[key] = Codec(model, threads, check)
+    return kept[key]
+
+
 def encode(docs: DataFrame, text_col: str = "text", model_path: str = MODEL, ids_col: str = "ids", check: bool = True,
-           probe: int = 200, threads: int = 2, slice_chars: int = SLICE_CHARS, back: bool = False) -> DataFrame:
+           threads: int = 2, slice_chars: int = SLICE_CHARS, back: bool = False) -> DataFrame:
     """``docs`` with an array column of piece ids.
 
     With ``back``, the ids of every row are decoded as well: ``decoded_sha256`` of the decoded text, and ``round_trip``,
-    whether it equals the normalised text.
-    With ``check``, parity is verified on ``PROBE`` and the first ``probe`` texts that Spark finds.
-    Texts are encoded and passed on in slices of about ``slice_chars`` characters, as the
-    library's results take some hundred bytes a piece.
+    whether it equals the normalised text. Columns of ``docs`` with the names of new ones are replaced.
+    With ``check``, parity is verified in the tasks on every text: each run that a worker has not met before is
+    encoded by the sentencepiece library as well. Texts are encoded and passed on in slices of about ``slice_chars`` characters.
     """
     with open(model_path, "rb") as f:
-        model = f.read()
-    if check:
-        verify(model, [*PROBE, *(r[0] for r in docs.select(text_col).where(F.col(text_col).isNotNull()).limit(probe).collect())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # the model file's bytes
+        shared = docs.sparkSession.sparkContext.broadcast(f.read())  # the model file's bytes
     made = [StructField(ids_col, ArrayType(IntegerType())),
             *([StructField("decoded_sha256", StringType()), StructField("round_trip", BooleanType())] if back else [])]
-    names, at = [*docs.columns, *(f.name for f in made)], docs.columns.index(text_col)
-    spec = replace(parse(model), pieces=[])
+    fresh = {f.name.lower() for f in made}
+    kept = [c for c in docs.columns if c.lower() not in fresh]
+    names, n_kept = [*kept, *(f.name for f in made)], len(kept)
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col))  # the text once more, last
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _tokenizer(shared.value, threads)
+        codec = _codec(shared.value, threads, check)
         for batch in batches:
-            texts = batch.column(at)
-            for first, n in _slices((len(x.as_py() or "") for x in texts), slice_chars):
-                part = [x.as_py() or "" for x in texts.slice(first, n)]
-                ids = [e.ids for e in t.encode_batch_fast(part, add_special_tokens=False)]
+            texts = batch.column(n_kept)
+            for first, n in _slices(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), slice_chars):
+                ids, decoded, read = codec.code([x.as_py() or "" for x in texts.slice(first, n)])
+                ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
+                arrays = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
                 more = []
                 if back:
-                    decoded = t.decode_batch(ids, skip_special_tokens=False)
-                    more = [pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded], pa.string()),
-                            pa.array([x == normalised(t, spec, y) for x, y in zip(decoded, part)], pa.bool_())]
-                arrays = pa.array([np.array(x, np.int32) for x in ids], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*batch.slice(first, n).columns, arrays, *more], names)
+                    more = [pa.array([hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in decoded], pa.string()),
+                            pa.array([x == y for x, y in zip(decoded, read)], pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, n).columns[:n_kept], arrays, *more], names)
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *made]))
+    return rows.mapInArrow(run, StructType([*[rows.schema.fields[k] for k in range(n_kept)], *made]))
 
 
 def decode(rows: DataFrame, ids_col: str = "ids", model_path: str = MODEL, text_col: str = "decoded", threads: int = 2,
