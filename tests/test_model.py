@@ -123,6 +123,88 @@ def test_init_is_seeded_gaussian(spark):
     assert again == p.orderBy("feature_id").first().v
 
 
+def test_streamed_local_sgd_equals_a_plain_pass_over_each_part(spark):
+    """Every part by hand: its instances in key order from the same start, deltas averaged."""
+    rng = np.random.default_rng(4)
+    k, n, parts = 3, 12, 4
+    hp = FMParams(k=k, task=1, iterations=1, step=0.3, reg=(0.01, 0.02, 0.03), init_std=0.1)
+    w, v = rng.normal(0, 0.1, n), rng.normal(0, 0.1, (n, k))
+    data = {i: (int(rng.integers(0, 2)), sorted(rng.choice(n, rng.integers(1, 6), replace=False).tolist())) for i in range(200)}
+    params = spark.createDataFrame([(i, float(w[i]), v[i].tolist()) for i in range(n)], "feature_id long, w double, v array<double>")
+    inst = spark.createDataFrame([(i, y) for i, (y, _) in data.items()], "instance_id long, label int")
+    feats = spark.createDataFrame([(i, f, 1.0) for i, (_, b) in data.items() for f in b], "instance_id long, feature_id long, value double")
+    meta = FMMeta(num_features=n, k=k, task=1, w0=0.2)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # parts and instances lie across batches
+    try:
+        p, m, _ = fm_fit_local_sgd(inst, feats, n, hp, n_parts=parts, params=params, meta=meta, part=F.col("instance_id") % parts)
+        got = {r["feature_id"]: r for r in p.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    dw, dv, dw0 = np.zeros(n), np.zeros((n, k)), 0.0
+    for part in range(parts):
+        lw, lv, lw0 = w.copy(), v.copy(), 0.2
+        for i in sorted(data):
+            if i % parts != part:
+                continue
+            y, b = (1 if data[i][0] else -1), data[i][1]
+            s = lv[b].sum(axis=0)
+            z = lw0 + lw[b].sum() + 0.5 * (s @ s - (lv[b] ** 2).sum())
+            e = -y * (1 - 1 / (1 + math.exp(-y * z)))
+            lw0 -= 0.3 * (e + 0.01 * lw0)
+            old = lv[b].copy()
+            lw[b] -= 0.3 * (e + 0.02 * lw[b])
+            lv[b] = old - 0.3 * ((s - old) * e + 0.03 * old)
+        dw, dv, dw0 = dw + (lw - w) / parts, dv + (lv - v) / parts, dw0 + (lw0 - 0.2) / parts
+    assert m.w0 == pytest.approx(0.2 + dw0)
+    for i in range(n):
+        assert got[i]["w"] == pytest.approx(w[i] + dw[i]) and got[i]["v"] == pytest.approx((v[i] + dv[i]).tolist())
+
+
+def test_the_number_of_parts_follows_the_rows(spark):
+    params, feats, meta, *_ = _toy(spark)
+    inst = spark.createDataFrame([(i, i % 2) for i in range(3)], "instance_id long, label int")
+    many, few = (fm_fit_local_sgd(inst, feats, 4, FMParams(k=2, iterations=1, step=0.1, part_rows=r), params=params, meta=meta)[1].w0 for r in (1, 1000))
+    given = fm_fit_local_sgd(inst, feats, 4, FMParams(k=2, iterations=1, step=0.1, parts=1), params=params, meta=meta)[1].w0
+    assert few == given != many
+
+
+def test_a_laid_out_step_moves_no_feature_rows(spark):
+    from trolley.operators.fm import fm_gradient, fm_residuals, fm_step
+    from trolley.operators.fm_layout import SALT, training_layout
+    rng = np.random.default_rng(6)
+    n, k = 30, 2
+    rows = [(i, int(f)) for i in range(150) for f in {0, *rng.integers(0, n, 4).tolist()}] + [(500, f) for f in range(n)]  # feature 0 and instance 500 are hot
+    feats = spark.createDataFrame([(i, f, 1.0) for i, f in rows], "instance_id long, feature_id long, value double")
+    inst = spark.createDataFrame([(i, int(i % 2)) for i in sorted({i for i, _ in rows})], "instance_id long, label int")
+    params = spark.createDataFrame([(i, float(rng.normal()), rng.normal(size=k).tolist()) for i in range(n)], "feature_id long, w double, v array<double>")
+    meta, hp = FMMeta(num_features=n, k=k, task=1), FMParams(k=k, step=0.5, reg=(0.01, 0.02, 0.03))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        layout = training_layout(inst, feats, buckets=3, salt_rows=20)
+        assert layout.by_feature.where("feature_id = 0").select(SALT).distinct().count() > 3 and layout.hot_instances.count() == 1
+        laid = layout.lay_params(params)
+        plan = fm_residuals(inst, layout.by_feature, laid, meta, on=("feature_id", SALT))._jdf.queryExecution().executedPlan().toString()
+        stats = layout.lay_stats(fm_residuals(inst, layout.by_feature, laid, meta, on=("feature_id", SALT)))
+        again = fm_gradient(layout.by_instance, stats, meta, on=("instance_id", SALT))._jdf.queryExecution().executedPlan().toString()
+        for text in (plan, again):
+            join = next(line for line in text.splitlines() if "SortMergeJoin" in line and SALT in line)
+            below = text[text.index(join):]
+            depth = join.index("SortMergeJoin")
+            inside = [line for line in below.splitlines()[1:] if len(line) - len(line.lstrip(" :+-*()0123456789")) > depth]
+            assert sum("FileScan" in x or "Scan parquet" in x for x in inside[:12]) == 2 and not any("Exchange" in x for x in inside[:12])
+        one, m1, i1 = fm_step(inst, feats, params, meta, 1, hp)
+        two, m2, i2 = fm_step(inst, layout, params, meta, 1, hp)
+        three, m3, _ = fm_step(inst, layout, two, m2, 2, hp)
+        four, m4, _ = fm_step(inst, feats, one, m1, 2, hp)
+        assert m1.w0 == pytest.approx(m2.w0) and i1["loss"] == pytest.approx(i2["loss"]) and m3.w0 == pytest.approx(m4.w0)
+        got, want = ({r["feature_id"]: [r["w"], *r["v"]] for r in x.collect()} for x in (three, four))
+        assert len(got) == n and all(got[i] == pytest.approx(want[i]) for i in want)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_top_rows_ties_go_to_lower_id():
     scores = np.array([[0.5, 0.7, 0.5, 0.5], [0.1, 0.2, 0.3, 0.4], [0.2, 0.2, 0.2, 0.2]])
     assert _top_places(scores, 2).tolist() == [[1, 0], [3, 2], [0, 1]]
@@ -151,6 +233,39 @@ def test_recommend_equals_naive_rescoring(spark):
         assert [i for _, i, _ in sorted(got[pid])] == expect
 
 
+def _random_model(spark, task, n=300, k=4, seed=2):
+    from trolley.operators.fm import FMMeta
+    rng = np.random.default_rng(seed)
+    w, v = rng.normal(0, 0.4, n), rng.normal(0, 0.1, (n, k)) * rng.choice([0.1, 1, 6], n, p=[0.7, 0.2, 0.1])[:, None]
+    w[40:60], v[40:60] = w[40], v[40]  # ties
+    params = spark.createDataFrame([(i, float(w[i]), [float(x) for x in v[i]]) for i in range(n)], "feature_id long, w double, v array<double>")
+    meta = FMMeta(num_features=n, k=k, task=task, w0=0.1, min_label=-1.0, max_label=1.0)
+    baskets = {p: sorted(rng.choice(n, rng.integers(0, 30), replace=False).tolist()) for p in range(40)} | {90: list(range(n)), 91: list(range(n - 3))}
+    feats = spark.createDataFrame([(p, i, 1.0) for p, b in baskets.items() for i in b], "pid long, feature_id long, value double")
+    items = spark.createDataFrame([(i, f"item{i}") for i in range(n)], "item_id long, item string")
+    return w, v, params, meta, {p: b for p, b in baskets.items() if b}, feats, items
+
+
+@pytest.mark.parametrize("task", [0, 1])
+@pytest.mark.parametrize("options", [dict(block_size=300), dict(block_size=16), dict(block_size=16, broadcast_bytes=0, group_size=7), dict(block_size=50, broadcast_bytes=0, group_size=1000)])
+def test_pruned_recommendations_equal_scoring_everything(spark, task, options):
+    w, v, params, meta, baskets, feats, items = _random_model(spark, task)
+    rows = recommend_lists(feats, params, meta, items, n_items=300, k=7, **options).collect()
+    assert len(rows) == len(baskets)
+    for r in rows:
+        b = baskets[r["pid"]]
+        s, q = v[b].sum(axis=0), (v[b] ** 2).sum()
+        z = 0.1 + w[b].sum() + 0.5 * (s @ s - q)
+        raw = z + w + v @ s
+        score = np.clip(raw, -1, 1) if task == 0 else 1 / (1 + np.exp(-raw))
+        want = sorted((i for i in range(300) if i not in set(b)), key=lambda i: (-round(score[i], 9), i))[:7]
+        got = [t["item_id"] for t in r["top"]]
+        assert got == want or [round(score[i], 9) for i in got] == [round(score[i], 9) for i in want]
+        assert [t["item"] for t in r["top"]] == [f"item{i}" for i in got]
+    if options["block_size"] == 16:
+        assert sum(r["scored"] for r in rows) < 0.9 * 300 * len(rows)
+
+
 def test_curve_areas_fixture(spark):
     # tp 3, fp 1, fn 1, tn 3 at threshold 0.5
     rows = [(1, 0.9), (1, 0.8), (1, 0.7), (0, 0.6), (1, 0.2), (0, 0.1), (0, 0.3), (0, 0.4)]

@@ -17,16 +17,18 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from trolley.functions.hashing import gaussian, uniform
 from trolley.functions.links import CLASSIFICATION, REGRESSION, link, recode_label
+from trolley.operators.fm_layout import SALT, TrainingLayout, training_layout
 from trolley.session import materialize, release, shuffle_partitions
 
 FORMAT_VERSION = "1.0"
@@ -78,11 +80,12 @@ class FMParams:
     seed: int = 0
     batch_fraction: float = 1.0
     tolerance: float = 0.0
-    parts: int = 8  # T1 averages this many local passes: part of the model, not of the cluster
+    parts: int | None = None    # T1 averages this many local passes; None: as many as ``part_rows`` gives
+    part_rows: int = 1 << 18    # feature rows of a part; both are part of the model, not of the cluster
 
     def __post_init__(self):
-        if self.parts <= 0:
-            raise ValueError("parts must be positive")
+        if (self.parts is not None and self.parts <= 0) or self.part_rows <= 0:
+            raise ValueError("parts and part_rows must be positive")
         if self.task not in (REGRESSION, CLASSIFICATION):
             raise ValueError("task must be 0 (regression) or 1 (classification)")
         if self.k <= 0:
@@ -118,12 +121,12 @@ def _vf(f: int) -> Column:
 
 
 def fm_margin(features: DataFrame, params: DataFrame, meta: FMMeta, key: str = "instance_id",
-              keep_sums: bool = False) -> DataFrame:
+              keep_sums: bool = False, on: tuple[str, ...] = ("feature_id",)) -> DataFrame:
     """M1 core: raw score ``z`` per key (keys with no features are absent).
 
     One join and one aggregation with k + 2 sums, all JVM-side.
     """
-    j = features.select(key, "feature_id", "value").join(params, "feature_id")
+    j = features.select(key, "value", *on).join(params, list(on))
     x = F.col("value")
     sq = sum((_vf(f) * _vf(f) for f in range(1, meta.k)), _vf(0) * _vf(0))
     aggs = [F.sum(F.coalesce(F.col("w"), F.lit(0.0)) * x).alias("lin") if meta.linear else F.lit(0.0).alias("lin"),
@@ -184,9 +187,9 @@ def training_labels(instances: DataFrame, meta: FMMeta, key: str = "instance_id"
 
 
 def fm_residuals(instances: DataFrame, features: DataFrame, params: DataFrame, meta: FMMeta,
-                 key: str = "instance_id") -> DataFrame:
+                 key: str = "instance_id", on: tuple[str, ...] = ("feature_id",)) -> DataFrame:
     """Per instance: ``z``, the factor sums ``s``, the residual ``m`` and the loss."""
-    margins = fm_margin(features, params, meta, key, keep_sums=True)
+    margins = fm_margin(features, params, meta, key, keep_sums=True, on=on)
     w0 = meta.w0 if meta.intercept else 0.0
     zero = F.array(*[F.lit(0.0)] * meta.k)
     stats = (training_labels(instances, meta, key).join(margins, key, "left")
@@ -195,13 +198,15 @@ def fm_residuals(instances: DataFrame, features: DataFrame, params: DataFrame, m
                         loss(F.col("z"), F.col("y"), meta).alias("loss"))
 
 
-def fm_gradient(features: DataFrame, stats: DataFrame, meta: FMMeta, key: str = "instance_id") -> DataFrame:
+def fm_gradient(features: DataFrame, stats: DataFrame, meta: FMMeta, key: str = "instance_id",
+                on: tuple[str, ...] | None = None) -> DataFrame:
     """M4 data part per active feature: ``gw = sum m x``, ``gv_f = sum m s_f x - v_f sum m x^2``.
 
     Returned as sums ``(feature_id, c, b, a ARRAY)``: gw = c, gv_f = a_f - v_f * b. They are
     computed without the parameter table (only the per-instance stats are joined).
     """
-    j = features.select(key, "feature_id", "value").join(stats.select(key, "m", "s"), key)
+    on = on or (key,)
+    j = features.select("feature_id", "value", *on).join(stats.select("m", "s", *on), list(on))
     x, m = F.col("value"), F.col("m")
     aggs = [F.sum(m * x).alias("c"), F.sum(m * x * x).alias("b")]
     aggs += [F.sum(m * F.col("s").getItem(f) * x).alias(f"a{f}") for f in range(meta.k)]
@@ -223,26 +228,36 @@ def apply_gradient(params: DataFrame, grad: DataFrame, meta: FMMeta, eta: float,
                     F.when(active, new_v).otherwise(F.col("v")).alias("v"))
 
 
-def fm_step(instances: DataFrame, features: DataFrame, params: DataFrame, meta: FMMeta,
+def fm_step(instances: DataFrame, features: DataFrame | TrainingLayout, params: DataFrame, meta: FMMeta,
             t: int, hp: FMParams, key: str = "instance_id"):
     """T2 step ``t`` (1-based): returns (new written params, new meta, stats row of the batch).
 
-    ``features`` should hold the training instances only; those of others change nothing, but
-    are aggregated for nothing. The instances' statistics are written once and read twice.
+    ``features`` is a layout of the training instances' features (``training_layout``), whose joins move no
+    feature row, or a plain table of them. The instances' statistics are written once and read twice.
     """
-    batch, batch_feats = instances, features
+    laid = isinstance(features, TrainingLayout)
+    by_feature, by_instance = (features.by_feature, features.by_instance) if laid else (features, features)
+    batch = instances
     if hp.batch_fraction < 1.0:
         drawn = uniform(hp.seed, "batch", t, F.col(key)) < F.lit(hp.batch_fraction)
-        batch, batch_feats = instances.where(drawn), features.where(drawn)
-    stats = materialize(fm_residuals(batch, batch_feats, params, meta, key))
-    agg = stats.agg(F.count(F.lit(1)).alias("n"), F.sum("m").alias("sm"), F.sum("loss").alias("loss")).first()
+        batch, by_feature, by_instance = instances.where(drawn), by_feature.where(drawn), by_instance.where(drawn)
+    placed = params
+    if laid and not hasattr(params, "_laid"):
+        params = _as_params(features.lay_params(params))
+    if laid:
+        placed = params._laid
+    stats = fm_residuals(batch, by_feature, placed, meta, key, ("feature_id", SALT) if laid else ("feature_id",))
+    stats = features.lay_stats(stats) if laid else materialize(stats)
+    once = stats.where(F.col(SALT) == 0) if laid else stats
+    agg = once.agg(F.count(F.lit(1)).alias("n"), F.sum("m").alias("sm"), F.sum("loss").alias("loss")).first()
     n = int(agg["n"] or 0)
     eta = hp.step / math.sqrt(t)
     if n == 0:
         release(stats)
         return params, meta, {"n": 0, "loss": None}
-    grad = fm_gradient(batch_feats, stats, meta, key)
-    new_params = materialize(apply_gradient(params, grad, meta, eta, n, hp.reg))
+    grad = fm_gradient(by_instance, stats, meta, key, (key, SALT) if laid else (key,))
+    new_params = apply_gradient(params, grad, meta, eta, n, hp.reg)
+    new_params = _as_params(features.lay_params(new_params)) if laid else materialize(new_params)
     w0 = meta.w0
     if meta.intercept:
         w0 = w0 - eta * (agg["sm"] / n + hp.reg[0] * w0)
@@ -250,6 +265,13 @@ def fm_step(instances: DataFrame, features: DataFrame, params: DataFrame, meta:
     return new_params, replace(meta, w0=w0), {"n": n, "loss": agg["loss"] / n}
 
 
+def _as_params(laid: DataFrame) -> DataFrame:
+    """One row a feature of laid-out parameters; remembers them for the next step and for ``release``."""
+    out = laid.where(F.col(SALT) == 0).select("feature_id", "w", "v")
+    out._laid, out._trolley_table, out._trolley_name = laid, laid._trolley_table, laid._trolley_name
+    return out
+
+
 def _prepare(instances: DataFrame, hp: FMParams, num_features: int, key: str):
     meta = FMMeta(num_features=num_features, k=hp.k, task=hp.task, intercept=hp.intercept, linear=hp.linear)
     if hp.task == REGRESSION:
@@ -275,9 +297,12 @@ def fm_fit_batch(instances: DataFrame, features: DataFrame, num_features: int, h
     n_rows = instances.count()
     if n_rows == 0:
         return params, meta, history
-    feats = features.select(key, "feature_id", "value").join(instances.select(key), key, "left_semi").repartition(key).persist()
+    layout = training_layout(instances, features, key)
+    laid = _as_params(layout.lay_params(params))
+    release(params)
+    params = laid
     for t in range(1, hp.iterations + 1):
-        new_params, new_meta, info = fm_step(instances, feats, params, meta, t, hp, key)
+        new_params, new_meta, info = fm_step(instances, layout, params, meta, t, hp, key)
         if new_params is params:  # the mini-batch drew no instance
             history.append(info)
             continue
@@ -297,75 +322,126 @@ def fm_fit_batch(instances: DataFrame, features: DataFrame, num_features: int, h
         history.append(info)
         if hp.tolerance > 0 and diff < hp.tolerance * max(norm, 1.0):
             break
-    feats.unpersist()
+    layout.release()
     return params, meta, history
 
 
 # ---- T1: local SGD per part, averaged --------------------------------------------------------
 
-def _sgd_part(rows: pd.DataFrame, touched: pd.DataFrame, w0: float, meta: FMMeta, hp: FMParams,
-              t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """One sequential pass over a part's rows (sorted by key) on a local parameter copy."""
-    fids = touched["feature_id"].to_numpy(np.int64)
-    order = np.argsort(fids, kind="stable")
-    fids = fids[order]
-    w = touched["w"].to_numpy(np.float64)[order].copy()
-    V = np.vstack(touched["v"].to_numpy())[order].astype(np.float64) if len(fids) else np.zeros((0, meta.k))
-    w_start, V_start, w0_start = w.copy(), V.copy(), w0
-    rows = rows.sort_values(["key", "feature_id"], kind="stable")
-    keys = rows["key"].to_numpy(np.int64)
-    local = np.searchsorted(fids, rows["feature_id"].to_numpy(np.int64))
-    xs = rows["value"].to_numpy(np.float64)
-    ys = rows["y"].to_numpy(np.float64)
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    ends = np.r_[starts[1:], len(keys)]
-    eta = hp.step / math.sqrt(t)
-    r0, r1, r2 = hp.reg
-    for a, b in zip(starts, ends):
-        idx, x, y = local[a:b], xs[a:b], ys[a]
-        Vi = V[idx]
-        s = x @ Vi
-        z = (w0 if meta.intercept else 0.0) + (w[idx] @ x if meta.linear else 0.0) \
-            + 0.5 * (s @ s - np.sum((Vi * x[:, None]) ** 2))
-        if meta.task == REGRESSION:
-            z = min(max(z, meta.min_label), meta.max_label)
-            m = z - y
-        else:
-            m = -y * (1.0 - 1.0 / (1.0 + math.exp(min(-y * z, 700.0))))
-        if meta.intercept:
-            w0 -= eta * (m + r0 * w0)
-        if meta.linear:
-            w[idx] -= eta * (x * m + r1 * w[idx])
-        V[idx] = Vi - eta * ((s[None, :] * x[:, None] - Vi * (x * x)[:, None]) * m + r2 * Vi)
-    return fids, w - w_start, V - V_start, w0 - w0_start
+class _LocalPass:
+    """One sequential pass over a part's instances, in key order, on a local copy of the parameters it touches."""
+
+    def __init__(self, fids: np.ndarray, w: np.ndarray, v: np.ndarray, meta: FMMeta, hp: FMParams, t: int):
+        order = np.argsort(fids, kind="stable")
+        self.fids, self.w, self.v, self.w0 = fids[order], w[order], v[order], meta.w0
+        self.start = (self.w.copy(), self.v.copy(), meta.w0)
+        self.meta, self.hp, self.eta = meta, hp, hp.step / math.sqrt(t)
+
+    def visit(self, ys: np.ndarray, ends: np.ndarray, fids: np.ndarray, xs: np.ndarray) -> None:
+        """Instances one after the other: their labels, and their features end to end."""
+        local = np.searchsorted(self.fids, fids)
+        if len(fids) and (local.max() >= len(self.fids) or (self.fids[local] != fids).any()):
+            raise RuntimeError("an instance met a part without its parameters")
+        meta, eta, (r0, r1, r2) = self.meta, self.eta, self.hp.reg
+        w, v, w0 = self.w, self.v, self.w0
+        for a, b, y in zip(np.r_[0, ends[:-1]], ends, ys):
+            idx, x = local[a:b], xs[a:b]
+            vi = v[idx]
+            s = x @ vi
+            z = (w0 if meta.intercept else 0.0) + (w[idx] @ x if meta.linear else 0.0) \
+                + 0.5 * (s @ s - np.sum((vi * x[:, None]) ** 2))
+            if meta.task == REGRESSION:
+                m = min(max(z, meta.min_label), meta.max_label) - y
+            else:
+                m = -y * (1.0 - 1.0 / (1.0 + math.exp(min(-y * z, 700.0))))
+            if meta.intercept:
+                w0 -= eta * (m + r0 * w0)
+            if meta.linear:
+                w[idx] -= eta * (x * m + r1 * w[idx])
+            v[idx] = vi - eta * ((s[None, :] * x[:, None] - vi * (x * x)[:, None]) * m + r2 * vi)
+        self.w0 = w0
+
+    def deltas(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(feature ids, with -1 for the intercept; what w has changed by; what v has changed by)."""
+        w, v, w0 = self.start
+        return np.r_[self.fids, -1], np.r_[self.w - w, self.w0 - w0], np.vstack([self.v - v, np.zeros((1, self.v.shape[1]))])
 
 
 DELTA_SCHEMA = StructType([StructField("feature_id", LongType()), StructField("dw", DoubleType()),
                            StructField("dv", ArrayType(DoubleType()))])
+_DELTA_ROWS = 8192  # rows of an output batch, or one part's if that is more
+
+
+def part_rows(features: DataFrame, labels: DataFrame, key: str, part: Column) -> DataFrame:
+    """Training rows packed by instance: (part, key, y, fids, xs), features in ascending order."""
+    packed = features.select(key, "feature_id", "value").join(labels, key).groupBy(key, "y") \
+        .agg(F.sort_array(F.collect_list(F.struct("feature_id", "value"))).alias("f"))
+    return packed.select(part.cast("bigint").alias("part"), F.col(key).cast("bigint").alias("key"), F.col("y").cast("double").alias("y"),
+                         F.col("f.feature_id").alias("fids"), F.col("f.value").alias("xs"))
+
+
+def _local_passes(meta: FMMeta, hp: FMParams, t: int):
+    """Partition function over rows sorted by (part, key): a part's touched parameters first (null key), then its instances."""
+    k = meta.k
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, given, local, done = None, [], None, []
+
+        def flush() -> pa.RecordBatch:
+            ids, dw, dv = (np.concatenate(x) for x in zip(*done))
+            done.clear()
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, dv.size + 1, k), pa.int32()), pa.array(dv.ravel()))
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dw, pa.float64()), lists], DELTA_SCHEMA.names)
+
+        for batch in batches:
+            parts = batch.column(0).to_numpy()
+            is_row = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((parts[1:] != parts[:-1]) | (is_row[1:] != is_row[:-1])) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(parts)]):
+                if a == b:
+                    continue
+                piece = batch.slice(a, b - a)
+                if parts[a] != part:
+                    if local is not None:
+                        done.append(local.deltas())
+                        if sum(len(x[0]) for x in done) >= _DELTA_ROWS:
+                            yield flush()
+                    part, given, local = parts[a], [], None
+                if not is_row[a]:
+                    given.append((piece.column(5).to_numpy(), piece.column(6).to_numpy(), piece.column(7).flatten().to_numpy().reshape(-1, k)))
+                    continue
+                if local is None:
+                    if not given:
+                        raise RuntimeError("an instance met a part without its parameters")
+                    fids, w, v = (np.concatenate(x) for x in zip(*given))
+                    local, given = _LocalPass(fids, w, v, meta, hp, t), []
+                fids = piece.column(3)
+                ends = np.cumsum(fids.value_lengths().to_numpy())
+                local.visit(piece.column(2).to_numpy(), ends, fids.flatten().to_numpy(), piece.column(4).flatten().to_numpy())
+        if local is not None:
+            done.append(local.deltas())
+        if done:
+            yield flush()
+
+    return run
 
 
 def fm_local_sgd_step(rows: DataFrame, touched: DataFrame, params: DataFrame, meta: FMMeta,
                       hp: FMParams, t: int, n_parts: int) -> tuple[DataFrame, DataFrame]:
     """T1 step: each part runs SGD from the current model; deltas are summed then divided by P.
 
-    Each part receives only the parameters of features it touches (a cogroup on the part
-    number), so no task ever holds the whole model. Returns (new params, w0 delta row).
+    A part is one sorted stream: the parameters it touches, then its instances. A task holds those parameters
+    and one Arrow batch, however many instances its parts have. Returns (new params, w0 delta row).
     """
-    w0, k = meta.w0, meta.k
-    # fresh attributes: both cogroup sides derive from the same rows, which Spark rejects as ambiguous
-    tp = touched.join(params, "feature_id").select((F.col("part") + 0).alias("part"),
-                                                   (F.col("feature_id") + 0).alias("feature_id"), "w", "v")
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty:
-            return pd.DataFrame({"feature_id": pd.Series([], dtype="int64"), "dw": pd.Series([], dtype="float64"),
-                                 "dv": pd.Series([], dtype="object")})
-        fids, dw, dV, dw0 = _sgd_part(left, right, w0, meta, hp, t)
-        out = pd.DataFrame({"feature_id": np.r_[fids, -1].astype(np.int64), "dw": np.r_[dw, dw0]})
-        out["dv"] = list(dV) + [np.zeros(k)]
-        return out
-
-    deltas = (rows.groupBy("part").cogroup(tp.groupBy("part")).applyInPandas(run, DELTA_SCHEMA))
+    k = meta.k
+    empty = {"key": "bigint", "y": "double", "fids": "array<bigint>", "xs": "array<double>", "feature_id": "bigint", "w": "double", "v": "array<double>"}
+
+    def side(df: DataFrame, *own: str) -> DataFrame:
+        return df.select("part", *[F.col(c) if c in own else F.lit(None).cast(kind).alias(c) for c, kind in empty.items()])
+
+    stream = side(touched.join(params, "feature_id"), "feature_id", "w", "v").unionByName(side(rows, "key", "y", "fids", "xs"))
+    laid = stream.repartition(min(n_parts, shuffle_partitions(rows.sparkSession)), "part").sortWithinPartitions("part", F.col("key").asc_nulls_first())
+    deltas = laid.mapInArrow(_local_passes(meta, hp, t), DELTA_SCHEMA)
     summed = deltas.groupBy("feature_id").agg(
         (F.sum("dw") / F.lit(n_parts)).alias("dw"),
         *[(F.sum(F.col("dv").getItem(f)) / F.lit(n_parts)).alias(f"dv{f}") for f in range(k)])
@@ -387,35 +463,28 @@ def fm_fit_local_sgd(instances: DataFrame, features: DataFrame, num_features: in
                      params: DataFrame | None = None, meta: FMMeta | None = None, part: Column | None = None):
     """Parallel SGD with model averaging over ``n_parts`` hash parts of the instances.
 
-    Within a part rows are visited in key order, and the number of parts is ``hp.parts`` unless
-    given, so results do not depend on the physical layout or the session's settings. Every
-    pass visits every row: mini-batches and early stopping belong to the batch trainer.
+    Within a part instances are visited in key order. The number of parts is ``n_parts``, or ``hp.parts``, or follows
+    the feature rows (``hp.part_rows`` a part), so results do not depend on the physical layout or the session's
+    settings. Every pass visits every row: mini-batches and early stopping belong to the batch trainer.
     ``part`` may name each instance's part; ``n_parts`` is then the number of its values.
     Returns (params, meta, history).
     """
     if hp.batch_fraction < 1.0 or hp.tolerance > 0.0:
         raise ValueError("local SGD takes neither batch_fraction nor tolerance")
     spark = instances.sparkSession
-    n_parts = n_parts or hp.parts
     meta = meta or _prepare(instances, hp, num_features, key)
     if params is None:
         params = fm_init(spark, num_features, hp.k, hp.init_std, hp.seed, hp.init_mean)
     params = materialize(params)
-    labels = training_labels(instances, meta, key)
-    rows = (features.select(key, "feature_id", "value").join(labels, key)
-            .select(F.col(key).alias("key"), "feature_id", "value", "y",
-                    (F.pmod(F.xxhash64(key), F.lit(n_parts)) if part is None else part).cast("bigint").alias("part")))
-    # written once (short lineage), then laid out by part and cached: every iteration's cogroup
-    # finds the rows already clustered and shuffles only the touched parameters
-    written = materialize(rows)
-    rows = written.repartition(min(n_parts, shuffle_partitions(spark)), "part").persist()
-    touched = materialize(rows.select("part", "feature_id").distinct())
+    packed = materialize(part_rows(features, training_labels(instances, meta, key), key, F.lit(0) if part is None else part))
+    size = packed.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("fids")).alias("cells")).first()
     history = []
-    if rows.isEmpty():
-        rows.unpersist()
-        release(written)
-        release(touched)
+    if not size["n"]:
+        release(packed)
         return params, meta, history
+    n_parts = n_parts or hp.parts or -(-size["cells"] // hp.part_rows)
+    rows = packed if part is not None else packed.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(n_parts)).cast("bigint"))
+    touched = materialize(rows.select("part", F.explode("fids").alias("feature_id")).distinct())
     for t in range(1, hp.iterations + 1):
         new_params, w0_row = fm_local_sgd_step(rows, touched, params, meta, hp, t, n_parts)
         new_params = materialize(new_params)
@@ -425,8 +494,7 @@ def fm_fit_local_sgd(instances: DataFrame, features: DataFrame, num_features: in
         release(params)
         params, meta = new_params, replace(meta, w0=w0)
         history.append({"t": t, "w0": w0})
-    rows.unpersist()
-    release(written)
+    release(packed)
     release(touched)
     return params, meta, history
 

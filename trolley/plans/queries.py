@@ -27,6 +27,7 @@ from trolley.plans import context as ctx
 from trolley.functions.hashing import sql_uniform
 from trolley.operators.fm import (FMMeta, FMParams, fm_gradient, fm_init, fm_residuals, fm_score, fm_step,
                                  label_range)
+from trolley.operators.fm_layout import training_layout
 from trolley.operators.evaluate import curve_areas
 from trolley.operators.recommend import basket_profile, recommend_lists, submission_lines
 from trolley.plans.oracle import FmSql, HISTORY_BEFORE, TOP_TOKENS, Sql, arr_text, dict_sql, items_sql
@@ -455,7 +456,7 @@ def q_fm_gradient(spark, sf_dir):
 
 def _steps(spark, sf_dir, n_steps):
     enc, inst, feats, train, meta, params = _fm_context(spark, sf_dir)
-    tf = materialize(feats.join(train.select("instance_id"), "instance_id", "left_semi"))
+    tf = training_layout(train, feats)
     for t in range(1, n_steps + 1):
         params, meta, _ = fm_step(train, tf, params, meta, t, ORACLE_FM)
     return _long_params(params, meta)
@@ -474,7 +475,7 @@ REC_K = 500   # items per basket, the reference job's report size
 
 def _trained(spark, sf_dir, n_steps):
     enc, inst, feats, train, meta, params = _fm_context(spark, sf_dir)
-    tf = materialize(feats.join(train.select("instance_id"), "instance_id", "left_semi"))
+    tf = training_layout(train, feats)
     for t in range(1, n_steps + 1):
         params, meta, _ = fm_step(train, tf, params, meta, t, ORACLE_FM)
     return enc, inst, feats, params, meta
@@ -673,6 +674,44 @@ def q_libsvm_round_trip(spark, sf_dir):
     return inst2.join(per, "instance_id").select("label", "n_features", ids_text("f").alias("feature_ids"))
 
 
+@register("libsvm_row_ids", Sql().instances().render("""
+SELECT row_number() OVER (ORDER BY i.instance_id) - 1 AS line_no, i.instance_id AS written_id, CAST(i.label AS DOUBLE) AS label, count(*) AS n_features
+FROM instances i JOIN instance_features f ON i.instance_id = f.instance_id GROUP BY i.instance_id, i.label"""))
+def q_libsvm_row_ids(spark, sf_dir):
+    """S3: ids of lines written in order of instance ids: places in the files, read in splits of a few kilobytes."""
+    from trolley.sources.libsvm import read_libsvm, write_libsvm
+    enc, inst, feats = ctx.labelled(spark, sf_dir)
+    path = _scratch(spark, "libsvm")
+    lines = libsvm_lines(inst, feats).select("instance_id", F.concat("line", F.lit(" "), F.col("instance_id") + enc.num_features + 1, F.lit(":1.0")).alias("line"))
+    write_libsvm(lines.repartitionByRange(3, "instance_id").sortWithinPartitions("instance_id"), path)
+    small = {"spark.sql.files.maxPartitionBytes": "64k", "spark.sql.files.openCostInBytes": "1k"}
+    before = {k: spark.conf.get(k) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        inst2, feats2 = read_libsvm(spark, path)
+        per = feats2.groupBy("instance_id").agg((F.count(F.lit(1)) - 1).alias("n_features"), (F.max("feature_id") - enc.num_features).alias("written_id"))
+        out = materialize(inst2.join(per, "instance_id").select(F.col("instance_id").alias("line_no"), "written_id", "label", "n_features"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    return out
+
+
+@register("sparse_vectors", Sql().instances().render("""
+SELECT i.instance_id, CAST(i.label AS DOUBLE) AS label, array_to_string(list_sort(list(f.feature_id)), ' ') AS indices, sum(f.value) AS total, count(*) AS n_active
+FROM instances i JOIN instance_features f ON i.instance_id = f.instance_id GROUP BY i.instance_id, i.label"""))
+def q_sparse_vectors(spark, sf_dir):
+    """labelled instances as sparse vectors, written and read as such, and back in long form."""
+    from trolley.functions.vectors import long_features, sparse_vectors
+    enc, inst, feats = ctx.labelled(spark, sf_dir)
+    path = _scratch(spark, "vectors")
+    sparse_vectors(inst.select("instance_id", F.col("label").cast("double").alias("label")), feats, enc.num_features).write.parquet(path)
+    back = spark.read.parquet(path)
+    per = long_features(back).groupBy("instance_id").agg(F.array_sort(F.collect_list("feature_id")).alias("f"), F.sum("value").alias("total"), F.count(F.lit(1)).alias("n_active"))
+    return back.select("instance_id", "label").join(per, "instance_id").select("instance_id", "label", ids_text("f").alias("indices"), "total", "n_active")
+
+
 @register("evaluate_job", _auc_sql(0.5))
 def q_evaluate_job(spark, sf_dir):
     """Hold-out libSVM file + saved two-step model -> ROC and PR areas at threshold 0.5."""
