@@ -72,3 +72,14 @@ def test_empty_tables(spark):
     assert decontam.report(docs(spark, texts).where("false"), bench).count() == 0
     got = decontam.report(docs(spark, texts), bench.where("false")).collect()
     assert len(got) == len(texts) and all(r["n_hit"] == 0 for r in got)
+
+
+def test_windows_that_open_alike(spark):
+    opening = "which of the following is".split()
+    items = [(k, " ".join(opening + prose(7, 900 + k))) for k in range(80)] + [(100 + k, " ".join(opening + prose(2, 50 + k))) for k in range(9)]
+    texts = [" ".join(prose(30, k) + items[k][1].split() + prose(9, k) + opening) for k in range(0, 80, 7)] + [" ".join((opening + prose(5, 3)) * 20), " ".join(opening)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    want = [(i, *map(str, r)) for i, r in enumerate(brute(texts, items))]
+    for limit in (decontam.BROADCAST_BYTES, 0):
+        got = decontam.report(docs(spark, texts), bench, broadcast_bytes=limit).select("doc_id", "n_words", "n_hit", "items").collect()
+        assert sorted((r[0], *map(str, r[1:])) for r in got) == want

@@ -7,9 +7,10 @@ item; an item with fewer words, but not none, is one window of its own length.
 Plan. The distinct windows become one written table. If its measured size is within
 ``broadcast_bytes`` it is broadcast, otherwise the join is left to shuffles. Each text turns
 into one 64-bit hash per word position, of the words that a window leads with; the hashes
-meet the windows in a hash join, and whole windows are compared in the join condition, so a
-hash collision never counts. Only true hits and a row per text leave the scan. Without the
-broadcast the verification is a join of its own, as no text may travel with each position.
+meet the distinct leads in a hash join. Where one meets, the window's words are read and hashed, meet
+the windows by that hash, and are compared as text, so a hash collision never counts and windows
+that open alike cost no more than others. Only true hits and a row per text leave the scan. Without the
+broadcast the words are joined where leads meet, as no text may travel with each position.
 
 Defined cases: null and blank texts have no words and no hits; rows that share a doc_id are
 judged each by its own text; exactly repeated rows give repeated result rows; repeated
@@ -89,9 +90,10 @@ def find_hits(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_
     grams = windows.select("key", "lead", "gram", "len", "window").distinct()
     facts = grams.groupBy("lead").agg(F.sum(F.length("gram") * 2 + 80).alias("b")).collect()  # LEAD rows at most
     leads = sorted(r["lead"] for r in facts)
-    markers = spark.range(_MARKERS).select(F.col("id").alias("key"), F.lit(0).alias("lead"), F.lit("").alias("gram"),
-                                           F.lit(0).alias("len"), F.lit(0).cast("bigint").alias("window"))
-    grams = grams.unionByName(markers)
+    whole = grams.select("len", "gram", "window").unionByName(spark.range(1).select(F.lit(0).alias("len"), F.lit("").alias("gram"), F.xxhash64(F.lit("")).alias("window"))).distinct()
+    markers = spark.range(_MARKERS).select(F.col("id").alias("key"), F.lit(0).alias("lead"), F.lit(0).alias("len"))
+    # a lead that many windows share meets a place once for each length, not once for each window
+    heads = grams.select("key", "lead", "len").distinct().unionByName(markers)
     base = docs.select(F.col(id_col).alias("doc"), text_key(F.col(text_col)).alias("tkey"), cased_words(F.col(text_col)).alias("words"))
     lower = base.select("*", _lower(F.col("words")).alias("lower"))
     marker = F.array(F.pmod(F.col("tkey"), F.lit(_MARKERS)))
@@ -104,18 +106,28 @@ def find_hits(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_
         lead = F.when(F.col("at") >= start, F.lit(k)).otherwise(lead)
         start = start + F.greatest(count - k + 1, F.lit(0))
     meets = (F.col("h") == F.col("key")) & (lead == F.col("lead"))
+    small = sum(r["b"] for r in facts) <= broadcast_bytes
+
+    def sent(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if small else df
+
+    def read(words: Column, at: Column) -> Column:
+        return fold(F.slice(words, at + 1, F.col("len")))
+
     # outer: the plain form infers a filter on the array that would compute it twice
-    if sum(r["b"] for r in facts) <= broadcast_bytes:
+    if small:
         placed = hashes.select("doc", "tkey", "n_words", "words", F.posexplode_outer("hashes").alias("at", "h"))
-        hit = placed.join(F.broadcast(grams), meets & (fold(F.slice(F.col("words"), pos + 1, F.col("len"))) == F.col("gram")))
+        met = placed.join(F.broadcast(heads), meets).select("doc", "tkey", "n_words", pos.alias("pos"), "len", read(F.col("words"), pos).alias("found"))
     else:
-        # the words must not travel with every position: meet on hashes, then verify where they met
+        # the words must not travel with every position: meet on hashes, then read where they met
         placed = hashes.select("doc", "tkey", "n_words", F.posexplode_outer("hashes").alias("at", "h"))
-        met = placed.join(grams, meets).select("doc", "tkey", "n_words", "at", pos.alias("pos"), "gram", "len", "window")
+        places = placed.join(heads, meets).select("doc", "tkey", "n_words", pos.alias("pos"), "len")
         texts = base.select(F.col("doc").alias("d"), F.col("tkey").alias("k"), "words").dropDuplicates(["d", "k"])
-        hit = met.join(texts, F.col("doc").eqNullSafe(F.col("d")) & (F.col("tkey") == F.col("k"))) \
-            .where(fold(F.slice(F.col("words"), F.col("pos") + 1, F.col("len"))) == F.col("gram"))
-        pos = F.col("pos")
+        met = places.join(texts, F.col("doc").eqNullSafe(F.col("d")) & (F.col("tkey") == F.col("k"))) \
+            .select("doc", "tkey", "n_words", "pos", "len", read(F.col("words"), F.col("pos")).alias("found"))
+    known = whole.select(F.col("len").alias("w_len"), "gram", "window")
+    hit = met.join(sent(known), (F.xxhash64("found") == F.col("window")) & (F.col("len") == F.col("w_len")) & (F.col("found") == F.col("gram")))
+    pos = F.col("pos")
     return hit.select("doc", "tkey", pos.alias("pos"), "len", "window", "n_words").repartition("doc", "tkey") \
         .groupBy("doc", "tkey", "pos", "len").agg(F.first("window").alias("window"), F.first("n_words").alias("n_words"),
                                                   F.count("*").alias("copies"))

@@ -13,7 +13,8 @@ of bounded size, and shuffles nothing; Viterbi steps through many texts at once.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0 and no spans;
 rows with a null or empty language train nothing; without training rows every text is
-``und``; an empty table gives an empty result.
+``und``; an empty table gives an empty result; only the id, text and language columns are read, so
+others may have any names, and a column named ``language`` is replaced.
 """
 
 from __future__ import annotations
@@ -208,10 +209,11 @@ def label(texts: list[str], m: Model) -> list[tuple[str, float, list[tuple[int,
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_rows: int = MAX_ROWS) -> Model:
     """Count n-grams of at most ``max_rows`` labelled rows of ``docs``."""
-    rows = docs.where(F.col(lang_col).isNotNull() & (F.col(lang_col) != "") & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    chosen = rows.select(F.col(id_col).alias("c_id")).distinct().orderBy(F.xxhash64("c_id"), "c_id").limit(max_rows)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")) \
+        .where("lang IS NOT NULL AND lang != '' AND text IS NOT NULL AND id IS NOT NULL")
+    chosen = rows.select(F.col("id").alias("c_id")).distinct().orderBy(F.xxhash64("c_id"), "c_id").limit(max_rows)
     # at most max_rows ids: small enough to send everywhere
-    sample = rows.join(F.broadcast(chosen), rows[id_col] == F.col("c_id")).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    sample = rows.join(F.broadcast(chosen), F.col("id") == F.col("c_id")).select("text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,7 +241,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     script = total[len(ORDERS) * BUCKETS:-1]
     allowed = script >= np.maximum(1, MIN_SHARE * script.sum(axis=0))
     allowed[~allowed.any(axis=1)] = True
-    prior = np.log(total[-1] + 1) - np.log((total[-1] + 1).sum())
+    prior = np.log(total[-1] + 1) - np.log(max(1.0, (total[-1] + 1).sum()))
     return Model(langs, (logp / len(ORDERS) * 2).astype(np.float32), allowed, prior)
 
 

@@ -13,7 +13,8 @@ slices of bounded size; nothing is shuffled.
 
 Defined cases: null and empty texts have no words and are scored by their statistics; a null
 ``n_chars`` counts as unknown; labels of a repeated id are averaged; null labels are left out;
-without labels every score is 0.5; an empty table gives an empty result.
+without labels every score is 0.5; an empty table gives an empty result; only the id, text, size and label
+columns are read, so others may have any names, and a column with the name of the score is replaced.
 """
 
 from __future__ import annotations
@@ -159,11 +160,12 @@ def _plain(docs: DataFrame, text_col: str, chars_col: str | None) -> list:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars",
         label_col: str = "quality", max_rows: int = MAX_ROWS) -> Model:
     """Train on at most ``max_rows`` labelled rows of ``docs``."""
-    chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("l_id")) \
-        .agg(F.avg(label_col).cast("double").alias("label")).orderBy(F.xxhash64("l_id"), "l_id").limit(max_rows)
+    chosen = labels.select(F.col(id_col).alias("l_id"), F.col(label_col).cast("double").alias("label")).where("l_id IS NOT NULL AND label IS NOT NULL") \
+        .groupBy("l_id").agg(F.avg("label").alias("label")).orderBy(F.xxhash64("l_id"), "l_id").limit(max_rows)
+    plain = docs.select(F.col(id_col).alias("id"), *_plain(docs, text_col, chars_col))  # no other column: any name may occur among them
     # at most max_rows ids and numbers: small enough to send everywhere
-    sample = docs.join(F.broadcast(chosen), docs[id_col] == F.col("l_id")) \
-        .select(*_plain(docs, text_col, chars_col), "label", F.xxhash64("l_id").alias("place"), F.xxhash64(text_col).alias("tie"))
+    sample = plain.join(F.broadcast(chosen), F.col("id") == F.col("l_id")) \
+        .select("text", "chars", "label", F.xxhash64("l_id").alias("place"), F.xxhash64("text").alias("tie"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = tb.SpanHasher()

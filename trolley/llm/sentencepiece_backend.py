@@ -22,10 +22,12 @@ are passed on, but for those that have the name of a new one.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import re
 import sys
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field, replace
 
@@ -145,7 +147,7 @@ def build(model: bytes):
     t = Tokenizer(core)
     steps = [normalizers.Precompiled(spec.charsmap)] if spec.charsmap else []
     if spec.trim_spaces:
-        steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Replace(Regex("^ | $"), "")]
+        steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Replace(Regex(r"\A | \z"), "")]
     if spec.dummy_prefix:
         steps.append(normalizers.Prepend(MARKER))
     steps.append(normalizers.Replace(" ", MARKER))
@@ -203,7 +205,7 @@ class Codec:
     """Encodes and decodes texts run by run, and checks each new run against the sentencepiece library.
 
     A run is a piece of normalised text from its markers to the next ones. Where the model allows (``separable``)
-    runs are coded on their own, in batches, and kept in a cache of at most ``CACHE_RUNS`` short ones;
+    runs are coded on their own, in batches, and short ones kept in a cache of two generations of ``CACHE_RUNS``;
     otherwise a text is one run.
     """
 
@@ -223,6 +225,7 @@ class Codec:
         self.t.decoder = decoders.Sequence([decoders.Replace(MARKER, " "), *([decoders.ByteFallback()] if self.spec.byte_fallback else []), decoders.Fuse()])
         self.cut = re.compile(f"{MARKER}+[^{MARKER}]*|[^{MARKER}]+")
         self.ids: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}  # the runs kept before the last ``CACHE_RUNS`` new ones
         self.odd: dict[str, str] = {}  # decoded text of the runs that do not decode to themselves
 
     @staticmethod
@@ -240,22 +243,26 @@ class Codec:
         ids = [e.ids for e in self.t.encode_batch_fast(runs, add_special_tokens=False)]
         if self.theirs:
             # the library puts the first marker back; a run of markers alone needs a word before it
-            bare = [not run.strip(MARKER) for run in runs]
-            lead = 1 if self.spec.dummy_prefix else 0
-            given = ["a" + run if b else run[lead:] for run, b in zip(runs, bare)]
-            before = self.theirs.encode("a")
-            for run, mine, b, ref in zip(runs, ids, bare, self.theirs.encode(given)):
-                self._same(run, before + mine if b else mine, ref)
+            lead, before = (1 if self.spec.dummy_prefix else 0), self.theirs.encode("a")
+            given = ["a" + run if run[-1] == MARKER else run[lead:] for run in runs]
+            theirs = self.theirs.encode(given)
+            if theirs != ids:
+                for run, mine, ref in zip(runs, ids, theirs):
+                    self._same(run, before + mine if run[-1] == MARKER else mine, ref)
         odd = {run: text for run, text in zip(runs, self.t.decode_batch(ids, skip_special_tokens=False)) if text != run.replace(MARKER, " ")}
-        return {run: np.array(x, np.int32).tobytes() for run, x in zip(runs, ids)}, odd
+        return {run: array("i", x).tobytes() for run, x in zip(runs, ids)}, odd
 
     def code(self, texts: list[str]) -> tuple[list[bytes], list[str], list[str]]:
         """(ids as 32-bit numbers, decoded text, normalised text) of each text."""
         normal = [self.normal(x) for x in texts]
         runs = [self.cut.findall(x) if self.separable else [x] if x else [] for x in normal]
         if len(self.ids) > CACHE_RUNS:
-            self.ids, self.odd = {}, {}
-        new = {run for row in runs for run in row if run not in self.ids}
+            self.old, self.ids = self.ids, {}
+            self.odd = {run: text for run, text in self.odd.items() if run in self.old}
+        new = set().union(*runs).difference(self.ids)
+        met = new.intersection(self.old)
+        self.ids.update(zip(met, map(self.old.__getitem__, met)))
+        new -= met
         if new:
             ids, odd = self._learn(list(new))
             self.ids.update(ids)
@@ -267,6 +274,9 @@ class Codec:
             decoded.append(text[1:] if self.spec.dummy_prefix and text[:1] == " " else text)
         read = [x[1:] if self.spec.dummy_prefix else x for x in plain]
         out = [b"".join(map(self.ids.__getitem__, row)) for row in runs]
+        if self.theirs and (self.spec.charsmap or self.spec.trim_spaces):  # a normaliser that does more than mark spaces is verified on whole texts
+            for text, mine, ref in zip(texts, out, self.theirs.encode(texts)):
+                self._same(text, np.frombuffer(mine, np.int32).tolist(), ref)
         for run in new:
             if not self.separable or len(run) > CACHE_CHARS:
                 del self.ids[run]
@@ -304,17 +314,21 @@ def encode(docs: DataFrame, text_col: str = "text", model_path: str = MODEL, ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value, threads, check)
-        for batch in batches:
-            texts = batch.column(n_kept)
-            for first, n in _slices(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), slice_chars):
-                ids, decoded, read = codec.code([x.as_py() or "" for x in texts.slice(first, n)])
-                ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
-                arrays = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
-                more = []
-                if back:
-                    more = [pa.array([hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in decoded], pa.string()),
-                            pa.array([x == y for x, y in zip(decoded, read)], pa.bool_())]
-                yield pa.RecordBatch.from_arrays([*batch.slice(first, n).columns[:n_kept], arrays, *more], names)
+        gc.disable()  # no cycles here, and the cache is long to walk through
+        try:
+            for batch in batches:
+                texts = batch.column(n_kept)
+                for first, n in _slices(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), slice_chars):
+                    ids, decoded, read = codec.code([x.as_py() or "" for x in texts.slice(first, n)])
+                    ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
+                    arrays = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+                    more = []
+                    if back:
+                        more = [pa.array([hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in decoded], pa.string()),
+                                pa.array([x == y for x, y in zip(decoded, read)], pa.bool_())]
+                    yield pa.RecordBatch.from_arrays([*batch.slice(first, n).columns[:n_kept], arrays, *more], names)
+        finally:
+            gc.enable()
 
     return rows.mapInArrow(run, StructType([*[rows.schema.fields[k] for k in range(n_kept)], *made]))
 
