@@ -21,11 +21,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove lines close to an earlier line, and short ones equal to one; documents that lose all their words go."""
-    cleaned = line_edit_dedup.dedup_lines(docs, short=True)
+    # the operator's counts have names that a column of the documents may have as well
+    aside = {c: f"__own_{c}" for c in docs.columns if c.lower() in ("n_lines", "n_removed")}
+    cleaned = line_edit_dedup.dedup_lines(docs.withColumnsRenamed(aside), short=True)
     had_loss = F.col("n_removed") > 0
     empty = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    return cleaned.where(~(had_loss & empty)) \
-        .withColumn("n_chars", F.when(had_loss, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    kept = cleaned.where(~(had_loss & empty)) \
+        .withColumn("n_chars", F.when(had_loss, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
+    return kept.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
