@@ -42,7 +42,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
 SLICE_CHARS = 1 << 20
 #: Runs that a worker keeps with their ids, and the longest run that is kept.
-CACHE_RUNS, CACHE_CHARS = 1 << 18, 48
+CACHE_RUNS, CACHE_CHARS = 1 << 17, 48
 #: Piece types of the model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
