@@ -181,10 +181,11 @@ class FmSql:
     """FM steps in SQL over long-form parameters ``p_v(feature_id, f, v)``, ``p_w(feature_id, w)``."""
 
     def __init__(self, sql: Sql, k: int, std: float, seed: int, step: float, reg: tuple, task: int = 1,
-                 mean: float = 0.0, local: bool = False):
+                 mean: float = 0.0, local: bool = False, intercept: bool = True, linear: bool = True):
         """``local``: steps of local SGD with one instance per part (T1) instead of batch steps."""
         self.sql, self.k, self.std, self.seed, self.step_size, self.reg, self.task, self.mean, self.local = (
             sql, k, std, seed, step, reg, task, mean, local)
+        self.intercept, self.linear = intercept, linear
         sql.instances()
         sql.num_features()
         sql.add("p0_v", f"""
@@ -193,8 +194,9 @@ class FmSql:
     FROM range((SELECT n FROM num_features)) r, range({k}) f""")
         sql.add("p0_w", "SELECT range AS feature_id, 0.0 AS w FROM range((SELECT n FROM num_features))")
         sql.add("p0_w0", "SELECT 0.0 AS w0")
-        sql.add("train_inst", """
-    SELECT instance_id, CASE WHEN label > 0 THEN 1.0 ELSE -1.0 END AS y FROM instances WHERE split = 'train'""")
+        y = "CASE WHEN label > 0 THEN 1.0 ELSE -1.0 END" if task == 1 else "CAST(label AS DOUBLE)"
+        sql.add("train_inst", f"""
+    SELECT instance_id, {y} AS y FROM instances WHERE split = 'train'""")
         sql.add("lrange", "SELECT min(label) AS lo, max(label) AS hi FROM instances WHERE split = 'train'")
         sql.add("train_feats", """
     SELECT f.instance_id, f.feature_id, f.value FROM instance_features f
@@ -214,7 +216,7 @@ class FmSql:
         y = "i.y" if "y" in self._inst_cols(inst) else "NULL"
         sql.add(f"st{sfx}", f"""
     SELECT i.instance_id, {y} AS y,
-           (SELECT w0 FROM p{t}_w0) + coalesce(l.lin, 0.0) + 0.5 * coalesce(q.ss - q.q, 0.0) AS z
+           {f"(SELECT w0 FROM p{t}_w0)" if self.intercept else "0.0"} + {"coalesce(l.lin, 0.0)" if self.linear else "0.0"} + 0.5 * coalesce(q.ss - q.q, 0.0) AS z
     FROM {inst} i LEFT JOIN ml{sfx} l ON i.instance_id = l.instance_id
     LEFT JOIN mq{sfx} q ON i.instance_id = q.instance_id""")
         return f"st{sfx}"
@@ -262,7 +264,7 @@ class FmSql:
         share = f"(g.k * {scale})" if self.local else "1.0"
         self.sql.add(f"p{t + 1}_w", f"""
     SELECT p.feature_id,
-           CASE WHEN g.c IS NULL THEN p.w ELSE p.w - {eta!r} * (g.c * {scale} + {r1!r} * {share} * p.w) END AS w
+           CASE WHEN g.c IS NULL OR {not self.linear} THEN p.w ELSE p.w - {eta!r} * (g.c * {scale} + {r1!r} * {share} * p.w) END AS w
     FROM p{t}_w p LEFT JOIN g{t} g ON p.feature_id = g.feature_id""")
         self.sql.add(f"p{t + 1}_v", f"""
     SELECT p.feature_id, p.f,
@@ -271,7 +273,7 @@ class FmSql:
     FROM p{t}_v p LEFT JOIN g{t} g ON p.feature_id = g.feature_id
     LEFT JOIN ga{t} a ON a.feature_id = p.feature_id AND a.f = p.f""")
         self.sql.add(f"p{t + 1}_w0", f"""
-    SELECT w0 - {eta!r} * ((SELECT sum(m) FROM rs{t}) / {n} + {r0!r} * w0) AS w0 FROM p{t}_w0""")
+    SELECT w0 - {eta if self.intercept else 0.0!r} * ((SELECT sum(m) FROM rs{t}) / {n} + {r0!r} * w0) AS w0 FROM p{t}_w0""")
 
     def params_after(self, t: int) -> str:
         for i in range(t):

@@ -32,7 +32,8 @@ from trolley.operators.evaluate import curve_areas
 from trolley.operators.recommend import basket_profile, recommend_lists, submission_lines
 from trolley.plans.oracle import FmSql, HISTORY_BEFORE, TOP_TOKENS, Sql, arr_text, dict_sql, items_sql
 from trolley.session import ensure_checkpoint_dir, materialize
-from trolley.sources.baskets import read_baskets, stand_in_baskets, write_baskets
+from trolley.sources.baskets import (read_baskets, read_split_baskets, stand_in_baskets, write_basket_document,
+                                     write_baskets)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -68,6 +69,23 @@ def q_nested_round_trip(spark, sf_dir):
     return basket_items(explode_baskets(docs)).select(*ITEM_COLUMNS)
 
 
+@register("nested_one_file", Sql().items().render(f"SELECT {', '.join(ITEM_COLUMNS)} FROM items"))
+def q_nested_one_file(spark, sf_dir):
+    """All baskets as one document in one file, read in splits by several tasks."""
+    path = _scratch(spark, "basket-document")
+    write_basket_document(stand_in_baskets(spark, sf_dir), path)
+    small = {"spark.sql.files.maxPartitionBytes": "512k", "spark.sql.files.openCostInBytes": "64k"}
+    before = {k: spark.conf.get(k) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        docs = materialize(read_split_baskets(spark, path))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    return basket_items(explode_baskets(docs)).select(*ITEM_COLUMNS)
+
+
 # ---- dictionaries ---------------------------------------------------------------------
 
 for _col, _name in (("item", "item_dict"), ("maker", "maker_dict"), ("grp", "group_dict")):
@@ -468,6 +486,25 @@ for _t in (1, 2):
         (lambda n: lambda spark, sf_dir: _steps(spark, sf_dir, n))(_t))
 
 
+def _train_query(name: str, task: int, intercept: bool, linear: bool, steps: int) -> None:
+    hp = ORACLE_FM
+    fs = FmSql(_FmOracle(), hp.k, hp.init_std, hp.seed, hp.step, hp.reg, task, intercept=intercept, linear=linear)
+
+    def q(spark, sf_dir):
+        from trolley.operators.fm import fm_train
+        enc, inst, feats = ctx.labelled(spark, sf_dir)
+        params, meta, _ = fm_train(inst.where(F.col("split") == "train"), feats, enc.num_features, task, steps, hp.step, (intercept, linear, hp.k),
+                                   hp.reg, hp.init_std, hp.seed, method="batch")
+        return _long_params(params, meta)
+
+    q.__doc__ = f"T4-T7: {steps} steps of the train entry point, task {task}, intercept {intercept}, linear weights {linear}."
+    register(name, fs.sql.render(fs.params_after(steps)))(q)
+
+
+_train_query("fm_train_regression", 0, True, True, 2)
+_train_query("fm_train_pairs_only", 1, False, False, 2)
+
+
 # ---- recommendation and evaluation -------------------------------------------------------------
 
 REC_K = 500   # items per basket, the reference job's report size

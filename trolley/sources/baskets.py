@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
+from trolley.sources.json_parts import document_objects
+
 TRACK_SCHEMA = StructType([
     StructField("track_uri", StringType()),
     StructField("track_name", StringType()),
@@ -33,6 +35,20 @@ def read_baskets(spark: SparkSession, path_glob: str, schema: StructType = BASKE
     return spark.read.schema(schema).option("multiLine", True).json(path_glob)
 
 
+def read_split_baskets(spark: SparkSession, path: str, schema: StructType = PLAYLIST_SCHEMA) -> DataFrame:
+    """S1 for large documents: as ``read_baskets``, but one row a basket, and a file is read by as many tasks as it has splits."""
+    return document_objects(spark, path, "playlists").select(F.array(F.from_json("text", schema)).alias("playlists"))
+
+
+def write_basket_document(baskets: DataFrame, path: str) -> None:
+    """Write ``(pid, name, tracks)`` rows, in order of their pids, as one document in one file."""
+    first = baskets.agg(F.min("pid")).first()[0]
+    comma = F.when(F.col("pid") == F.lit(first), "").otherwise(",")
+    rows = baskets.select(F.lit(1).alias("k"), "pid", F.concat(comma, F.to_json(F.struct("pid", "name", "tracks"))).alias("line"))
+    edges = baskets.sparkSession.createDataFrame([(0, None, '{"info": {"version": "1"}, "playlists": ['), (2, None, "]}")], "k int, pid long, line string")
+    edges.unionByName(rows).repartition(1).sortWithinPartitions("k", "pid").select("line").write.mode("overwrite").text(path)
+
+
 def write_baskets(baskets: DataFrame, path: str, baskets_per_file: int = 1000) -> None:
     """Write ``(pid, name, tracks)`` rows as documents of ``baskets_per_file`` playlists.
 
