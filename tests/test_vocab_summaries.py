@@ -6,6 +6,9 @@ from collections import Counter
 import pytest
 
 from trolley.operators import vocab as V
+from trolley.operators.baskets import item_text
+from trolley.operators.dictionary import fit_dict
+from trolley.operators.features import fit_encoders
 
 
 def test_a_summary_bounds_the_true_counts():
@@ -38,3 +41,22 @@ def test_few_tokens_and_none(spark):
     assert V.fit_vocab(texts.where("false"), size=9).count() == 0
     with pytest.raises(ValueError):
         V.fit_vocab(texts, size=0)
+
+
+@pytest.mark.parametrize("size", [None, 4])
+def test_encoders_from_string_counts_equal_those_of_the_rows(spark, size):
+    rng = random.Random(5)
+    pick = lambda *xs: rng.choice(xs)
+    rows = [(k % 9, pick("A b", None, "a\tB ", ""), pick("i1", "i2", "i3", None), pick("m", None), "g", pick("x  y x", " ", None), pick("Y", "the z"), pick("z", None))
+            for k in range(300)]
+    items = spark.createDataFrame(rows, "pid long, name string, item string, maker string, grp string, item_name string, maker_name string, grp_name string").repartition(5)
+    enc = fit_encoders(items, size, stop_words=True)
+
+    def told(df):
+        return sorted(map(tuple, df.collect()))
+
+    assert told(enc.item_dict) == told(fit_dict(items, "item"))
+    assert told(enc.vocab) == told(V.fit_vocab(item_text(items), "names", size, stop_words=True))
+    assert (enc.n_items, enc.n_tokens) == (3, 4)  # "a" and "the" are stop words
+    empty = fit_encoders(items.where("false"), size)
+    assert (empty.n_items, empty.n_tokens) == (0, 0)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from trolley.functions.text import text_of_item
 
 ITEM_COLUMNS = ["pid", "name", "pname", "item", "maker", "grp", "item_name", "maker_name", "grp_name"]
+#: The fields whose strings make up the text of a basket-item row.
+TEXT_COLUMNS = ["name", "item_name", "maker_name", "grp_name"]
 
 
 def explode_baskets(docs: DataFrame) -> DataFrame:
@@ -39,7 +41,7 @@ def fill_names(df: DataFrame, cols=("name", "pname")) -> DataFrame:
 def item_text(items: DataFrame) -> DataFrame:
     """per basket-item row, the text the vocabulary is fitted on."""
     return items.select("pid", "item",
-                        text_of_item("name", "item_name", "maker_name", "grp_name").alias("names"))
+                        text_of_item(*TEXT_COLUMNS).alias("names"))
 
 
 def by_basket(df: DataFrame, partitions: int | None = None) -> DataFrame:

@@ -16,6 +16,11 @@ def fit_dict(df: DataFrame, col: str, id_col: str | None = None) -> DataFrame:
     """A5: ``(col, id_col, freq)``, one row per distinct non-null string."""
     id_col = id_col or f"{col}_id"
     counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("freq"))
+    return rank_strings(counts, col, id_col)
+
+
+def rank_strings(counts: DataFrame, col: str, id_col: str) -> DataFrame:
+    """``(col, id_col, freq)`` of counted strings ``(col, freq)``."""
     return dense_ids(counts, [F.col("freq").desc(), F.col(col).asc()], id_col).select(col, id_col, "freq")
 
 

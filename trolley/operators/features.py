@@ -12,11 +12,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trolley.operators.baskets import fill_names
-from trolley.operators.dictionary import encode_items, fit_dict
+from trolley.operators.baskets import TEXT_COLUMNS, fill_names
+from trolley.operators.dictionary import encode_items, rank_strings
 from trolley.operators.vocab import encode_token_rows, fit_vocab, token_rows
-from trolley.operators.baskets import item_text
-from trolley.session import materialize
+from trolley.session import materialize, release
 
 
 @dataclass(frozen=True)
@@ -36,10 +35,26 @@ class Encoders:
         return self.n_items + 1 + self.n_tokens
 
 
+def string_counts(items: DataFrame) -> DataFrame:
+    """Rows (field, string, n): the distinct strings of the item column and of the text columns, counted in one pass."""
+    cells = F.array(*[F.struct(F.lit(k).alias("field"), F.col(c).alias("string")) for k, c in enumerate(("item", *TEXT_COLUMNS))])
+    return (items.select(F.explode(cells).alias("cell")).select("cell.field", "cell.string")
+            .where(F.col("string").isNotNull())
+            .groupBy("field", "string").agg(F.count(F.lit(1)).alias("n")))
+
+
 def fit_encoders(items: DataFrame, vocab_size: int | None = None, stop_words: bool = False) -> Encoders:
-    """Step 1: item dictionary and vocabulary fitted on basket-item rows (materialized once)."""
-    item_dict = materialize(fit_dict(items, "item", "item_id"))
-    vocab = materialize(fit_vocab(item_text(items), "names", vocab_size, stop_words))
+    """Step 1: item dictionary and vocabulary fitted on basket-item rows.
+
+    The items are read once: both come from the counts of their distinct strings. As the text of
+    an item joins its fields by a space, no token spans two of them, and a string that occurs n times is
+    tokenized once and counts n times.
+    """
+    counts = materialize(string_counts(items))
+    known = counts.where("field = 0").select(F.col("string").alias("item"), F.col("n").alias("freq"))
+    item_dict = materialize(rank_strings(known, "item", "item_id"))
+    vocab = materialize(fit_vocab(counts.where("field > 0"), "string", vocab_size, stop_words, weight="n"))
+    release(counts)
     return Encoders(item_dict, item_dict.count(), vocab, vocab.count())
 
 

@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,23 +55,23 @@ class Summary:
 
 
 def token_summaries(tokens: DataFrame, size: int) -> DataFrame:
-    """Rows (token, low, error): each partition's summary of (token), and one row without a token for its error."""
+    """Rows (token, low, error): each partition's summary of (token, n), and one row without a token for its error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         summary = Summary(size)
         for batch in batches:
-            found = pc.value_counts(batch.column(0))
-            summary.add(found.field("values").to_pylist(), found.field("counts").to_pylist())
+            found = pa.Table.from_batches([batch]).group_by("token").aggregate([("n", "sum")])
+            summary.add(found["token"].to_pylist(), found["n_sum"].to_pylist())
         summary.shrink()
         names, counts = [*summary.counts, None], [*summary.counts.values(), 0]
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int64()),
                                           pa.array([0] * (len(names) - 1) + [summary.error], pa.int64())], ["token", "low", "error"])
 
-    return tokens.select("token").mapInArrow(run, "token string, low bigint, error bigint")
+    return tokens.select("token", "n").mapInArrow(run, "token string, low bigint, error bigint")
 
 
 def top_counts(tokens: DataFrame, size: int, room: int = 4) -> DataFrame:
-    """Rows (token, freq): exact counts of tokens that include the ``size`` most frequent ones.
+    """Rows (token, freq): exact sums of n over (token, n) rows, of tokens that include the ``size`` most frequent ones.
 
     Every partition sends a summary of ``room * size`` tokens at most, and the summaries add up: a token's true
     count lies between its sum and that sum plus the summed errors. Tokens whose upper bound is below the
@@ -88,23 +87,24 @@ def top_counts(tokens: DataFrame, size: int, room: int = 4) -> DataFrame:
     bound = lows.orderBy(F.col("low").desc()).limit(size).agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("low")).first()
     if bound["n"] < size or error >= bound["low"]:
         release(merged)
-        return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
+        return tokens.groupBy("token").agg(F.sum("n").alias("freq"))
     survivors = lows.where(F.col("low") + F.lit(error) >= F.lit(bound["low"])).select("token")
-    return tokens.join(survivors, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
+    return tokens.join(survivors, "token", "left_semi").groupBy("token").agg(F.sum("n").alias("freq"))
 
 
 def fit_vocab(texts: DataFrame, text_col: str = "names", size: int | None = None,
-              stop_words: bool = False, room: int = 4) -> DataFrame:
+              stop_words: bool = False, room: int = 4, weight: str | None = None) -> DataFrame:
     """``(token, token_id, freq)`` of all tokens, or of the ``size`` most frequent ones.
 
-    Frequency is the total number of occurrences; ties go to the smaller token. Ranking is
-    distributed (range sort). With a ``size``, summaries of ``room * size`` tokens per partition choose the
+    Frequency is the total number of occurrences, each counted ``weight`` times if that column
+    is named (texts that stand for several equal ones); ties go to the smaller token. Ranking is distributed (range sort). With a ``size``, summaries of ``room * size`` tokens per partition choose the
     tokens that are counted exactly (``top_counts``), so not every rare token is shuffled and ranked.
     """
     if size is not None and size <= 0:
         raise ValueError("vocabulary size must be positive")
-    tokens = token_rows(texts, [], text_col, stop_words)
-    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("freq")) if size is None else top_counts(tokens, size, room)
+    n = F.col(weight) if weight else F.lit(1)
+    tokens = token_rows(texts.select(text_col, n.cast("bigint").alias("n")), ["n"], text_col, stop_words)
+    counts = tokens.groupBy("token").agg(F.sum("n").alias("freq")) if size is None else top_counts(tokens, size, room)
     ranked = dense_ids(counts, [F.col("freq").desc(), F.col("token").asc()], "token_id")
     if size is not None:
         ranked = ranked.where(F.col("token_id") < F.lit(size))

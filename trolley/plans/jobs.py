@@ -52,7 +52,7 @@ class Labelled:
 def instances_job(items: DataFrame, enc: Encoders, ratio: float = 1.0, test_share: float = 0.01,
                   seed: int = 1, split_by: str = "instance_id", out_dir: str | None = None) -> Labelled:
     """Step 2a: positives + sampled negatives, split, optionally written as libSVM train/test."""
-    e = materialize(encode_items(items, enc.item_dict, enc.n_items))
+    e = materialize(encode_items(items.select("pid", "pname", "item", "maker"), enc.item_dict, enc.n_items).drop("item"))
     neg_inst, neg_pairs = sample_negatives(e, enc.n_items, ratio)
     inst = split_instances(label_baskets(positive_baskets(e), neg_inst), test_share, seed, split_by)
     inst = materialize(inst)
