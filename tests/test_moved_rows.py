@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from trolley.operators import recommend as rec
-from trolley.operators.fm import FMMeta, fm_init, fm_margin, fm_score
+from trolley.operators.features import libsvm_lines
+from trolley.operators.fm import FMMeta, FMParams, fm_gradient, fm_init, fm_margin, fm_residuals, fm_score, fm_step
+from trolley.operators.fm_layout import instance_rows, training_layout
 from trolley.operators.negatives import (attach_makers, candidate_rows, drop_seen_items, drop_seen_makers, group_negatives,
                                         sample_negatives, surviving_tries)
 from trolley.session import materialize, materialize_bucketed
@@ -100,3 +102,63 @@ def test_large_files_are_not_read_in_tiny_splits(spark, tmp_path, size, splits):
     with open(tmp_path / "x.txt", "wb") as f:
         os.truncate(f.fileno(), size)  # a hole: takes no room
     assert _split_size(spark, str(tmp_path), 64 << 10) == f"{splits}b"
+
+
+def planned(spark, make):
+    """The physical plan of ``make()`` without broadcasts and run-time changes, joins on part of the keys allowed."""
+    settings = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        return make()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def moves(plan):
+    return plan.count("Exchange hashpartitioning")
+
+
+def test_names_and_makers_are_looked_up_in_one_move(spark):
+    pos = materialize_bucketed(positives(spark).where("item_id IS NOT NULL"), 4, "pid")
+    plan = planned(spark, lambda: surviving_tries(pos, 50, 41, 11))
+    # tries: to the baskets, to the items, back; lookups: (item, name), (item, maker) and its lists
+    assert moves(plan) == 6 and "hashpartitioning(item_id" in plan and "hashpartitioning(item_id, pname" not in plan.replace("#", " #")
+
+
+def test_lines_move_their_features_once(spark):
+    feats = materialize(spark.createDataFrame([(1, 2, 1.0), (1, 0, 1.0), (1, 2, 1.0), (2, 5, 0.5), (4, 1, 1.0)], "instance_id bigint, feature_id bigint, value double"))
+    labels = materialize(spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, None)], "instance_id bigint, label int"))
+    plan = planned(spark, lambda: libsvm_lines(labels, feats))
+    assert moves(plan) == 2  # the features and the labels
+    got = {r["instance_id"]: r["line"] for r in libsvm_lines(labels, feats).collect()}
+    assert got == {1: "1.0 1:1.0 3:1.0", 2: "0.0 6:0.5", 3: "1.0", 4: "2:1.0"}
+
+
+@pytest.mark.parametrize("salt_rows", [1 << 20, 2])
+def test_statistics_move_only_where_an_instance_is_salted(spark, salt_rows):
+    feats = spark.createDataFrame([(i, (i * 3 + j) % 7, 1.0) for i in range(20) for j in range(i % 4 + 1)], "instance_id bigint, feature_id bigint, value double")
+    inst = materialize(spark.createDataFrame([(i, i % 2) for i in range(0, 22, 1)], "instance_id bigint, label int"))
+    meta, hp = FMMeta(num_features=7, k=2), FMParams(k=2, step=0.5, reg=(0.01, 0.001, 0.05))
+    params = materialize(fm_init(spark, 7, 2, 0.1, 7))
+    layout = training_layout(inst, materialize(feats), salt_rows=salt_rows)
+    assert (layout.hot_instances is None) == (salt_rows > 2)
+    assert sorted(layout.by_instance.select("instance_id", "feature_id", "value").collect()) == sorted(feats.collect())
+    stats = layout.lay_stats(fm_residuals(inst, feats, params, meta).select("instance_id", "s", "m", "loss"))
+    assert layout.once(stats).count() == 22
+    grad = planned(spark, lambda: fm_gradient(layout.by_instance, stats, meta, on=layout.instance_keys))
+    assert moves(grad) == 1  # the sums by feature
+    laid, m1, _ = fm_step(inst, layout, params, meta, 1, hp)
+    plain, m2, _ = fm_step(inst, feats, params, meta, 1, hp)
+    flat = lambda p: sorted((r["feature_id"], round(r["w"], 9), *[round(x, 9) for x in r["v"]]) for r in p.collect())
+    assert flat(laid) == flat(plain) and abs(m1.w0 - m2.w0) < 1e-12
+
+
+def test_placed_rows_are_not_dealt_again(spark):
+    inst = materialize(spark.createDataFrame([(i,) for i in range(0, 30, 2)], "instance_id bigint"))
+    feats = spark.createDataFrame([(i, j, 1.0) for i in range(30) for j in range(3)], "instance_id bigint, feature_id bigint, value double")
+    rows = instance_rows(inst, materialize(feats), buckets=4)
+    assert rows.count() == 45 and moves(planned(spark, lambda: rows.groupBy("instance_id").count())) == 0
+    assert sorted(r["count"] for r in rows.groupBy("instance_id").count().collect()) == [3] * 15
