@@ -162,3 +162,15 @@ def test_placed_rows_are_not_dealt_again(spark):
     rows = instance_rows(inst, materialize(feats), buckets=4)
     assert rows.count() == 45 and moves(planned(spark, lambda: rows.groupBy("instance_id").count())) == 0
     assert sorted(r["count"] for r in rows.groupBy("instance_id").count().collect()) == [3] * 15
+
+
+def test_a_task_gathers_a_bounded_share_of_lines(spark, monkeypatch):
+    from trolley.operators import features as f
+    feats = materialize(spark.createDataFrame([(i, j, 1.0) for i in range(40) for j in range(3)], "instance_id bigint, feature_id bigint, value double"))
+    labels = spark.createDataFrame([(i, 1) for i in range(40)], "instance_id bigint, label int")
+    assert f.line_partitions(feats) == 4
+    monkeypatch.setattr(f, "LINE_ROWS", 10)
+    assert f.line_partitions(feats) == 12
+    lines = libsvm_lines(labels, feats, partitions=f.line_partitions(feats))
+    assert "hashpartitioning(instance_id" in planned(spark, lambda: lines) and lines.count() == 40
+    assert lines.rdd.getNumPartitions() == 12
