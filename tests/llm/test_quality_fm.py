@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 from helpers import docs, prose
 
 from trolley.llm import quality_fm as Q
@@ -45,3 +46,19 @@ def test_no_labels_and_empty_table(spark):
     labels = spark.createDataFrame([], "doc_id bigint, quality int")
     assert [r["score"] for r in Q.score(table, Q.fit(table, labels)).collect()] == [0.5, 0.5]
     assert Q.score(table.where("false"), Q.fit(table, labels)).count() == 0
+
+
+def test_texts_are_scored_in_the_batch_they_came_in(spark, monkeypatch):
+    table, found = docs(spark, ["a b c", None]), []
+    model = Q.fit(table, spark.createDataFrame([], "doc_id bigint, quality int"))
+    monkeypatch.setattr(Q.F, "arrow_udf", lambda kind: lambda f: found.append(f) or (lambda *columns: Q.F.lit(0.5)))
+    Q.score(table, model)
+    text, chars = pa.array([" ".join(prose(2000, k)) for k in range(400)] + [None]), pa.array([1.0] * 400 + [None])
+    usual, pool = pa.default_memory_pool(), pa.proxy_memory_pool(pa.default_memory_pool())
+    pa.set_memory_pool(pool)
+    try:
+        scores = [x.to_pylist() for x in found[0](iter([(text, chars)]))]
+    finally:
+        pa.set_memory_pool(usual)
+    assert scores == [[0.5] * 401] and text.nbytes > 3_000_000
+    assert pool.max_memory() < text.nbytes / 10  # no copy of the texts

@@ -129,6 +129,17 @@ def test_every_text_is_verified(spark, monkeypatch, model):
         codec.code(["known words and new ones"])
 
 
+def test_new_runs_are_learnt_in_bounded_lots(model, monkeypatch):
+    monkeypatch.setattr(B, "LEARN_RUNS", 7)
+    theirs, codec, lots = sentencepiece.SentencePieceProcessor(model_proto=model), B.Codec(model, 1), []
+    learn = codec._learn
+    codec._learn = lambda runs: lots.append(len(runs)) or learn(runs)
+    texts = [" ".join(f"w{k}x{j}" for j in range(10)) for k in range(5)] + ["x" * 100]
+    ids, decoded, _ = codec.code(texts)
+    assert [np.frombuffer(x, np.int32).tolist() for x in ids] == [theirs.encode(t) for t in texts] and decoded == texts
+    assert max(lots) <= 7 and sum(lots) == 51 and len(codec.ids) == 50
+
+
 def test_columns_named_as_the_results(spark):
     table = docs(spark, ["one two", None]).withColumnRenamed("tkey", "ids").withColumnRenamed("words", "decoded_sha256").withColumnRenamed("doc", "ROUND_TRIP")
     out = B.encode(table, back=True)

@@ -23,13 +23,13 @@ from collections.abc import Iterator
 from dataclasses import astuple, dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trolley.llm import textbytes as tb
+from trolley.llm.common import given_back
 
 BUCKETS, FACTORS, MAX_ROWS = 1 << 14, 8, 8000
 
@@ -142,10 +142,10 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray, float]], epochs:
     return m
 
 
-def _each_slice(batch: pa.RecordBatch, hasher: tb.SpanHasher) -> Iterator[tuple[int, int, tuple]]:
-    """Features of a batch of (text, n_chars, ...) in slices: (first row, rows, features)."""
-    texts = (tb.encode(t.as_py()) for t in batch.column(0))
-    chars = batch.column(1).cast(pa.float64()).fill_null(-1.0).to_numpy(zero_copy_only=False)
+def _each_slice(text: pa.Array, n_chars: pa.Array, hasher: tb.SpanHasher) -> Iterator[tuple[int, int, tuple]]:
+    """Features of a batch of texts and sizes in slices: (first row, rows, features)."""
+    texts = (tb.encode(t.as_py()) for t in text)
+    chars = n_chars.cast(pa.float64()).fill_null(-1.0).to_numpy(zero_copy_only=False)
     at = 0
     for part in tb.slices(texts):
         yield at, len(part), features(part, chars[at:at + len(part)], hasher)
@@ -170,14 +170,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = tb.SpanHasher()
         for batch in batches:
-            for at, n, (row, bucket, value, stats) in _each_slice(batch, hasher):
+            for at, n, (row, bucket, value, stats) in _each_slice(batch.column(0), batch.column(1), hasher):
                 ends = np.cumsum(np.bincount(row, minlength=n))[:-1]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.split(bucket.astype(np.int32), ends), pa.list_(pa.int32())), pa.array(np.split(value, ends), pa.list_(pa.float64())),
                     pa.array(list(stats), pa.list_(pa.float64())), *[batch.column(k).slice(at, n) for k in (2, 3, 4)]],
                     ["bucket", "value", "stats", "label", "place", "tie"])
 
-    got = sample.mapInArrow(run, "bucket array<int>, value array<double>, stats array<double>, label double, place bigint, tie bigint").toArrow()
+    got = sample.mapInArrow(lambda batches: given_back(run(batches)), "bucket array<int>, value array<double>, stats array<double>, label double, place bigint, tie bigint").toArrow()
     got = got.sort_by([("place", "ascending"), ("tie", "ascending")])
     lists = {}
     for c in ("bucket", "value", "stats"):  # views of the flat values, no Python objects
@@ -190,14 +190,17 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", chars_col: str
     """``docs`` with a column ``score`` in 0..1; no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(astuple(model))  # BUCKETS x (FACTORS + 1) numbers, whatever the data
 
-    @F.pandas_udf("double")
-    def scorer(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         m, hasher = Model(*shared.value), tb.SpanHasher()
         for text, chars in batches:
-            batch = pa.RecordBatch.from_arrays([pa.Array.from_pandas(text, type=pa.string()), pa.Array.from_pandas(chars, type=pa.float64())], ["t", "c"])
-            parts = [_raw_scores(m, row, bucket, value, _standard(m, stats))[0] for _, _, (row, bucket, value, stats) in _each_slice(batch, hasher)]
+            parts = [_raw_scores(m, row, bucket, value, _standard(m, stats))[0] for _, _, (row, bucket, value, stats) in _each_slice(text, chars, hasher)]
             raw = np.concatenate(parts) if parts else np.zeros(0)
-            yield pd.Series(1 / (1 + np.exp(-np.clip(raw, -30, 30))))
+            yield pa.array(1 / (1 + np.exp(-np.clip(raw, -30, 30))), pa.float64())
+
+    # the texts stay in their Arrow batch; as a pandas series they would be in memory three times
+    @F.arrow_udf("double")
+    def scorer(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        yield from given_back(run(batches))
 
     text, chars = _plain(docs, text_col, chars_col)
     return docs.withColumn(score_col, scorer(text, chars))

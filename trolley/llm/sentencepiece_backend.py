@@ -38,11 +38,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
+from trolley.llm.common import given_back
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
 SLICE_CHARS = 1 << 20
 #: Runs that a worker keeps with their ids, and the longest run that is kept.
 CACHE_RUNS, CACHE_CHARS = 1 << 17, 48
+#: New runs that the libraries are given at once: an encoding holds much more than its ids.
+LEARN_RUNS = 1 << 11
 #: Piece types of the model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -263,8 +267,9 @@ class Codec:
         met = new.intersection(self.old)
         self.ids.update(zip(met, map(self.old.__getitem__, met)))
         new -= met
-        if new:
-            ids, odd = self._learn(list(new))
+        unmet = list(new)
+        for k in range(0, len(unmet), LEARN_RUNS):
+            ids, odd = self._learn(unmet[k:k + LEARN_RUNS])
             self.ids.update(ids)
             self.odd.update(odd)
         plain, decoded = [x.replace(MARKER, " ") for x in normal], []
@@ -330,7 +335,7 @@ def encode(docs: DataFrame, text_col: str = "text", model_path: str = MODEL, ids
         finally:
             gc.enable()
 
-    return rows.mapInArrow(run, StructType([*[rows.schema.fields[k] for k in range(n_kept)], *made]))
+    return rows.mapInArrow(lambda batches: given_back(run(batches)), StructType([*[rows.schema.fields[k] for k in range(n_kept)], *made]))
 
 
 def decode(rows: DataFrame, ids_col: str = "ids", model_path: str = MODEL, text_col: str = "decoded", threads: int = 2,

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trolley.llm.common import store
+from trolley.llm.common import given_back, store
 from trolley.session import release
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc", "fp"])
 
     kind = plain.schema["doc"].dataType.simpleString()
-    return plain.mapInArrow(run, f"doc {kind}, fp bigint")
+    return plain.mapInArrow(lambda batches: given_back(run(batches)), f"doc {kind}, fp bigint")
 
 
 def _blocks(bound: int) -> list[int]:
