@@ -67,3 +67,23 @@ def test_short_lines_are_judged_by_equality_in_the_pipeline(spark):
     assert {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs(spark, texts), "").collect()} == dict(enumerate(want))
     got = {r["doc_id"]: r["text"] for r in line_edit_dedup.dedup_lines(docs(spark, texts)).collect()}
     assert got == dict(enumerate(brute(texts)))  # the query's SQL leaves them
+
+
+def test_texts_do_not_move_once_they_are_placed(spark):
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        plan = line_edit_dedup.dedup_lines(docs(spark, cases()))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert plan.count("Exchange hashpartitioning") == 1  # the places of the lines that go
+
+
+def test_null_and_empty_ids_are_two(spark):
+    line = " ".join(prose(9, 8))
+    table = spark.createDataFrame([("", line), (None, line), ("a", line + "\nkept")], "doc_id string, text string")
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in line_edit_dedup.dedup_lines(table).collect()}
+    assert got == {None: (line, 1, 0), "": ("", 1, 1), "a": ("kept", 2, 1)}

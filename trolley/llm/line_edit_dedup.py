@@ -8,6 +8,8 @@ lines are judged only with ``short``, and then by equality. A line goes if an ea
 the input (by document id, then place) is close to it, whether or not that one goes as well.
 
 Plan.
+0. The documents are written once, bucketed by id and text hash: the two joins that read their texts
+   (4 and 5) take them as they lie, so texts move once at any size.
 1. One scan makes a row (hash, id, place) per line, and distinct lines keep the earliest place.
 2. Two lines one word apart share their first or their last half (of the shorter one's words).
    Half hashes held by a single distinct line drop out; only lines with a shared half go on.
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from trolley.llm.common import WS_CHARS, WS_CLASS, store, text_key
 from trolley.operators.ranking import dense_ids
-from trolley.session import release
+from trolley.session import materialize_bucketed, release, shuffle_partitions
 
 MIN_WORDS = 5
 #: Two primes below 2^31 and the bases of the polynomial hashes.
@@ -50,10 +52,22 @@ def _n_words(norm: Column) -> Column:
     return F.length(norm) - F.length(F.replace(norm, F.lit(" "), F.lit(""))) + 1
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str, short: bool) -> DataFrame:
+def _row(doc: Column, tkey: Column) -> Column:
+    """One key, never null, of a document id and the hash of a text."""
+    return F.concat_ws(":", tkey.cast("string"), doc.cast("string"))  # a null id has no colon
+
+
+def _placed(docs: DataFrame, id_col: str, text_col: str, others: dict[str, str]) -> DataFrame:
+    """Rows (row, doc, tkey, text) and ``others`` (column of ``docs``: its name here), written once, bucketed by ``row``."""
+    tkey = text_key(F.col(text_col))
+    rows = docs.select(_row(F.col(id_col), tkey).alias("row"), F.col(id_col).alias("doc"), tkey.alias("tkey"), F.col(text_col).alias("text"),
+                       *[F.col(c).alias(name) for c, name in others.items()])
+    return materialize_bucketed(rows, shuffle_partitions(docs.sparkSession), "row")
+
+
+def _lines(rows: DataFrame, short: bool) -> DataFrame:
     """Rows (doc, tkey, place, norm, m): every line that is judged."""
-    parts = docs.select(F.col(id_col).alias("doc"), text_key(F.col(text_col)).alias("tkey"),
-                        F.posexplode_outer(norm_lines(F.col(text_col))).alias("place", "norm"))
+    parts = rows.select("doc", "tkey", F.posexplode_outer(norm_lines(F.col("text"))).alias("place", "norm"))
     return parts.withColumn("m", _n_words(F.col("norm"))).where((F.col("norm") != "") & (F.col("m") >= (1 if short else MIN_WORDS)))
 
 
@@ -105,8 +119,15 @@ def _close(a: Column, b: Column) -> Column:
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """Rows (doc, tkey, places): the places of the lines that go, for each distinct text of an id that loses any."""
+    rows = _placed(docs, id_col, text_col, {})
+    out = _removed(rows, short)
+    release(rows)
+    return out
+
+
+def _removed(rows: DataFrame, short: bool) -> DataFrame:
     place = F.struct("doc", "tkey", "place")
-    seen = store(_lines(docs, id_col, text_col, short).select(*_ids(F.col("norm")), "doc", "tkey", "place", _half_keys(F.col("norm"), F.col("m")).alias("halves")))
+    seen = store(_lines(rows, short).select(*_ids(F.col("norm")), "doc", "tkey", "place", _half_keys(F.col("norm"), F.col("m")).alias("halves")))
     distinct = store(seen.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.first("halves").alias("halves")))
 
     halves = distinct.select("h1", "h2", F.explode("halves").alias("half"))
@@ -115,9 +136,8 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # the earliest places in order, as single numbers: light keys for all that follows
     numbered = store(dense_ids(near.select("h1", "h2", "first.*"), [F.col(c) for c in ("doc", "tkey", "place")], "no"))
 
-    chosen = numbered.groupBy("doc", "tkey").agg(F.collect_list(F.struct("place", "no")).alias("at"))
-    texts = docs.select(F.col(id_col).alias("d"), text_key(F.col(text_col)).alias("k"), F.col(text_col).alias("t"))
-    met = texts.join(chosen, F.col("d").eqNullSafe(F.col("doc")) & (F.col("k") == F.col("tkey"))).select("at", norm_lines(F.col("t")).alias("lines"))
+    chosen = numbered.groupBy(_row(F.col("doc"), F.col("tkey")).alias("row")).agg(F.collect_list(F.struct("place", "no")).alias("at"))
+    met = rows.select("row", "text").join(chosen, "row").select("at", norm_lines(F.col("text")).alias("lines"))
     worded = store(met.select(F.explode_outer(F.transform("at", lambda x: F.struct(x["no"].alias("no"), F.get("lines", x["place"]).alias("line")))).alias("c"))
                    .select("c.no", F.split("c.line", " ").alias("words")))
 
@@ -157,11 +177,13 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """``docs`` with the removed lines taken out of the texts, and the columns ``n_lines`` and ``n_removed``."""
-    gone = removed_lines(docs, id_col, text_col, short).select(F.col("doc").alias("__doc"), F.col("tkey").alias("__tkey"), F.col("places").alias("__places"))
-    parts = F.split(F.col(text_col), "\n")
-    left = F.filter(parts, lambda s, i: ~F.array_contains("__places", i))
-    cleaned = F.when(F.col("__places").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
-    joined = docs.join(gone, docs[id_col].eqNullSafe(F.col("__doc")) & (text_key(docs[text_col]) == F.col("__tkey")), "left")
-    return joined.select(*[cleaned.alias(c) if c == text_col else F.col(c) for c in docs.columns],
+    own = {c: f"c{k}" for k, c in enumerate(docs.columns) if c != text_col}
+    rows = _placed(docs, id_col, text_col, own)
+    gone = _removed(rows, short).select(_row(F.col("doc"), F.col("tkey")).alias("row"), "places")
+    joined = rows.select("row", "text", *own.values()).join(gone, "row", "left")
+    parts = F.split("text", "\n")
+    left = F.filter(parts, lambda s, i: ~F.array_contains("places", i))
+    cleaned = F.when(F.col("places").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    return joined.select(*[cleaned.alias(c) if c == text_col else F.col(own[c]).alias(c) for c in docs.columns],
                          F.coalesce(F.size(parts), F.lit(0)).cast("bigint").alias("n_lines"),
-                         F.coalesce(F.when(F.col("__places").isNotNull(), F.size("__places")), F.lit(0)).cast("bigint").alias("n_removed"))
+                         F.coalesce(F.when(F.col("places").isNotNull(), F.size("places")), F.lit(0)).cast("bigint").alias("n_removed"))
