@@ -145,3 +145,33 @@ def test_columns_named_as_the_results(spark):
     out = B.encode(table, back=True)
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "ids", "decoded_sha256", "round_trip"]
     assert [(len(r["ids"]) > 0, r["round_trip"]) for r in out.orderBy("doc_id").collect()] == [(True, True), (False, True)]
+
+
+def bpe_model():
+    """A small BPE model file without byte pieces: what no piece holds is unknown."""
+    pieces = [unigram_piece("<unk>", 0, 2), unigram_piece("<s>", 0, 3), unigram_piece("</s>", 0, 3)]
+    pieces += [unigram_piece(t, -float(k)) for k, t in enumerate(("▁a", "ab", "▁ab", "▁▁", "▁", "a", "b", "c"))]
+    trainer = message(2, varint(3 << 3) + varint(2))
+    normaliser = message(3, message(1, b"identity") + varint(3 << 3) + varint(1) + varint(4 << 3) + varint(0) + varint(5 << 3) + varint(1))
+    return b"".join(pieces) + trainer + normaliser
+
+
+def test_joined_runs_have_the_ids_of_each_alone(model):
+    runs = ["▁ab", "▁▁ab", "▁☃", "▁a☃☃b", "▁", "▁▁", "▁☃", "▁cab", "▁▁▁c", "▁" + "ab" * 200, *("▁" + w for w in sorted(set(prose(300, 5))))]
+    for data in (bpe_model(), model):
+        codec = B.Codec(data, 1)
+        ids, odd = codec._learn(runs)
+        assert (ids, odd) == codec._learn_alone(runs) and ids.keys() == set(runs)
+        assert ("▁a☃☃b" in odd) == (data is not model) and "▁cab" not in odd
+        texts, theirs = ["ab  ab ☃ a☃☃b  ", "☃☃ cab   c", "", " ", "ab ab"], sentencepiece.SentencePieceProcessor(model_proto=data)
+        assert [np.frombuffer(x, np.int32).tolist() for x in codec.code(texts)[0]] == [theirs.encode(t) for t in texts]
+
+
+def test_new_runs_are_joined_for_the_libraries(model):
+    codec, given = B.Codec(model, 1), []
+    theirs = codec.theirs
+    codec.theirs = type("Counted", (), {"encode": lambda self, x: given.append(len(x) if isinstance(x, list) else 0) or theirs.encode(x)})()
+    texts = [" ".join(f"w{k}x{j}" for j in range(64)) for k in range(10)]
+    ids, decoded, _ = codec.code(texts)
+    assert [np.frombuffer(x, np.int32).tolist() for x in ids] == [theirs.encode(t) for t in texts] and decoded == texts
+    assert sum(given) == 10  # 640 new runs, 64 to a text

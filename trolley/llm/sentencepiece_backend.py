@@ -47,6 +47,8 @@ SLICE_CHARS = 1 << 20
 CACHE_RUNS, CACHE_CHARS = 1 << 17, 48
 #: New runs that the libraries are given at once: an encoding holds much more than its ids.
 LEARN_RUNS = 1 << 11
+#: New runs of a BPE model that are joined to one text: a call costs as much as some of them.
+JOINED_RUNS = 1 << 6
 #: Piece types of the model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -217,10 +219,12 @@ class Codec:
         from tokenizers import decoders, normalizers
         import sentencepiece
 
-        self.t, self.spec = _tokenizer(model, threads), replace(parse(model), pieces=[])
+        self.t, spec = _tokenizer(model, threads), parse(model)
+        self.spec = replace(spec, pieces=[])
+        self.marked = np.array([[p[:1] == MARKER, p[-1:] == MARKER] for p, _, _ in spec.pieces])  # whether pieces begin and end with a marker
         self.normalizer = self.t.normalizer
         self.separable = self.t.pre_tokenizer is not None
-        self.theirs = sentencepiece.SentencePieceProcessor(model_proto=model) if check else None
+        self.theirs = sentencepiece.SentencePieceProcessor(model_proto=model, num_threads=threads) if check else None
         if check:  # whole texts: the normaliser and the cuts
             for text, mine in zip(PROBE, self.t.encode_batch(list(PROBE), add_special_tokens=False)):
                 self._same(text, mine.ids, self.theirs.encode(text))
@@ -244,6 +248,46 @@ class Codec:
 
     def _learn(self, runs: list[str]) -> tuple[dict[str, bytes], dict[str, str]]:
         """Ids of new runs, and what those decode to that do not decode to themselves."""
+        joined = []
+        if self.separable and self.spec.kind == BPE:  # sums of unigram scores are rounded otherwise in a longer text
+            joined = [run for run in runs if run[0] == MARKER and run[-1] != MARKER]
+        found = self._learn_joined(joined) if joined else None
+        if found is None:
+            return self._learn_alone(runs)
+        ids, odd = found
+        if len(ids) < len(runs):
+            more = self._learn_alone([run for run in runs if run not in ids])
+            ids.update(more[0])
+            odd.update(more[1])
+        return ids, odd
+
+    def _learn_joined(self, runs: list[str]) -> tuple[dict[str, bytes], dict[str, str]] | None:
+        """The same of runs that begin with a marker and end with another character, several to a text; None if their ids cannot be told apart."""
+        lots = [runs[k:k + JOINED_RUNS] for k in range(0, len(runs), JOINED_RUNS)]
+        texts = ["".join(lot) for lot in lots]
+        ids = [e.ids for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
+        if self.theirs:
+            lead = 1 if self.spec.dummy_prefix else 0  # the library puts the first marker back
+            theirs = self.theirs.encode([text[lead:] for text in texts])
+            if theirs != ids:
+                for text, mine, ref in zip(texts, ids, theirs):
+                    self._same(text, mine, ref)
+        flat = np.concatenate([np.array(x, np.int32) for x in ids])
+        begins, ends = self.marked[flat].T
+        # a run begins with the first marker after another character
+        first = np.flatnonzero(begins & np.concatenate([[True], ~ends[:-1]]))
+        if len(first) != len(runs) or first[0]:
+            return None
+        coded, at = flat.tobytes(), [*(4 * first).tolist(), 4 * len(flat)]
+        known = {run: coded[a:b] for run, a, b in zip(runs, at, at[1:])}
+        odd = {}
+        for lot, text, back in zip(lots, texts, self.t.decode_batch(ids, skip_special_tokens=False)):
+            if back != text.replace(MARKER, " "):
+                odd.update(self._odd(lot, [np.frombuffer(known[run], np.int32).tolist() for run in lot]))
+        return known, odd
+
+    def _learn_alone(self, runs: list[str]) -> tuple[dict[str, bytes], dict[str, str]]:
+        """The same, each run a text."""
         ids = [e.ids for e in self.t.encode_batch_fast(runs, add_special_tokens=False)]
         if self.theirs:
             # the library puts the first marker back; a run of markers alone needs a word before it
@@ -253,8 +297,10 @@ class Codec:
             if theirs != ids:
                 for run, mine, ref in zip(runs, ids, theirs):
                     self._same(run, before + mine if run[-1] == MARKER else mine, ref)
-        odd = {run: text for run, text in zip(runs, self.t.decode_batch(ids, skip_special_tokens=False)) if text != run.replace(MARKER, " ")}
-        return {run: array("i", x).tobytes() for run, x in zip(runs, ids)}, odd
+        return {run: array("i", x).tobytes() for run, x in zip(runs, ids)}, self._odd(runs, ids)
+
+    def _odd(self, runs: list[str], ids: list[list[int]]) -> dict[str, str]:
+        return {run: text for run, text in zip(runs, self.t.decode_batch(ids, skip_special_tokens=False)) if text != run.replace(MARKER, " ")}
 
     def code(self, texts: list[str]) -> tuple[list[bytes], list[str], list[str]]:
         """(ids as 32-bit numbers, decoded text, normalised text) of each text."""
