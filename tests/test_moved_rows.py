@@ -174,3 +174,49 @@ def test_a_task_gathers_a_bounded_share_of_lines(spark, monkeypatch):
     lines = libsvm_lines(labels, feats, partitions=f.line_partitions(feats))
     assert "hashpartitioning(instance_id" in planned(spark, lambda: lines) and lines.count() == 40
     assert lines.rdd.getNumPartitions() == 12
+
+
+@pytest.mark.parametrize("task", [0, 1])
+def test_baskets_that_broadcast_blocks_settle_do_not_meet_travelling_ones(spark, monkeypatch, task):
+    """Only the first block was broadcast where not all were, and every group was sent the others that its widest bounds admit."""
+    n, k = 600, 5
+    meta = FMMeta(num_features=n, k=4, task=task, min_label=-9.0, max_label=9.0)
+    params = spark.range(n).select(F.col("id").alias("feature_id"), F.when(F.col("id") < 9, F.lit(3.0) * F.col("id")).otherwise(0.0).alias("w"),
+                                   F.array(*[F.sin(F.col("id") * (3 + f)) * F.when(F.col("id") < 100, 1.0).otherwise(0.02) for f in range(4)]).alias("v"))
+    params = materialize(params)
+    # scores of the baskets lie far apart, so one bound for a group of them admits every block
+    feats = spark.createDataFrame([(p, i, 1.0) for p in range(60) for i in [p % 9, 9 + p]], "pid bigint, feature_id bigint, value double")
+    prof = materialize(rec.basket_profile(feats, params, meta).withColumn("seen", F.array().cast("array<bigint>")))
+    blocks = materialize(rec.candidate_blocks(rec.popular_items(params, n), 1.0, 40))
+    size = blocks.agg(F.sum(F.length("ids") + F.length("w") + F.length("v"))).first()[0]
+    whole = {r["pid"]: (r["ids"], r["scores"]) for r in rec.top_lists(prof, blocks, meta, k).collect()}
+    ranked = []
+    monkeypatch.setattr(rec, "dense_ids", lambda df, *a, f=rec.dense_ids: ranked.append(df.count()) or f(df, *a))
+    got = rec.top_lists(prof, blocks, meta, k, 20, broadcast_bytes=size // 2).collect()
+    assert {r["pid"]: r["ids"] for r in got} == {p: x[0] for p, x in whole.items()}
+    assert all(r["scores"] == pytest.approx(whole[r["pid"]][1], abs=1e-12) for r in got)
+    assert sum(ranked) < 30  # of 60
+
+
+@pytest.mark.parametrize("task, lo, hi", [(1, 0, 0), (0, -0.5, 0.5), (0, -9, 9)])
+def test_kept_candidates_equal_sorting_all(task, lo, hi):
+    import numpy as np
+    rng = np.random.default_rng(3)
+    n, k, baskets = 300, 12, 25
+    w, v = rng.normal(0, 1, n), rng.normal(0, 1, (n, 3))
+    w[100:140], v[100:140] = 0.7, v[100]  # ties
+    z, s = rng.normal(0, 20, baskets), rng.normal(0, 1, (baskets, 3))
+    seen = [np.sort(rng.choice(n, rng.integers(0, n), replace=False)) for _ in range(baskets)]
+    at = rec._Baskets(np.arange(baskets), z, s, seen, k, (task, lo, hi))
+    ids = rng.permutation(n)
+    for x in range(0, n, 64):
+        i = ids[x:x + 64]
+        at.meet(rec._Block(i.tobytes(), w[i].tobytes(), v[i].tobytes(), w[i].max(), np.sqrt((v[i] ** 2).sum(axis=1)).max()))
+    got = at.lists()
+    for b in range(baskets):
+        raw = np.array([z[b] + w[i] + s[b] @ v[i] for i in range(n)])
+        score = rec._reported(raw, task, lo, hi).round(9)
+        want = sorted(set(range(n)) - set(seen[b].tolist()), key=lambda i: (-score[i], i))[:k]
+        found = got.column(1)[b].as_py()
+        assert found == want or [score[i] for i in found] == [score[i] for i in want]
+        assert len(set(found)) == len(found) and not set(found) & set(seen[b].tolist())
