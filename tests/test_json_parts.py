@@ -43,3 +43,22 @@ def test_objects_equal_those_of_a_parser(spark, tmp_path, size):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert [(int(r["file"][-6]), json.loads(r["text"])) for r in rows] == want
+
+
+def test_a_document_is_not_broadcast_and_its_objects_stay_spread(spark, tmp_path, monkeypatch):
+    """The pieces' places pack so well that the planner took them for small: 1,110 MB were broadcast for 4.5 million pieces."""
+    from trolley.sources import json_parts
+    (tmp_path / "d.json").write_text(json.dumps({"info": {"a": 1}, "playlists": [{"pid": k, "tracks": [{"t": "x"}] * 3} for k in range(50)]}))
+    plans, write = {}, json_parts.materialize
+    monkeypatch.setattr(json_parts, "materialize", lambda df: plans.setdefault(tuple(df.columns), df._jdf.queryExecution().sparkPlan().toString()) and write(df))
+    rows = document_objects(spark, str(tmp_path), "playlists")
+    assert sorted(json.loads(r["text"])["pid"] for r in rows.collect()) == list(range(50))
+    joins = [x for x in plans["file", "no", "key", "text"].splitlines() if "Join [line_no" in x]
+    assert joins and all("SortMergeJoin" in x for x in joins)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = document_objects(spark, str(tmp_path), "playlists")._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin [file" in plan  # by their file, all objects would go to one task

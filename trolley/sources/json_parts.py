@@ -20,6 +20,7 @@ from trolley.sources.lines import numbered_lines
 
 #: Outside strings up to the next brace; runs are possessive, so that long ones need no stack.
 _OUTSIDE = r'(?:[^"{]++|"(?:[^"\\]++|\\.)*+")*+'
+FEW_FILES = 10_000
 _KEY = r'"((?:[^"\\]|\\.)*)"\s*:\s*\[?\s*$'
 
 
@@ -50,7 +51,8 @@ def document_objects(spark: SparkSession, path: str, key: str) -> DataFrame:
     named = running_sums(deep.select("file", "line_no", "inside", "depth", first.alias("first")), order, {"no": F.col("first").cast("bigint")})
     held = named.where((F.col("depth") >= 2) | F.col("first")).select("file", "line_no", "no", F.when(F.col("first"), F.struct("inside", "depth")).alias("head"))
 
-    whole = held.join(pieces.select("line_no", "value"), "line_no").groupBy("file", "no") \
+    # never broadcast: a row for each piece, which packs to a byte or two in the written table that the planner goes by
+    whole = held.hint("merge").join(pieces.select("line_no", "value"), "line_no").groupBy("file", "no") \
         .agg(F.max("head").alias("head"), F.sort_array(F.collect_list(F.struct("line_no", "value"))).alias("v")) \
         .select("file", "no", "head.depth", F.concat(F.when(F.col("head.inside") == 1, F.lit('"')).otherwise(F.lit("")), F.array_join("v.value", "}"), F.lit("}")).alias("text"))
     lead = F.when(F.col("depth") == 1, F.regexp_extract("text", "(?s)^(" + _OUTSIDE + r")\{", 1)) \
@@ -58,6 +60,8 @@ def document_objects(spark: SparkSession, path: str, key: str) -> DataFrame:
     objects = materialize(whole.withColumn("lead", lead).select("file", "no", F.regexp_extract("lead", _KEY, 1).alias("key"), F.substr("text", F.length("lead") + 1).alias("text")))
     release(pieces)
     # a row for each key of the documents' first level that holds objects
-    keys = objects.where("key != ''").groupBy("file").agg(F.sort_array(F.collect_list(F.struct("no", "key"))).alias("keys"))
+    keys = materialize(objects.where("key != ''").groupBy("file").agg(F.sort_array(F.collect_list(F.struct("no", "key"))).alias("keys")))
+    if keys.count() <= FEW_FILES:  # else all objects of a file would go to one task
+        keys = F.broadcast(keys)
     under = F.element_at(F.filter("keys", lambda k: k["no"] <= F.col("no")), -1)["key"]
     return objects.join(keys, "file").where(under == key).select("file", "no", "text")
