@@ -180,7 +180,7 @@ def test_a_task_gathers_a_bounded_share_of_lines(spark, monkeypatch):
 def test_baskets_that_broadcast_blocks_settle_do_not_meet_travelling_ones(spark, monkeypatch, task):
     """Only the first block was broadcast where not all were, and every group was sent the others that its widest bounds admit."""
     n, k = 600, 5
-    meta = FMMeta(num_features=n, k=4, task=task, min_label=-9.0, max_label=9.0)
+    meta = FMMeta(num_features=n, k=4, task=task, min_label=-999.0, max_label=999.0)
     params = spark.range(n).select(F.col("id").alias("feature_id"), F.when(F.col("id") < 9, F.lit(3.0) * F.col("id")).otherwise(0.0).alias("w"),
                                    F.array(*[F.sin(F.col("id") * (3 + f)) * F.when(F.col("id") < 100, 1.0).otherwise(0.02) for f in range(4)]).alias("v"))
     params = materialize(params)
@@ -220,3 +220,15 @@ def test_kept_candidates_equal_sorting_all(task, lo, hi):
         found = got.column(1)[b].as_py()
         assert found == want or [score[i] for i in found] == [score[i] for i in want]
         assert len(set(found)) == len(found) and not set(found) & set(seen[b].tolist())
+
+
+@pytest.mark.parametrize("columns", [("pid", "line"), ("line",)])
+def test_submission_lines_are_dealt_by_a_key(spark, tmp_path, monkeypatch, columns):
+    """Dealt in turn, all lines were sorted first, and spilled."""
+    lines = spark.range(50).select(F.col("id").alias("pid"), F.concat_ws(",", F.col("id").cast("string"), F.lit("x")).alias("line")).select(*columns)
+    keys, deal = [], type(lines).repartition
+    monkeypatch.setattr(type(lines), "repartition", lambda self, n, *by: keys.append((n, *by)) or deal(self, n, *by))
+    rec.write_submission(lines, str(tmp_path / "out"), 3)
+    assert keys == [(3, columns[0])]
+    assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "out")).collect()) == sorted(f"{i},x" for i in range(50))
+    assert len(list((tmp_path / "out").glob("part-*"))) <= 3
