@@ -232,3 +232,15 @@ def test_submission_lines_are_dealt_by_a_key(spark, tmp_path, monkeypatch, colum
     assert keys == [(3, columns[0])]
     assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "out")).collect()) == sorted(f"{i},x" for i in range(50))
     assert len(list((tmp_path / "out").glob("part-*"))) <= 3
+
+
+def test_tries_write_the_columns_they_read(spark, monkeypatch):
+    from trolley.operators.baskets import ITEM_COLUMNS
+    from trolley.plans import queries
+    rows = [(p, "N", "n", f"i{(p + j) % 5}", f"m{j}", "g", "text", "text", "text") for p in range(6) for j in range(3)]
+    items = spark.createDataFrame(rows, "pid bigint, " + ", ".join(f"{c} string" for c in ITEM_COLUMNS[1:]))
+    written = []
+    monkeypatch.setattr(queries, "materialize", lambda df: written.append(set(df.columns)) or materialize(df))
+    e, cand = queries._tries(spark, "", items)
+    assert written == [{"pid", "pname", "item", "maker"}, {"item", "item_id", "freq"}]
+    assert cand.count() == 18 and set(e.columns) == {"pid", "pname", "maker", "item_id"}
